@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], columns: Iterable[str], budget: in
     for batch in batches:
         sizes = batch.column(text)
         start, held = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
         for end, n in enumerate(lengths):
             if held + n > budget and end > start:
                 part = batch.slice(start, end - start)
