@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import mixing, packing, rules, sharding
-from gridframe.llm.common import table
+from gridframe.llm import mixing, packing, rules, sharding, store
+from gridframe.llm.common import staged_path, table
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -67,6 +67,12 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staged_path(spark, "token-store")
+    store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return store.read_sums(spark, path)
+
+
 def op10_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fair_mix": op1_fair_mix,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_host_rules": op7_host_rules,
+    "op9_chunk_store": op9_chunk_store,
     "op10_nnls_pack": op10_nnls_pack,
 }
 
