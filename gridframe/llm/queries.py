@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import mixing, packing, rules, sharding, store
+from gridframe.llm import mixing, near_dups, packing, rules, sharding, store
 from gridframe.llm.common import staged_path, table
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -54,6 +54,10 @@ FROM queue LEFT JOIN mix ON queue.doc_id = mix.doc_id
 """
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.histogram_shards(table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select(
@@ -79,6 +83,7 @@ def op10_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fair_mix": op1_fair_mix,
+    "op3_circulant_minhash": op3_circulant_minhash,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_host_rules": op7_host_rules,
     "op9_chunk_store": op9_chunk_store,
