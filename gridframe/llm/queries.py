@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import mixing, near_dups, packing, rules, sharding, store
+from gridframe.llm import mixing, near_dups, packing, rules, sharding, store, toxicity
 from gridframe.llm.common import staged_path, table
+from gridframe.llm.labelled import fold, training_sample
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -54,6 +55,21 @@ FROM queue LEFT JOIN mix ON queue.doc_id = mix.doc_id
 """
 
 
+def scored(rows: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    return rows.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+#: Labelled documents that a classifier is fitted on, at most.
+TOXICITY_ROWS, QUALITY_ROWS = 12_000, 20_000
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = training_sample(table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 4) != 2, TOXICITY_ROWS)
+    model = toxicity.fit(toxicity.sample_texts(docs, training))
+    return scored(toxicity.score(docs, model), 4, 2, 0.3)
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -83,6 +99,7 @@ def op10_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fair_mix": op1_fair_mix,
+    "op2_toxicity": op2_toxicity,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_host_rules": op7_host_rules,
