@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import mixing, near_dups, packing, rules, sharding, store, toxicity
+from gridframe.llm import boosting, mixing, near_dups, packing, rules, sharding, store, toxicity
 from gridframe.llm.common import staged_path, table
 from gridframe.llm.labelled import fold, training_sample
 
@@ -87,6 +87,11 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = training_sample(table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1, QUALITY_ROWS)
+    return scored(boosting.quality_scores(table(spark, sf_dir, "documents"), training), 3, 1, 0.5)
+
+
 def op9_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged_path(spark, "token-store")
     store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_circulant_minhash": op3_circulant_minhash,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_host_rules": op7_host_rules,
+    "op8_boosted_quality": op8_boosted_quality,
     "op9_chunk_store": op9_chunk_store,
     "op10_nnls_pack": op10_nnls_pack,
 }
