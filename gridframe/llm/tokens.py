@@ -1,28 +1,33 @@
 """Token ids of whole texts by a public tokenizer, a piece at a time.
 
-Both kinds of vocabulary split a text before any merge, and never merge across
-the border between a character that isn't white space and one that is. So a
-text's ids are those of its white-space-separated pieces, one after another, and
-a piece that was seen before needs no encoding: each worker keeps the ids of
-recent pieces. Texts in which this can't be relied on (special tokens' strings,
-the four separators that Python and the library class differently) and
-vocabularies of other kinds are encoded whole.
+Both kinds of vocabulary split a text before any merge, always where white space
+follows something else and where anything but a letter follows letters. So a
+text's ids are those of the pieces between such places, one after another, and a
+piece that was seen before needs no encoding: each worker keeps the ids of recent
+pieces, and encodes new ones many at a time. Texts in which this can't be relied
+on (special tokens' strings, characters that libraries class differently or that
+a normaliser may join) and vocabularies of other kinds are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
+#: Letters in every library's view; all others count as not surely letters.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: With leading white space: it belongs to the tokens of a byte-level vocabulary.
-BYTE_PIECES = re.compile(r"\s*\S+|\s+")
-WORD_PIECES = re.compile(r"\S+")
+BYTE_PIECES = re.compile(rf"\s*[{LETTERS}]+|\s*[^\s{LETTERS}]+[{LETTERS}]*|\s+")
+WORD_PIECES = re.compile(rf"[{LETTERS}]+|[^\s{LETTERS}]+[{LETTERS}]*")
 UNSURE = re.compile(r"[\x1c-\x1f]")
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_200_000
 LONG_PIECE = 48
+AT_ONCE = 500
 
 
 class PieceEncoder:
@@ -36,6 +41,7 @@ class PieceEncoder:
             made = json.load(f)
         self.special = [t["content"] for t in made.get("added_tokens") or []]
         self.pieces = self._pieces(made)
+        self.lower = self.pieces is WORD_PIECES
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -45,33 +51,54 @@ class PieceEncoder:
             return BYTE_PIECES
         steps = [x["type"] for x in (before or {}).get("normalizers", [])]
         first = (splitter.get("pretokenizers") or [{}])[0]
-        if steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and "\\s" in first["pattern"].get("Regex", ""):
+        if steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and "[\\p{L}]+" in first["pattern"].get("Regex", ""):
             return WORD_PIECES
         return None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_joined(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that may stand side by side, encoded as one text and told apart by
+        where their tokens begin."""
+        made = self.tokenizer.encode((" " if self.lower else "").join(pieces), add_special_tokens=False)
+        ends = np.cumsum([len(p) + self.lower for p in pieces])
+        begins = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
+        upto = (4 * np.searchsorted(begins, ends, side="left")).tolist()
+        raw = np.array(made.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *upto], upto)]
+
+    def _joinable(self, piece: str) -> bool:
+        return self.lower or (piece[0] == " " and len(piece) > 1 and not piece[1].isspace())
+
     def _whole(self, text: str) -> bool:
-        return self.pieces is None or bool(UNSURE.search(text)) or any(s in text for s in self.special)
+        return self.pieces is None or bool(UNSURE.search(text)) or any(s in text for s in self.special) or (self.lower and not unicodedata.is_normalized("NFC", text))
+
+    def _split(self, text: str) -> list[str] | None:
+        if self._whole(text):
+            return None
+        return self.pieces.findall(text.encode().lower().decode() if self.lower else text)  # bytes: ASCII letters only
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > KEPT_PIECES:
             known.clear()
-        split = [None if self._whole(t) else self.pieces.findall(t) for t in texts]
-        new = list({p for s in split if s is not None for p in s if p not in known})
+        split = [self._split(t) for t in texts]
+        new = {p for s in split if s is not None for p in s if p not in known}
         brief: dict[str, bytes] = {}
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for piece, made in zip(part, self._encode(part)):
-                (known if len(piece) <= LONG_PIECE else brief)[piece] = made
+        joined = [p for p in new if len(p) <= LONG_PIECE and self._joinable(p)]
+        for start in range(0, len(joined), AT_ONCE):
+            part = joined[start : start + AT_ONCE]
+            known.update(zip(part, self._encode_joined(part)))
+        rest = [p for p in new if p not in known]
+        for piece, made in zip(rest, self._encode(rest)):
+            (known if len(piece) <= LONG_PIECE else brief)[piece] = made
         out = []
         for text, pieces in zip(texts, split):
             if pieces is None:
                 out.append(self._encode([text])[0])
             elif brief:
-                out.append(b"".join([known.get(p) or brief.get(p, b"") for p in pieces]))
+                out.append(b"".join([brief[p] if p in brief else known[p] for p in pieces]))
             else:
                 out.append(b"".join(map(known.__getitem__, pieces)))
         return out
@@ -80,7 +107,5 @@ class PieceEncoder:
 @lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
     """This process's encoder of the vocabulary at `path`."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return PieceEncoder(path)
