@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import boosting, mixing, near_dups, neighbours, packing, rules, sharding, store, toxicity
+from gridframe.llm import boosting, html_text, mixing, near_dups, neighbours, packing, rules, sharding, store, toxicity
 from gridframe.llm.common import staged_path, table
 from gridframe.llm.labelled import fold, training_sample
 
@@ -74,6 +74,16 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+#: Pages that the extractor's weights are fitted on, at most.
+LABELLED_PAGES = 1000
+
+
+def op4_best_run_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    weights = html_text.fit_weights(html_text.labelled_items(pages, LABELLED_PAGES))
+    return html_text.main_texts(pages, weights, also=("url",))
+
+
 def op5_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -110,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fair_mix": op1_fair_mix,
     "op2_toxicity": op2_toxicity,
     "op3_circulant_minhash": op3_circulant_minhash,
+    "op4_best_run_html": op4_best_run_html,
     "op5_multiprobe_search": op5_multiprobe_search,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_host_rules": op7_host_rules,
