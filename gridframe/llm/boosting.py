@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,3 +163,20 @@ def quality_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id",
     """id_col and score of each row of docs, by a forest of the training rows."""
     made = cut(document_statistics(docs, id_col, text))
     return score(made, fit_on(made, training)).withColumnRenamed("__doc", id_col)
+
+
+def kept_documents(docs: DataFrame, training: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that score `threshold` or more, as they are.
+
+    The forest is fitted on the training rows among docs; then each text is scored
+    where it is, and no text moves between machines."""
+    known = training.select(F.col("__doc").alias("__known"))
+    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
+    sample = sample.join(F.broadcast(known), F.col("__id") == F.col("__known"), "left_semi")
+    forest = fit_on(document_statistics(sample, "__id", "__text"), training)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(forest.scores(np.array([statistics(t) for t in texts], np.float32).reshape(-1, len(FEATURES))))
+
+    return docs.withColumn("__score", scored(F.col(text))).where(F.col("__score") >= threshold).drop("__score")

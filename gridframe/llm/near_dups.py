@@ -22,7 +22,8 @@ over salts by their bytes, a large bucket over pairs of chunks.
 
 Cases: null, empty and blank texts have an empty set, stand alone and are linked
 with nothing; shorter texts than five words are one shingle; repeated rows are
-copies of each other; an empty table gives no rows; further columns aren't read.
+copies of each other; a row without an id can't stand for its group, and is not
+kept; an empty table gives no rows; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -270,4 +271,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     known = known.where("copies > 1 or root <> rep").select("f1", "f2", "root")
     out = drawn.where("n > 0").join(known, ["f1", "f2"], "left").unionByName(drawn.where("n = 0"), allowMissingColumns=True)
     component = F.coalesce("root", "doc")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stand for their group, as they are: one of each."""
+    kept = near_duplicates(docs, percent, id_col, text).where("kept").groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__rows"))
+    kept = cut(kept)
+    rows = docs.join(kept.select("__kept").hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    return rows if kept.where("__rows > 1").isEmpty() else rows.dropDuplicates([id_col])

@@ -92,6 +92,16 @@ def counted(docs: DataFrame, keys: dict[str, Column], text: str = "text") -> Dat
     return rows.mapInArrow(count, schema)
 
 
+def count_column(text: str) -> Column:
+    """COUNTS of a text column, as a struct."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def count(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(counts(texts.tolist()))
+
+    return count(F.col(text))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -154,3 +164,29 @@ def host_rules(docs: DataFrame, host: Column, id_col: str = "doc_id", text: str
     joined = judged.join(verdicts, same, "left")
     kept = ~F.col("base_failed") & ~(F.col("strict") & F.col("rule_failed"))
     return joined.withColumn("kept", kept).drop("__host", "__salt", "__salted")
+
+
+def kept_documents(docs: DataFrame, host: str, text: str = "text", strict_rate: float = 0.5) -> DataFrame:
+    """The rows of docs that their rules and their host's verdict keep, as they are.
+
+    The texts are counted twice, for the hosts and then for each row, which moves
+    no text between machines."""
+    judged = counted(docs, {"__host": F.col(host)}, text).withColumn("rule_failed", rule_failed())
+    verdicts = host_verdicts(judged, "__host", strict_rate).where("strict").select("__host")
+    rows = docs.withColumn("__counts", count_column(text)).select(*docs.columns, "__counts.*") if not {*COUNTS} & {*docs.columns} else None
+    if rows is None:  # columns of the counts' own names
+        plain = docs.toDF(*[f"__own_{i}" for i in range(len(docs.columns))])
+        at = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+        return kept_documents(plain, at[host], at[text], strict_rate).toDF(*docs.columns)
+    rows = rows.withColumns({"__base": base_failed(), "__any": rule_failed()}).drop(*COUNTS).where(~F.col("__base"))
+    strict = verdicts.count()
+    if strict:
+        suspect = rows.where("__any")
+        if strict <= BROADCAST_ROWS:
+            suspect = suspect.join(F.broadcast(verdicts), F.col(host).eqNullSafe(F.col("__host")), "left_anti")
+        else:
+            salted = verdicts.withColumn("__salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            suspect = suspect.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
+            suspect = suspect.join(salted, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__salted")), "left_anti").drop("__salt")
+        rows = rows.where(~F.col("__any")).unionByName(suspect)
+    return rows.select(*docs.columns)
