@@ -97,7 +97,15 @@ def count_column(text: str) -> Column:
 
     @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
     def count(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(counts(texts.tolist()))
+        rows, parts, held = texts.tolist(), [], 0
+        start = 0
+        for end, t in enumerate(rows):  # a run of texts at a time, for bounded memory
+            held += len(t or "")
+            if held > 2_000_000:
+                parts.append(pd.DataFrame(counts(rows[start : end + 1])))
+                start, held = end + 1, 0
+        parts.append(pd.DataFrame(counts(rows[start:]), columns=list(COUNTS), dtype="int64"))
+        return pd.concat(parts, ignore_index=True)
 
     return count(F.col(text))
 
