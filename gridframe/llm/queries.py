@@ -74,6 +74,22 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+OP3_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM ways UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other),
+roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN roots ON roots.doc_id = d.doc_id
+"""
+
+
 #: Pages that the extractor's weights are fitted on, at most.
 LABELLED_PAGES = 1000
 
@@ -101,6 +117,31 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP7_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS t FROM split WHERE len(w) >= 3),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS n FROM places) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + d) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(DISTINCT l) AS u FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM split) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+counts AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(text) - len(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n - l.u, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(l.n, 0) AS n_lines
+  FROM split s LEFT JOIN covered c ON c.r = s.r LEFT JOIN lines l ON l.r = s.r),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+ruled AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 3 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 12 * n_words AS failed FROM judged),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM ruled GROUP BY source),
+moments AS (
+  SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(f) AS DOUBLE) AS f, count(*) AS h, CAST(sum(CAST(CAST(f * f AS DOUBLE) / n AS DECIMAL(30, 9))) AS DOUBLE) AS q, CAST(sum(n * n) AS DOUBLE) AS s FROM hosts),
+rates AS (SELECT *, CASE WHEN f > 0 AND f < n THEN f / n ELSE (f + 0.5) / (n + 1) END AS p FROM moments),
+spread AS (SELECT *, CASE WHEN h > 1 AND n - s / n > 0 THEN (q - f * f / n - (h - 1) * (f - q) / greatest(1, n - h)) / (n - s / n) ELSE 0 END AS extra FROM rates),
+prior AS (SELECT p, CASE WHEN extra > 0 THEN least(1e4, greatest(1, p * (1 - p) / extra - 1)) ELSE 1e4 END AS weight FROM spread),
+verdicts AS (SELECT source, (f + p * weight) / (n + weight) > 0.5 AS strict FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (strict AND failed) AS kept
+FROM ruled JOIN verdicts ON ruled.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+
 def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = training_sample(table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1, QUALITY_ROWS)
     return scored(boosting.quality_scores(table(spark, sf_dir, "documents"), training), 3, 1, 0.5)
@@ -131,4 +172,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_fair_mix": OP1_SQL,
+    "op3_circulant_minhash": OP3_SQL,
+    "op7_host_rules": OP7_SQL,
 }
