@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import remove_path, slices, staged_path
 from gridframe.llm.tokens import encoder
 
-MIN_IDS, MASK, MAX_IDS, REACH = 64, 0xFF, 2048, 16
+MIN_IDS, MASK, MAX_IDS, REACH = 64, 0x1FF, 4096, 8
 DIGEST = 16
 
 
@@ -65,7 +65,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     gear *= np.uint32(0x85EBCA77)
     rolling = gear.copy()
     for k in range(1, min(REACH, len(gear))):
-        rolling[k:] += gear[:-k] << np.uint32(k)
+        rolling[k:] += gear[:-k] << np.uint32(2 * k)
     ends, last = [], 0
     for at in (np.flatnonzero((rolling >> np.uint32(16)) & np.uint32(MASK) == 0) + 1).tolist():
         while at - last > MAX_IDS:
