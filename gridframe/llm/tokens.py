@@ -11,6 +11,7 @@ a normaliser may join) and vocabularies of other kinds are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -19,15 +20,31 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Letters in every library's view; all others count as not surely letters.
+#: Letters in every library's view.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A run of letters, or of ASCII signs and the letters behind, up to an ASCII character
+#: or the end; where others are near, all up to white space.
+_PIECE = rf"(?:[{LETTERS}]++|[!-@\[-`{{-~]++[{LETTERS}]*+)(?=[\x00-\x7f]|\Z)|\S+"
 #: With leading white space: it belongs to the tokens of a byte-level vocabulary.
-BYTE_PIECES = re.compile(rf"\s*[{LETTERS}]+|\s*[^\s{LETTERS}]+[{LETTERS}]*|\s+")
-WORD_PIECES = re.compile(rf"[{LETTERS}]+|[^\s{LETTERS}]+[{LETTERS}]*")
+BYTE_PIECES = re.compile(rf"\s*+(?:{_PIECE})|\s+")
+WORD_PIECES = re.compile(_PIECE)
 UNSURE = re.compile(r"[\x1c-\x1f]")
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 900_000
 LONG_PIECE = 48
-AT_ONCE = 500
+AT_ONCE = 64
+
+
+class Pieces(dict):
+    """Ids of pieces. A new piece gets a place, that is filled later."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, piece: str) -> bytearray:
+        place = self.new.get(piece)
+        if place is None:
+            place = self.new[piece] = bytearray()
+        return place
 
 
 class PieceEncoder:
@@ -37,12 +54,15 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        forget = getattr(self.tokenizer.model, "_resize_cache", None)
+        if forget:  # the library's own memory of pieces: here each is encoded once
+            forget(0)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.special = [t["content"] for t in made.get("added_tokens") or []]
         self.pieces = self._pieces(made)
         self.lower = self.pieces is WORD_PIECES
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces()
 
     @staticmethod
     def _pieces(made: dict) -> re.Pattern | None:
@@ -79,29 +99,42 @@ class PieceEncoder:
             return None
         return self.pieces.findall(text.encode().lower().decode() if self.lower else text)  # bytes: ASCII letters only
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        split = [self._split(t) for t in texts]
-        new = {p for s in split if s is not None for p in s if p not in known}
-        brief: dict[str, bytes] = {}
+    def _fill(self) -> None:
+        """Encode the new pieces."""
+        new, self.known.new = self.known.new, {}
         joined = [p for p in new if len(p) <= LONG_PIECE and self._joinable(p)]
+        rest = [*new] if len(joined) < len(new) else []
         for start in range(0, len(joined), AT_ONCE):
             part = joined[start : start + AT_ONCE]
-            known.update(zip(part, self._encode_joined(part)))
-        rest = [p for p in new if p not in known]
-        for piece, made in zip(rest, self._encode(rest)):
-            (known if len(piece) <= LONG_PIECE else brief)[piece] = made
-        out = []
-        for text, pieces in zip(texts, split):
-            if pieces is None:
-                out.append(self._encode([text])[0])
-            elif brief:
-                out.append(b"".join([brief[p] if p in brief else known[p] for p in pieces]))
-            else:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-        return out
+            made = self._encode_joined(part)
+            for piece, i in zip(part, made):
+                new[piece] += i
+            self.known.update(zip(part, made))
+        rest = [p for p in rest if p not in self.known]
+        for piece, i in zip(rest, self._encode(rest)):
+            new[piece] += i
+            if len(piece) <= LONG_PIECE:
+                self.known[piece] = i
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        was_on = gc.isenabled()
+        gc.disable()  # only strings are made here, by the million, and no cycles
+        try:
+            return self._all_ids(texts)
+        finally:
+            if was_on:
+                gc.enable()
+
+    def _all_ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        look_up = self.known.__getitem__
+        found = []
+        for text in texts:
+            pieces = self._split(text)
+            found.append(None if pieces is None else list(map(look_up, pieces)))
+        self._fill()
+        return [self._encode([text])[0] if parts is None else b"".join(parts) for text, parts in zip(texts, found)]
 
 
 @lru_cache(maxsize=4)
