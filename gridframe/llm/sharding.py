@@ -21,7 +21,8 @@ a whole shard; slots are gapless by adding the ranges' counted rows.
 
 Cases: a null text counts no bytes (every row has 16 besides) and is keyed as an
 empty one; repeated rows are all kept, those equal in text and id side by side;
-an empty table gives no rows; fewer rows than shards leave shards empty.
+a null id sorts first; an empty table gives no rows; fewer rows than shards leave
+shards empty.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def count_bins(rows: DataFrame, column: str, probes: dict[int, np.ndarray], hot:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["s", "b", "n", "lo", "hi"])
 
-    rows = rows.select(F.col("__key").alias("k"), F.col(column).alias("v"), F.col("__size").alias("n"))
+    rows = rows.select(F.col("__key").alias("k"), F.coalesce(F.col(column), F.lit(int(np.iinfo(np.int64).min))).alias("v"), F.col("__size").alias("n"))
     if hot:
         rows = rows.where(F.col("k").isin([int(k) for k in probes]))
     parts = rows.mapInArrow(count, "s long, b long, n long, lo long, hi long")
