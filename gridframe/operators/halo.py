@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridframe.functions import dtypes
 from gridframe.grid import GridFrame
-from gridframe.plans.index import axes
+from gridframe.plans.index import axes, part_of
 from gridframe.plans.layout import GridLayout
 
 BOUNDARIES = (None, "zero", "edge", "symmetric", "reflect")
@@ -118,9 +118,11 @@ class BlockFrame:
     def with_rows(self, rows: DataFrame) -> BlockFrame:
         return BlockFrame(rows, self.layout, self.dtype, self.dims, self.unit)
 
-    def accumulate_halos(self) -> BlockFrame:
+    def accumulate_halos(self, axis: int | None = None) -> BlockFrame:
         """Ghost values added to the cells they stand for, then zeroed; what lies
-        beyond walls is dropped."""
+        beyond walls is dropped. axis: only ghosts outside along that axis."""
+        if axis is not None:
+            return self._accumulate_along(axis)
         inside, index = F.lit(True), []
         for k, (n, w) in enumerate(zip(self.layout.shape, self.layout.periodic)):
             i = F.col(f"i{k}")
@@ -132,6 +134,23 @@ class BlockFrame:
         grid = GridFrame(sums, F.col("v"), self.layout, self.dtype, self.dims, self.unit)
         return BlockFrame.from_grid(grid, "zero").clear_halos()
 
+    def _accumulate_along(self, axis: int) -> BlockFrame:
+        """Each ghost outside along an axis goes to the block that owns its place there,
+        at the same place along the other axes, which may be a ghost's."""
+        layout, i, n, stride = self.layout, F.col(f"i{axis}"), self.layout.shape[axis], 1
+        for p in layout.grid[axis + 1 :]:
+            stride *= p
+        gone, wraps = only_outside(layout, axis), layout.periodic[axis]
+        at = F.pmod(i, F.lit(n)).cast("long") if wraps else i
+        part = F.call_function("div", F.col("block"), F.lit(stride)) % F.lit(layout.grid[axis])
+        block = F.col("block") + (part_of(at, layout.bounds[axis]) - part) * F.lit(stride)
+        moved = self.rows.where(gone if wraps else gone & i.between(0, n - 1))
+        moved = moved.select(block.alias("block"), *[(at if k == axis else F.col(f"i{k}")).alias(f"i{k}") for k in range(layout.ndim)], "v")
+        zero = dtypes.cast(F.lit(0), np.int64, self.dtype)
+        kept = self.rows.select("block", *self.index, F.when(gone, zero).otherwise(F.col("v")).alias("v"))
+        sums = kept.unionByName(moved).groupBy("block", *self.index).agg(F.sum("v").cast(dtypes.spark_type(self.dtype)).alias("v"))
+        return self.with_rows(sums.select("block", *self.index, ghost_column(layout).alias("ghost"), "v"))
+
     def clear_halos(self, axis: int | None = None) -> BlockFrame:
         gone = F.col("ghost") if axis is None else only_outside(self.layout, axis)
         zero = dtypes.cast(F.lit(0), np.int64, self.dtype)

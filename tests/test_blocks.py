@@ -56,6 +56,14 @@ def test_accumulate(spark):
     assert blocks.accumulate_halos().rows.where("ghost").agg(F.sum("v")).first()[0] == 0
 
 
+def test_accumulate_axis_by_axis(spark):
+    grid = g.array(spark, RNG.integers(1, 9, size=(8, 6)), n_blocks=4, halo=(1, 2), periodic=(True, False))
+    blocks = BlockFrame.from_grid(grid, "edge")
+    at_once = blocks.accumulate_halos().to_grid().to_numpy()
+    np.testing.assert_array_equal(blocks.accumulate_halos(0).accumulate_halos(1).to_grid().to_numpy(), at_once)
+    assert blocks.accumulate_halos(0).rows.count() == blocks.rows.count()
+
+
 U = RNG.integers(0, 9, size=(9, 8))
 FIVE = {(0, 0): -4, (1, 0): 1, (-1, 0): 1, (0, 1): 1, (0, -1): 1}
 
