@@ -73,12 +73,10 @@ def _key(epoch: Column) -> Column:
     return F.struct(_finish(epoch).alias("finish"), F.col("__rank").alias("rank"), epoch.cast("int").alias("epoch"), F.col("__hash").alias("hash"), F.col("__id").cast("string").alias("id"))
 
 
-def queued(docs: DataFrame, size_col: str, source: str, id_col: str, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
+def queued(docs: DataFrame, targets: DataFrame, size_col: str, source: str, id_col: str, seed: int) -> DataFrame:
     """docs with __size, __source_size, __target, __total and __cum, the tokens of
     the source up to and with each document in shuffled order."""
     keyed = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source), "__size": F.col(size_col)})
-    targets = cut(source_targets(keyed.select("__source", "__size"), weights, max_epochs))
-    targets = small_side(targets.withColumnRenamed("__source", "__name"), targets.count())
     keyed = keyed.join(targets, F.col("__source").eqNullSafe(F.col("__name")), "left").drop("__name")
     keyed = keyed.withColumn("__hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("__id").cast("string"), F.lit("")))))
     keyed = keyed.withColumn("__range", F.conv(F.substring("__hash", 1, 3), 16, 10).cast("int"))
@@ -135,9 +133,13 @@ def weighted_fair_mix(docs: DataFrame, size_col: str, source: str = "source", id
     """docs (size_col: a long, not null) with __copies, how often the mix takes
     each document, __finish, the virtual finish time of its first copy by which
     the mix is ordered, and __source_size, __target, __total."""
-    lean = cut(queued(docs.select(*dict.fromkeys([id_col, source, size_col])), size_col, source, id_col, weights, max_epochs, seed))
+    small = cut(docs.select(*dict.fromkeys([id_col, source, size_col])))
+    named = small.select(F.col(source).alias("__source"), F.col(size_col).alias("__size"))
+    targets = cut(source_targets(named, weights, max_epochs)).withColumnRenamed("__source", "__name")
+    targets = small_side(targets, targets.count())
+    lean = cut(queued(small, targets, size_col, source, id_col, seed))
     point = cut_point(lean, max_epochs)
-    queue = lean if {*docs.columns} == {id_col, source, size_col} else queued(docs, size_col, source, id_col, weights, max_epochs, seed)
+    queue = lean if {*docs.columns} == {*small.columns} else queued(docs, targets, size_col, source, id_col, seed)
     served = (F.col("__size") > 0) & (F.col("__target") > 0)
     copies = sum((F.when(_taken(point, e), 1).otherwise(0) for e in range(max_epochs)), F.lit(0))
     finish = F.when(F.col("__target") > 0, _finish(F.lit(0)))
