@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import slices
+from gridframe.llm.common import cut, slices
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'<>]+)")
@@ -277,8 +277,12 @@ def labelled_items(pages: DataFrame, limit: int, id_col: str = "page_id", html:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kinds", "amounts", "a", "b"])
 
-    sample = pages.select(F.col(id_col).alias("__page"), F.col(html).alias("__html")).where(F.lower("__html").contains("<article") | F.lower("__html").contains("<main"))
-    sample = sample.orderBy(F.xxhash64("__page"), "__page").limit(limit).select("__html")
+    named = pages.select(F.col(id_col).alias("__page"), F.col(html).alias("__html"))
+    lower = F.lower("__html")
+    named = named.where(lower.contains("<article") | lower.contains("<main"))
+    # The ids are chosen first, so that no pages are moved but the sample's.
+    chosen = cut(named.select("__page").distinct().orderBy(F.xxhash64("__page"), "__page").limit(limit)).withColumnRenamed("__page", "__chosen")
+    sample = named.join(F.broadcast(chosen), F.col("__page") == F.col("__chosen"), "left_semi").select("__html")
     rows = sample.mapInArrow(run, "kinds array<int>, amounts array<int>, a long, b long").collect()
     return sorted((list(r["kinds"]), list(r["amounts"]), r["a"], r["b"]) for r in rows)
 
