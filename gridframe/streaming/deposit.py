@@ -1,7 +1,7 @@
 """Particle deposition on a stream: running sums by cell, with late data bounded.
 
-The reference semantics are those of a batch deposit; on a stream the same cells
-are kept as state, per event-time window if one is given."""
+The sums are those of a batch deposit; on a stream the cells are kept as state,
+for each event-time window if one is given."""
 
 from __future__ import annotations
 
