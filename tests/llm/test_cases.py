@@ -1,6 +1,7 @@
 """Odd rows through every operator and stage: nulls, empty and very long texts,
 repeated rows, empty tables and further columns with clashing names."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,19 @@ def test_vectors(spark):
     assert neighbours.search(rows.where("vec_id > 19"), F.col("vec_id") % 4 == 0).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [[1.0] * 40, [1.0] * 599 + [10.0], [2.0 ** (i % 9) for i in range(600)]])
+def test_search_ranks_all_rows(spark, lengths):
+    x = np.random.default_rng(5).normal(size=(len(lengths), 64))
+    x = x / np.sqrt((x * x).sum(1))[:, None] * np.array(lengths)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.search(rows, F.col("vec_id") % 10 == 0, k=20).orderBy("query_id", "rank").collect()
+    for q in range(0, len(x), 10):
+        score = (x * x[q]).sum(axis=1)
+        others = np.delete(np.arange(len(x)), q)
+        true = others[np.lexsort((others, -score[others]))[:20]]
+        assert [r["vec_id"] for r in out if r["query_id"] == q] == true.tolist()
+
+
 @pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
 def test_stages(spark, docs, labels, tmp_path, stage):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
