@@ -4,8 +4,9 @@ A document's words, ASCII-lower-cased, give its set of five-word shingles, each
 a 64-bit value. Two permutations make the whole signature: the first spreads the
 shingles over a ring of 2^32 places, the second ranks the places, and coordinate
 k is the least rank after a turn of the ring by k places. Bands of ROWS
-coordinates give the buckets in which candidates meet: a pair at a similarity of
-0.85 shares none of 20 bands of 5 with a probability of 1e-5.
+coordinates give the buckets in which candidates meet. There are as many bands as
+keep the probability that a pair just similar enough shares none within MISS: 29
+bands of 5 at a similarity of 0.8, 20 at 0.85.
 
 Texts of equal word sequences are one class, so that a group of copies counts
 once. In each bucket all members are compared with one pivot, the member that
@@ -28,6 +29,7 @@ kept; an empty table gives no rows; further columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,7 @@ from gridframe.llm.common import cut, slices
 from gridframe.llm.components import components
 
 WORDS = 5
-BANDS, ROWS = 20, 5
+ROWS, MISS = 5, 1e-5
 SALT_BYTES = 1_000_000
 CHUNK_BYTES = 2_000_000
 
@@ -96,12 +98,19 @@ def ranked(places: np.ndarray) -> np.ndarray:
     return x
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys for each set (none empty)."""
+def bands_for(percent: int) -> int:
+    """The least number of bands that a pair of that similarity misses with a
+    probability of at most MISS."""
+    shared = (percent / 100) ** ROWS
+    return 1 if shared >= 1 else math.ceil(math.log(MISS) / math.log1p(-shared))
+
+
+def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
+    """So many keys for each set (none empty)."""
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     places = (mix64(np.concatenate(sets) ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
-    keys = np.empty((len(sets), BANDS), np.uint64)
-    for band in range(BANDS):
+    keys = np.empty((len(sets), bands), np.uint64)
+    for band in range(bands):
         key = np.full(len(sets), band + 1, np.uint64)
         for k in range(band * ROWS, band * ROWS + ROWS):
             key = mix64(key ^ np.minimum.reduceat(ranked(places + np.uint32(k)), starts).astype(np.uint64))
@@ -109,8 +118,9 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
-def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, percent: int, id_col: str, text: str) -> DataFrame:
     """doc, n (shingles), f1 and f2 (128 bits of the word sequence) and keys (band keys)."""
+    bands = bands_for(percent)
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +129,7 @@ def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list[list[int]] = [[] for _ in sets]
             if some:
-                for i, row in zip(some, band_keys([sets[i] for i in some]).view(np.int64).tolist()):
+                for i, row in zip(some, band_keys([sets[i] for i in some], bands).view(np.int64).tolist()):
                     keys[i] = row
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(s)) for s in split), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(part["__id"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
@@ -258,9 +268,9 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int, id_col: str, tex
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept of each row of docs."""
-    drawn = cut(sketches(docs, id_col, text))
+    drawn = cut(sketches(docs, percent, id_col, text))
     classes = drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     classes = cut(classes)
     reps = drawn.join(classes.select(F.col("rep").alias("doc"), F.col("f1").alias("c1"), F.col("f2").alias("c2")), "doc")
@@ -274,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stand for their group, as they are: one of each."""
     kept = near_duplicates(docs, percent, id_col, text).where("kept").groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__rows"))
     kept = cut(kept)

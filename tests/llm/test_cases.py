@@ -78,6 +78,18 @@ def test_near_duplicates_without_ids(spark):
     assert out == {(None, 5): False, (5, 5): True, (None, None): False}
 
 
+def test_stage_links_from_80_percent(spark):
+    words = [f"w{i}" for i in range(304)]
+    near = words[:150] + ["z"] + words[151:]  # 5 of 300 shingles differ: 295 / 305 = 0.967
+    between = [w if k not in (20, 60, 100, 140, 180, 220) else "x" for k, w in enumerate(words)]  # 30 of 300 differ: 270 / 330 = 0.818
+    far = [w if k not in range(20, 220, 25) else "y" for k, w in enumerate(words)]  # 40 of 300 differ: 260 / 340 = 0.765
+    rows = [(1, words), (2, near), (3, between), (4, far)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert near_dups.bands_for(85) == 20 and (1 - 0.8**5) ** near_dups.bands_for(80) <= 1e-5
+    assert ids(corpus_pipeline.near_dedup(spark, docs, "")) == [1, 4]
+    assert sorted(r["component_id"] for r in near_dups.near_duplicates(docs, 85).collect()) == [1, 1, 3, 4]
+
+
 def test_sharding(docs):
     out = sharding.histogram_shards(docs, 4).collect()
     assert sorted(r["doc_id"] for r in out) == expected(docs)
