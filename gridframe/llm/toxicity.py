@@ -3,10 +3,10 @@
 Two strings are compared by the subsequences of three and four characters that
 they share, contiguous or not, every character skipped on either side costing a
 factor GAP: an insult that is stretched, hyphenated or inflected still shares
-most of its own. A word is weighed if it has four characters of some landmark in
-a row, with up to one other between any two of them; that is looked up for all
-places of a text at once, and other words count as FLOOR. A sentence is seen through windows: its words, longer ones in
+most of its own. A sentence is seen through windows: its words, longer ones in
 overlapping stretches, and runs of letters that stand alone (spelled-out words).
+Every word is weighed, whatever it looks like; those that the kernel can't tell
+apart, as they differ only in characters that no landmark has, are weighed once.
 
 Landmarks are the strings that tell toxic from clean training documents best,
 and common clean words; the Nystroem map K^(-1/2) k(window) turns the kernel into
@@ -91,7 +91,9 @@ def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 class Screen:
-    """Finds the tokens of texts that have four characters of a landmark in a row."""
+    """Finds the tokens of texts that have four characters of a landmark in a row,
+    with up to one other between any two. Others are toxic too, so neither fitting
+    nor scoring relies on it."""
 
     def __init__(self, landmarks: list[str]):
         letters = sorted({c for m in landmarks for c in m if ord(c) < 0x10000} - {" "})
@@ -139,6 +141,26 @@ class Screen:
         return out
 
 
+class Bare(dict):
+    """Brings strings that have one kernel with all landmarks to one form: what no
+    landmark has becomes one character, and goes where it stands at the ends."""
+
+    def __init__(self, landmarks: list[str]):
+        super().__init__((ord(c), ord(c)) for m in landmarks for c in m)
+
+    def __missing__(self, code: int) -> int:
+        return 0
+
+    def forms(self, strings: list[str]) -> list[str]:
+        return [s.translate(self).strip("\0") for s in strings]
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """All words of a text, lower-cased, and its spelled-out words."""
+    tokens = (text or "").lower().split()
+    return tokens + spelled(tokens)
+
+
 def windows(token: str) -> list[str]:
     """A token without punctuation at its ends, and without any, between two spaces
     that mark where it begins and ends; long ones in overlapping stretches."""
@@ -170,8 +192,7 @@ def sentence_texts(text: str | None) -> list[str]:
 
 def all_windows(text: str | None) -> set[str]:
     """The windows of all words and spelled-out words of a text."""
-    tokens = (text or "").lower().split()
-    return {w for t in {*tokens, *spelled(tokens)} for w in windows(t)}
+    return {w for t in set(tokens_of(text)) for w in windows(t)}
 
 
 @dataclass
@@ -185,10 +206,16 @@ class Model:
 
     def __post_init__(self) -> None:
         self.known: dict[str, float] = {}
-        self.screen: Screen | None = None
+        self.bare = Bare(self.landmarks)
+        self.seen: dict[str, float] = {}
 
     def values(self, strings: list[str]) -> np.ndarray:
-        return kernel(strings, self.landmarks) @ self.weights + self.bias
+        forms, seen = self.bare.forms(strings), self.seen
+        if len(seen) > KEPT_WINDOWS:
+            seen.clear()
+        new = [f for f in dict.fromkeys(forms) if f not in seen]
+        seen.update(zip(new, (kernel(new, self.landmarks) @ self.weights + self.bias).tolist()))
+        return np.array([seen[f] for f in forms])
 
     def look_up(self, tokens: set[str]) -> dict[str, float]:
         known = self.known
@@ -208,15 +235,14 @@ class Model:
         """The logistic function of each text's worst window and count of windows above SURE."""
         if self.weights is None:
             return np.full(len(texts), 1 / (1 + np.exp(-self.prior)))
-        self.screen = self.screen or Screen(self.landmarks)
-        split = self.screen.tokens(texts)
+        split = [tokens_of(t) for t in texts]
         known = self.look_up({t for s in split for t in s})
         worst, many = np.full(len(texts), FLOOR), np.zeros(len(texts))
         for i, s in enumerate(split):
             if s:
-                found = list(map(known.__getitem__, s))
-                worst[i] = max(FLOOR, max(found))
-                many[i] = sum(v > SURE for v in found)
+                found = np.fromiter(map(known.__getitem__, s), np.float64, len(s))
+                worst[i] = max(FLOOR, found.max())
+                many[i] = np.count_nonzero(found > SURE)
         return 1 / (1 + np.exp(-(self.prior + self.worst * worst + self.many * np.log1p(many))))
 
 
@@ -285,17 +311,19 @@ def sentence_vectors(sample: DataFrame, landmarks: list[str], per_doc: int = 6)
     toxic = min(TOXIC_LANDMARKS, len(landmarks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen = Screen(landmarks)
+        bare = Bare(landmarks)
         for part in slices(batches, ["doc", "text", "label"], 1_000_000):
             docs, labels, rows = [], [], []
-            found = screen.tokens([line for t in part["text"] for line in sentence_texts(t)])
+            found = [tokens_of(line) for t in part["text"] for line in sentence_texts(t)]
             owner = [i for i, t in enumerate(part["text"]) for _ in sentence_texts(t)]
             strings = list({w for tokens in found for t in tokens for w in windows(t)})
             if not strings:
                 continue
-            values = kernel(strings, landmarks)
+            forms = bare.forms(strings)
+            own_row = {f: i for i, f in enumerate(dict.fromkeys(forms))}
+            values = kernel(list(own_row), landmarks)
             suspect = (values / own)[:, :toxic].max(axis=1)
-            at = {s: i for i, s in enumerate(strings)}
+            at = {s: own_row[f] for s, f in zip(strings, forms)}
             by_doc: dict[int, list[tuple[float, str]]] = {}
             for i, tokens in zip(owner, found):
                 seen = [w for t in tokens for w in windows(t)]
@@ -368,7 +396,7 @@ def fit(sample: DataFrame) -> Model:
     model = Model(landmarks, (project @ w[:-1]).astype(np.float32), float(w[-1]), prior=prior)
     many = np.add.reduceat((score > SURE).astype(float), first)
     worst, label = np.maximum(FLOOR, np.maximum.reduceat(score, first)), bad[first].astype(float)
-    # Documents without a suspect word stand at FLOOR, as two weighted rows.
+    # Documents without a word stand at FLOOR, as two weighted rows.
     design = np.r_[np.c_[worst, np.log1p(many), np.ones(len(worst))], [[FLOOR, 0, 1], [FLOOR, 0, 1]]]
     count = np.r_[np.ones(len(worst)), max(0, n_bad - label.sum()), max(0, n_good - (1 - label).sum())]
     label = np.r_[label, 1, 0]

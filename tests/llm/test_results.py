@@ -151,6 +151,19 @@ def test_toxicity_tolerates_spoilt_insults():
     assert "i-d-i-o-t" in found[0] and "idiot" in found[1] and not found[2] and not found[3]
 
 
+def test_toxicity_weighs_every_word():
+    from gridframe.llm.toxicity import Bare, Model, kernel
+
+    landmarks = [" idiot ", " scum "]
+    own = kernel(landmarks, landmarks).diagonal()
+    model = Model(landmarks, (1 / own).astype(np.float32), -0.5, worst=1.0)
+    plain, spoilt = "you idiot here", ["i--d--i--o--t", "i**d**i**o**t", "i...d...i...o...t", "sc--um", "s--c--u--m", "iiidddiiiooottt"]
+    low, *high = model.scores(["nothing at all", plain, *(f"you {x} here" for x in spoilt)])
+    assert low < 0.4 and min(high) > 0.45 and min(high[:6]) > 0.6
+    strings = [" 77idiot99 ", "id\u00e9\u00e9iot", "zz", " s-c-u-m "]
+    np.testing.assert_array_equal(kernel(Bare(landmarks).forms(strings), landmarks), kernel(strings, landmarks))
+
+
 def encoded(tables, name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     docs = tables["documents"]
