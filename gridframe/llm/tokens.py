@@ -22,9 +22,10 @@ import numpy as np
 
 #: Letters in every library's view.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: A run of letters, or of ASCII signs and the letters behind, up to an ASCII character
-#: or the end; where others are near, all up to white space.
-_PIECE = rf"(?:[{LETTERS}]++|[!-@\[-`{{-~]++[{LETTERS}]*+)(?=[\x00-\x7f]|\Z)|\S+"
+#: A run of letters, or of ASCII signs and the letters behind, up to a printable ASCII
+#: character, white space or the end; where others are near (control characters too,
+#: which join a run of signs), all up to white space.
+_PIECE = rf"(?:[{LETTERS}]++|[!-@\[-`{{-~]++[{LETTERS}]*+)(?=[\t-\r -~]|\Z)|\S+"
 #: With leading white space: it belongs to the tokens of a byte-level vocabulary.
 BYTE_PIECES = re.compile(rf"\s*+(?:{_PIECE})|\s+")
 WORD_PIECES = re.compile(_PIECE)

@@ -1,6 +1,8 @@
 """The operators' queries against brute force, on the smallest tables."""
 
 import itertools
+import random
+import unicodedata
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -213,11 +215,22 @@ def test_piecewise_encoding_is_exact(name):
     made = encoder(public_tokenizers.path(name))
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(st.sampled_from(list("abé\u0301 \n\t.,'s’ß1²中\x1c-_AZİΣ")), max_size=40))
+    @given(st.text(st.sampled_from(list("abé\u0301 \n\t.,'s’ß1²中\x1c\x7f\x01-_AZİΣ")), max_size=40))
     def check(text):
         assert made.ids([text]) == made._encode([text])
 
     check()
+    # Every character below U+0100 and some of each Unicode class, in random order.
+    classes: dict[str, list[str]] = {}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        classes.setdefault(unicodedata.category(c), []).append(c)
+    rng = random.Random(11)
+    low = list(map(chr, range(256)))
+    mixed = low + [c for own in classes.values() for c in rng.sample(own, min(6, len(own)))]
+    texts = ["".join(rng.choices(rng.choice((low[:128], low, mixed)), k=rng.randrange(1, 30))) for _ in range(20_000)]
+    assert made.ids(texts) == made._encode(texts)
+    for text in ("x,\x7fa", "1?\x01À", "b-\x7f 文", "[\x1b[0m"):
+        assert made.ids([text]) == made._encode([text])
 
 
 def test_pipeline(spark, tables):
