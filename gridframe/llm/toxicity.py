@@ -13,29 +13,35 @@ and common clean words; the Nystroem map K^(-1/2) k(window) turns the kernel int
 a few coordinates, in which a linear machine is trained on labelled sentences.
 A label marks a document, so the sentences of a toxic one are seen as a bag: in
 turn the machine is trained and the sentence that it finds worst stands for its
-document. A document's score is a logistic function of its worst window and of
-the number of windows on the toxic side, fitted on the training documents.
+document. A document's score is a logistic function of how much of it lies on the
+toxic side, summed over its words, fitted on the training documents.
 
 Scale: fitting sees a bounded sample (`limit` labelled documents), reduced on the
 executors: string counts by aggregation, sentences to their landmark
 similarities. Scoring is one pass over whole texts in Arrow batches; each worker
-keeps the values of windows that it has seen. The model is a few kilobytes.
+keeps the values of windows that it has seen. The model is a few kilobytes; a
+worker folds its weights into tables of strings (some megabytes), in which a
+word's value is a sum over its own subsequences.
 
 Cases: null and empty texts have no window and get the model's lowest score;
 without labels of both kinds every score is the prior; repeated rows score
-alike; an empty table gives no rows; texts and words of any length are scored
-whole.
+alike, as does a text in whatever batch it stands; an empty table gives no rows;
+texts and words of any length are scored whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +53,8 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 STOP = re.compile(r"(?<=[.!?])\s")
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 28, 4
 GRAMS = (5, 6, 7)
-FLOOR, SURE = -3.0, 0.5
 KEPT_WINDOWS = 600_000
+MOST_LETTERS, UNIT = 64, 2.0**-20
 
 
 def codes(strings: list[str]) -> np.ndarray:
@@ -56,12 +62,6 @@ def codes(strings: list[str]) -> np.ndarray:
     return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(strings), -1)
 
 
-def decay(n: int) -> np.ndarray:
-    """[i, j]: GAP^(i - j - 1) for j < i, else 0."""
-    gap = np.arange(n)[:, None] - np.arange(n)[None, :] - 1
-    return np.where(gap >= 0, GAP ** np.maximum(gap, 0), 0).astype(np.float32)
-
-
 def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     """The shared subsequences of three and four characters, weighted by gaps, of
     each string (at most WINDOW characters) with each landmark."""
@@ -75,72 +75,97 @@ def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     for n, rows in by_length.items():
         if n < 3:
             continue
-        left = decay(n)
-        whole = codes([strings[i] for i in rows])
+        whole = codes([strings[i] for i in rows]).T.copy()
         for wide, marks in by_width.items():
-            flat, right, at_once = codes([landmarks[i] for i in marks]).reshape(-1), decay(wide).T.copy(), max(1, 200_000 // (n * wide * len(marks)))
+            own, at_once = codes([landmarks[i] for i in marks]).T.copy(), max(1, 60_000 // (n * wide * len(marks)))
             for start in range(0, len(rows), at_once):
                 some = rows[start : start + at_once]
-                match = (whole[start : start + at_once, :, None] == flat).astype(np.float32)
-                ends = match
-                for order in (2, 3, 4):
-                    ends = match * (np.matmul(left, ends).reshape(-1, wide) @ right).reshape(match.shape)
+                match = (whole[:, None, start : start + at_once, None] == own[None, :, None, :]).astype(np.float32)
+                ends, total = match, np.zeros((len(some), len(marks)), np.float32)
+                for order in (2, 3, 4):  # ends[i, j]: what ends in a match of places i and j
+                    before_i, before_both = np.zeros_like(match), np.zeros_like(match)
+                    for i in range(1, n):
+                        before_i[i] = GAP * before_i[i - 1] + ends[i - 1]
+                    for j in range(1, wide):
+                        before_both[:, j] = GAP * before_both[:, j - 1] + before_i[:, j - 1]
+                    ends = match * before_both
                     if order > 2:
-                        out[np.ix_(some, marks)] += ends.sum(axis=1).reshape(len(some), len(marks), wide).sum(axis=2)
+                        total += ends.sum(axis=(0, 1))
+                out[np.ix_(some, marks)] = total
     return out
 
 
-class Screen:
-    """Finds the tokens of texts that have four characters of a landmark in a row,
-    with up to one other between any two. Others are toxic too, so neither fitting
-    nor scoring relies on it."""
+class Folded:
+    """A machine's weights on landmarks, as weights on the strings of three and four
+    characters: the kernel is a sum over shared strings, so the weighted sum of a
+    string's kernel values is one over its own subsequences. Weights are multiples
+    of UNIT and decays are powers of two, so every sum is exact, in any order: a
+    string's value doesn't depend on those beside it."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray):
+        self.landmarks, self.weights = landmarks, weights.astype(np.float64)
+        letters = sorted({ord(c) for m in landmarks for c in m})
+        self.base = len(letters) + 1  # 0: no landmark has it
+        self.code = np.zeros(max(letters, default=0) + 2, np.int32)
+        self.code[letters] = np.arange(1, self.base)
+        if self.base > MOST_LETTERS:
+            return
+        self.tables = {order: np.zeros(self.base**order) for order in (3, 4)}
+        for m, weight in zip(landmarks, self.weights.tolist()):
+            x = self.code[codes([m])[0]].astype(np.int64)
+            for order, (places, decays) in zip((3, 4), places_of(len(m))[1:]):
+                at = np.zeros(len(decays), np.int64)
+                for column in places:
+                    at = at * self.base + x[column]
+                np.add.at(self.tables[order], at, weight * decays[:, 0])
+        self.tables = {order: np.round(t / UNIT) * UNIT for order, t in self.tables.items()}
 
-    def __init__(self, landmarks: list[str]):
-        letters = sorted({c for m in landmarks for c in m if ord(c) < 0x10000} - {" "})
-        self.base = len(letters) + 2  # 0: white space, the last: any other
-        self.symbol = np.full(0x10001, self.base - 1, np.int32)
-        self.symbol[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.symbol[[i for i in range(0x10000) if chr(i).isspace()]] = 0
-        self.quads = np.zeros(self.base**4, bool)
-        for m in landmarks:
-            at = [int(x) for x in self.symbol[np.minimum(codes([m])[0], 0x10000)]]
-            for q in zip(at, at[1:], at[2:], at[3:]):
-                self.quads[((q[0] * self.base + q[1]) * self.base + q[2]) * self.base + q[3]] = self.base - 1 not in q
-
-    def tokens(self, texts: list[str | None]) -> list[list[str]]:
-        """For each text, lower-cased, the tokens found and spelled-out words."""
-        lower = [(t or "").lower() for t in texts]
-        joined = "\n " + "\n ".join(lower) + " \n     "
-        x = self.symbol[np.minimum(codes([joined])[0], 0x10000)]
-        n, base = len(x) - 6, np.int32(self.base)
-        hit = np.zeros(n, bool)
-        for a in (1, 2):
-            two = x[:n] * base + x[a : a + n]
-            for b in (1, 2):
-                three = two * base + x[a + b : a + b + n]
-                for c in (1, 2):
-                    hit |= self.quads[three * base + x[a + b + c : a + b + c + n]]
-        space = x == 0
-        starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
-        ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        text_ends = np.cumsum([len(t) + 2 for t in lower])
-        place = np.flatnonzero(hit)
-        found = np.unique(np.concatenate([np.searchsorted(starts, place + k, side="right") - 1 for k in (1, 3, 6)])) if len(place) and len(starts) else np.zeros(0, int)
-        out: list[list[str]] = [[] for _ in texts]
-        for a, b, k in zip(starts[found].tolist(), ends[found].tolist(), np.searchsorted(text_ends, starts[found], side="right").tolist()):
-            out[k].append(joined[a:b])
-        single = ends - starts == 1
-        edge = np.flatnonzero(np.diff(np.r_[0, single.astype(np.int8), 0]))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if b - a >= 3:  # not across texts: runs are cut where the text changes
-                owner = np.searchsorted(text_ends, starts[a:b], side="right")
-                for k in np.unique(owner).tolist():
-                    own = np.flatnonzero(owner == k) + a
-                    if len(own) >= 3:
-                        out[k].append("".join(joined[i] for i in starts[own].tolist()))
+    def values(self, strings: list[str]) -> np.ndarray:
+        """The weighted sum of each string's kernel values."""
+        if self.base > MOST_LETTERS:  # landmarks of so many scripts that tables would be large
+            return np.array([float((kernel([s], self.landmarks)[0] * self.weights).sum()) for s in strings])
+        out = np.zeros(len(strings))
+        by_length: dict[int, list[int]] = {}
+        for i, s in enumerate(strings):
+            by_length.setdefault(len(s), []).append(i)
+        for n, rows in by_length.items():
+            if n < 3:
+                continue
+            (pairs, _), (threes, decay3), (fours, decay4) = places_of(n)
+            first_two, first_three = before(n)
+            at_once = max(1, 400_000 // (len(decay3) + len(decay4)))
+            for start in range(0, len(rows), at_once):
+                some = rows[start : start + at_once]
+                x = self.code[np.minimum(codes([strings[i] for i in some]).T, len(self.code) - 1)]
+                two = x[pairs[0]] * np.int32(self.base) + x[pairs[1]]
+                three = two[first_two] * np.int32(self.base) + x[threes[2]]
+                total = (self.tables[3][three] * decay3).sum(axis=0)
+                if n > 3:
+                    total += (self.tables[4][three[first_three] * np.int32(self.base) + x[fours[3]]] * decay4).sum(axis=0)
+                out[some] = total
         return out
 
 
+@lru_cache(maxsize=None)
+def places_of(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For two, three and four: the ascending places within n, a row for each of
+    them, and the decay of what they skip, as a column."""
+    out = []
+    for order in (2, 3, 4):
+        made = np.array(list(combinations(range(n), order)), np.int64).reshape(-1, order).T
+        out.append((made, float(GAP) ** (made[-1] - made[0] - order + 1)[:, None]))
+    return out
+
+
+@lru_cache(maxsize=None)
+def before(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pair each three of places begins with, and which three each four."""
+    (pairs, _), (threes, _), (fours, _) = places_of(n)
+    number = {tuple(p): k for k, p in enumerate(pairs.T.tolist())}
+    number3 = {tuple(p): k for k, p in enumerate(threes.T.tolist())}
+    return np.array([number[tuple(p)] for p in threes[:2].T.tolist()], np.int64), np.array([number3[tuple(p)] for p in fours[:3].T.tolist()], np.int64)
+
+
 class Bare(dict):
     """Brings strings that have one kernel with all landmarks to one form: what no
     landmark has becomes one character, and goes where it stands at the ends."""
@@ -200,21 +225,25 @@ class Model:
     landmarks: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None  # on the kernel with the landmarks
     bias: float = 0.0
-    worst: float = 0.0  # the logistic function's weights
-    many: float = 0.0
+    slope: float = 0.0  # the logistic function's, and its value at no toxic word
     prior: float = 0.0
 
     def __post_init__(self) -> None:
         self.known: dict[str, float] = {}
         self.bare = Bare(self.landmarks)
         self.seen: dict[str, float] = {}
+        self.folded: Folded | None = None
+
+    def __getstate__(self) -> dict:  # what a worker makes for itself stays behind
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "seen", "folded")} | {"known": {}, "seen": {}, "folded": None}
 
     def values(self, strings: list[str]) -> np.ndarray:
         forms, seen = self.bare.forms(strings), self.seen
         if len(seen) > KEPT_WINDOWS:
             seen.clear()
+        self.folded = self.folded or Folded(self.landmarks, self.weights)
         new = [f for f in dict.fromkeys(forms) if f not in seen]
-        seen.update(zip(new, (kernel(new, self.landmarks) @ self.weights + self.bias).tolist()))
+        seen.update(zip(new, (self.folded.values(new) + self.bias).tolist()))
         return np.array([seen[f] for f in forms])
 
     def look_up(self, tokens: set[str]) -> dict[str, float]:
@@ -223,7 +252,7 @@ class Model:
             known.clear()
         new = [t for t in tokens if t not in known]
         parts = [(t, w) for t in new for w in windows(t)]
-        known.update(dict.fromkeys(new, FLOOR))
+        known.update(dict.fromkeys(new, 0.0))
         if parts:
             strings = list({w for _, w in parts})
             value = dict(zip(strings, self.values(strings).tolist()))
@@ -231,19 +260,17 @@ class Model:
                 known[t] = max(known[t], value[w])
         return known
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The logistic function of each text's worst window and count of windows above SURE."""
-        if self.weights is None:
-            return np.full(len(texts), 1 / (1 + np.exp(-self.prior)))
+    def amounts(self, texts: list[str | None]) -> np.ndarray:
+        """How much of each text lies on the toxic side: the logarithm of one and its
+        words' values above zero."""
         split = [tokens_of(t) for t in texts]
         known = self.look_up({t for s in split for t in s})
-        worst, many = np.full(len(texts), FLOOR), np.zeros(len(texts))
-        for i, s in enumerate(split):
-            if s:
-                found = np.fromiter(map(known.__getitem__, s), np.float64, len(s))
-                worst[i] = max(FLOOR, found.max())
-                many[i] = np.count_nonzero(found > SURE)
-        return 1 / (1 + np.exp(-(self.prior + self.worst * worst + self.many * np.log1p(many))))
+        return np.log1p([math.fsum(map(known.__getitem__, s)) for s in split])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The logistic function of each text's amount."""
+        amounts = np.zeros(len(texts)) if self.weights is None else self.amounts(texts)
+        return 1 / (1 + np.exp(-(self.prior + self.slope * amounts)))
 
 
 def string_counts(sample: DataFrame) -> DataFrame:
@@ -281,62 +308,60 @@ def count_batch(bad: Counter, good: Counter) -> pa.RecordBatch:
 
 
 def choose_landmarks(counted: DataFrame, n_bad: int, n_good: int) -> list[str]:
-    """Greedily by how well a string tells toxic documents, none too like another."""
+    """Greedily by how well a string tells toxic documents, none too like another;
+    then the commonest strings of clean ones. Candidates come in order, a partition
+    at a time, until enough are chosen."""
     rate_bad, rate_good = (F.col("bad") + 0.5) / (n_bad + 1), (F.col("good") + 0.5) / (n_good + 1)
-    telling = F.col("bad") * F.log(rate_bad / rate_good)
-    top = counted.where((F.col("bad") >= 3) & (rate_bad > 4 * rate_good)).orderBy(F.round(telling, 6).desc(), F.length("string").desc(), "string").limit(1500).select("string").collect()
-    common = counted.where((F.length("string") >= 4) & (F.col("bad") * n_good <= F.col("good") * n_bad * 1.2)).orderBy(F.col("good").desc(), "string").limit(40).select("string").collect()
+    telling = F.round(F.col("bad") * F.log(rate_bad / rate_good), 6)
+    toxic = counted.where((F.col("bad") >= 3) & (rate_bad > 4 * rate_good)).orderBy(telling.desc(), F.length("string").desc(), "string")
+    common = counted.where((F.length("string") >= 4) & (F.col("bad") * n_good <= F.col("good") * n_bad * 1.2)).orderBy(F.col("good").desc(), "string")
     chosen: list[str] = []
-    for strings, most in (([r[0] for r in top], TOXIC_LANDMARKS), ([r[0] for r in common], TOXIC_LANDMARKS + CLEAN_LANDMARKS)):
-        own = {s: float(kernel([s], [s])[0, 0]) for s in strings}
-        for s in strings:
+    own: list[float] = []
+    for candidates, most in ((toxic, TOXIC_LANDMARKS), (common, TOXIC_LANDMARKS + CLEAN_LANDMARKS)):
+        for (s,) in candidates.select("string").toLocalIterator():
             if len(chosen) >= most:
                 break
-            if own[s] <= 0 or any(s in c or c in s for c in chosen):
+            if any(s in c or c in s for c in chosen):
                 continue
-            if chosen:
-                like = kernel([s], chosen)[0] / np.sqrt(own[s] * np.array([own.get(c) or float(kernel([c], [c])[0, 0]) for c in chosen]))
-                if like.max() > 0.55:
-                    continue
-            chosen.append(s)
+            k = kernel([s], [s, *chosen])[0]
+            if k[0] > 0 and (k[1:] <= 0.55 * np.sqrt(k[0] * np.array(own))).all():
+                chosen.append(s)
+                own.append(float(k[0]))
         if not chosen:
             return []
     return chosen
 
 
-def sentence_vectors(sample: DataFrame, landmarks: list[str], per_doc: int = 6) -> DataFrame:
-    """doc, label and k (kernel values with the landmarks) of the windows most like a
-    landmark, of the `per_doc` most suspect sentences of each document."""
-    own = np.array([float(kernel([m], [m])[0, 0]) for m in landmarks], np.float32)
+def suspects(sample: DataFrame, landmarks: list[str]) -> DataFrame:
+    """doc, label and form: of every sentence of a document, the window that is most
+    like a toxic landmark, once for each document."""
+    own = kernel(landmarks, landmarks).diagonal()
     toxic = min(TOXIC_LANDMARKS, len(landmarks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bare = Bare(landmarks)
         for part in slices(batches, ["doc", "text", "label"], 1_000_000):
-            docs, labels, rows = [], [], []
-            found = [tokens_of(line) for t in part["text"] for line in sentence_texts(t)]
-            owner = [i for i, t in enumerate(part["text"]) for _ in sentence_texts(t)]
-            strings = list({w for tokens in found for t in tokens for w in windows(t)})
-            if not strings:
-                continue
-            forms = bare.forms(strings)
-            own_row = {f: i for i, f in enumerate(dict.fromkeys(forms))}
-            values = kernel(list(own_row), landmarks)
-            suspect = (values / own)[:, :toxic].max(axis=1)
-            at = {s: own_row[f] for s, f in zip(strings, forms)}
-            by_doc: dict[int, list[tuple[float, str]]] = {}
-            for i, tokens in zip(owner, found):
-                seen = [w for t in tokens for w in windows(t)]
-                if seen:
-                    by_doc.setdefault(i, []).append(max((float(suspect[at[w]]), w) for w in seen))
-            for i, worst in by_doc.items():
-                for _, w in sorted(worst, reverse=True)[:per_doc]:
-                    docs.append(part["doc"][i])
-                    labels.append(part["label"][i])
-                    rows.append(values[at[w]].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["doc", "label", "k"])
-
-    return sample.select("doc", "text", "label").mapInArrow(run, "doc long, label int, k array<float>")
+            found = [(i, tokens_of(line)) for i, t in enumerate(part["text"]) for line in sentence_texts(t)]
+            strings = list({w for _, tokens in found for t in tokens for w in windows(t)})
+            forms = dict(zip(strings, bare.forms(strings)))
+            single = list(dict.fromkeys(forms.values()))
+            like = dict(zip(single, (kernel(single, landmarks) / own)[:, :toxic].max(axis=1).tolist() if single else []))
+            rows = dict.fromkeys((i, max((like[f], f) for f in mine)[1]) for i, tokens in found if (mine := [forms[w] for t in tokens for w in windows(t)]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([part[c][i] for i, _ in rows], k) for c, k in (("doc", pa.int64()), ("label", pa.int32()))] + [pa.array([f for _, f in rows], pa.string())], names=["doc", "label", "form"])
+
+    return sample.select("doc", "text", "label").mapInArrow(run, "doc long, label int, form string").distinct()
+
+
+def vectors_of(forms: DataFrame, landmarks: list[str]) -> DataFrame:
+    """form and k (kernel values with the landmarks), once for each form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = kernel(batch.column("form").to_pylist(), landmarks)
+            yield pa.RecordBatch.from_arrays([batch.column("form"), pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, k.shape[1]), pa.int32()), pa.array(k.reshape(-1)))], names=["form", "k"])
+
+    return forms.select("form").distinct().mapInArrow(run, "form string, k array<float>")
 
 
 def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 30) -> np.ndarray:
@@ -371,45 +396,56 @@ def fit(sample: DataFrame) -> Model:
     landmarks = choose_landmarks(cut(string_counts(sample)), n_bad, n_good) if n_bad and n_good else []
     if not landmarks:
         return Model(prior=prior)
-    rows = sentence_vectors(sample, landmarks).toPandas().sort_values("doc", kind="stable")
-    if not {0, 1} <= {*rows["label"]}:
+    pairs = cut(suspects(sample, landmarks))
+    rows = pairs.toArrow().sort_by([("doc", "ascending"), ("form", "ascending")])
+    doc, bad = rows["doc"].to_numpy(), rows["label"].to_numpy() == 1
+    if bad.all() or not bad.any():
         return Model(prior=prior)
-    k = np.stack(rows["k"].to_numpy()).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
+    known = vectors_of(pairs, landmarks).toArrow().sort_by("form")
+    at = pc.index_in(rows["form"], value_set=known["form"]).to_numpy()
+    k = known["k"].combine_chunks().flatten().to_numpy().reshape(known.num_rows, -1).astype(np.float64)
+    alike = kernel(landmarks, landmarks).astype(np.float64)
+    values, vectors = np.linalg.eigh(alike)
     keep = values > 1e-3 * values.max()
     project = vectors[:, keep] / np.sqrt(values[keep])
-    x, doc, bad = k @ project, rows["doc"].to_numpy(), rows["label"].to_numpy() == 1
+    x = k @ project  # a row for each form: documents share them
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     toxic = landmarks[: min(TOXIC_LANDMARKS, len(landmarks))]
-    score = (k / np.diag(kernel(landmarks, landmarks)))[:, : len(toxic)].max(axis=1) * 2 - 1.5
+    score = ((k / alike.diagonal())[:, : len(toxic)].max(axis=1) * 2 - 1.5)[at]
     spoilt = kernel([v for m in toxic for v in variants(m)], landmarks).astype(np.float64) @ project
     for _ in range(3):
-        best = np.maximum.reduceat(score, first)
-        worst_of_doc = score >= np.repeat(best, np.diff(np.r_[first, len(doc)]))
-        use = ~bad | (score > 0) | worst_of_doc
+        worst_of_doc = score >= np.repeat(np.maximum.reduceat(score, first), np.diff(np.r_[first, len(doc)]))
+        use = worst_of_doc | (score > np.where(bad, 0, -1))  # clean ones below -1 are right already and have no loss
         y = np.where(bad, 1.0, -1.0)[use]
         # Both classes weigh alike; a sentence that only its document's label speaks for weighs little.
         trust = np.where(score[use] > 0, 1.0, 0.1)
         weight = np.where(y > 0, trust / max(1e-9, trust[y > 0].sum()), 1 / max(1, (y < 0).sum()))
-        w = linear_machine(np.r_[x[use], spoilt], np.r_[y, np.ones(len(spoilt))], np.r_[weight, np.full(len(spoilt), 0.1 / max(1, len(spoilt)))])
-        score = x @ w[:-1] + w[-1]
+        w = linear_machine(np.r_[x[at[use]], spoilt], np.r_[y, np.ones(len(spoilt))], np.r_[weight, np.full(len(spoilt), 0.1 / max(1, len(spoilt)))])
+        score = (x @ w[:-1] + w[-1])[at]
     model = Model(landmarks, (project @ w[:-1]).astype(np.float32), float(w[-1]), prior=prior)
-    many = np.add.reduceat((score > SURE).astype(float), first)
-    worst, label = np.maximum(FLOOR, np.maximum.reduceat(score, first)), bad[first].astype(float)
-    # Documents without a word stand at FLOOR, as two weighted rows.
-    design = np.r_[np.c_[worst, np.log1p(many), np.ones(len(worst))], [[FLOOR, 0, 1], [FLOOR, 0, 1]]]
-    count = np.r_[np.ones(len(worst)), max(0, n_bad - label.sum()), max(0, n_good - (1 - label).sum())]
-    label = np.r_[label, 1, 0]
-    c = np.array([1.0, 0.0, prior])
+    seen = amount_rows(sample, model).toArrow().sort_by("doc")
+    design, label = np.c_[seen["amount"].to_numpy(), np.ones(seen.num_rows)], (seen["label"].to_numpy() == 1).astype(float)
+    c = np.array([0.0, prior])
     for _ in range(50):  # a ridge logistic fit by Newton's method
         p = 1 / (1 + np.exp(-design @ c))
-        gradient = design.T @ (count * (label - p)) - 1e-2 * c * np.array([1, 1, 0])
-        hessian = (design * (count * p * (1 - p))[:, None]).T @ design + 1e-2 * np.diag([1, 1, 0.01])
+        gradient = design.T @ (label - p) - 1e-2 * c * np.array([1, 0])
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.diag([1, 0.01])
         c = c + np.linalg.solve(hessian, gradient)
-    model.worst, model.many, model.prior = map(float, c)
+    model.slope, model.prior = map(float, c)
     return model
 
 
+def amount_rows(sample: DataFrame, model: Model) -> DataFrame:
+    """doc, label and amount of each document of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = worker_model(model)
+        for part in slices(batches, ["doc", "text", "label"]):
+            yield pa.RecordBatch.from_arrays([pa.array(part["doc"], pa.int64()), pa.array(part["label"], pa.int32()), pa.array(own.amounts(part["text"]))], names=["doc", "label", "amount"])
+
+    return sample.select("doc", "text", "label").mapInArrow(run, "doc long, label int, amount double")
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col and score of each row of docs."""
 
@@ -427,7 +463,7 @@ _models: dict[tuple, Model] = {}
 
 def worker_model(model: Model) -> Model:
     """This process's copy of a model, with the windows that it has seen."""
-    key = (tuple(model.landmarks), None if model.weights is None else model.weights.tobytes(), model.bias)
+    key = (tuple(model.landmarks), None if model.weights is None else model.weights.tobytes(), model.bias, model.slope, model.prior)
     if key not in _models:
         _models.clear()
         _models[key] = model

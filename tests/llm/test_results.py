@@ -131,41 +131,118 @@ def test_rules(run, tables):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
-@pytest.mark.parametrize(("name", "label", "folds", "held", "least"), [("op8_boosted_quality", "quality", 3, 1, 0.97), ("op2_toxicity", "toxic", 4, 2, 0.8)])
-def test_classifiers(spark, name, label, folds, held, least):
+@pytest.mark.parametrize(
+    ("name", "label", "folds", "held", "cut", "area", "precision", "recall"),
+    [("op8_boosted_quality", "quality", 3, 1, 0.5, 0.97, 0.9, 0.9), ("op2_toxicity", "toxic", 4, 2, 0.3, 0.85, 0.75, 0.75)],
+)
+def test_classifiers(spark, name, label, folds, held, cut, area, precision, recall):
     sf = SF.replace("0.001", "0.01")
     out = queries.QUERIES[name](spark, sf).toPandas()
     assert all((zlib.crc32(str(i).encode()) % folds == held) == h for i, h in zip(out["doc_id"], out["held_out"]))
+    assert ((out["score"] >= cut) == (out["predicted"] == 1)).all()
     both = out.merge(duckdb.sql(f"select * from read_parquet('{sf}/labels.parquet')").df(), on="doc_id")
     both = both[both["held_out"]]
-    rank, bad = both["score"].rank(), both[label] == 1
+    rank, bad, said = both["score"].rank(), both[label] == 1, both["predicted"] == 1
     auc = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
-    assert auc >= least
+    assert auc >= area
+    assert (said & bad).sum() >= precision * said.sum() and (said & bad).sum() >= recall * bad.sum()
 
 
-def test_toxicity_tolerates_spoilt_insults():
-    from gridframe.llm.toxicity import Screen, kernel
+def shared_strings(a, b):
+    """The kernel by listing all subsequences of three and of four characters."""
+
+    def weighed(s):
+        out = Counter()
+        for order in (3, 4):
+            for places in itertools.combinations(range(len(s)), order):
+                out["".join(s[i] for i in places)] += 0.5 ** (places[-1] - places[0] - order + 1)
+        return out
+
+    x, y = weighed(a), weighed(b)
+    return sum(x[u] * y[u] for u in x.keys() & y.keys())
+
+
+def test_kernel_against_enumeration():
+    from gridframe.llm.toxicity import Folded, kernel
+
+    rng = random.Random(5)
+    strings = [" idiot ", "i-d-i-o-t", "", "ab", "abc", "\U0001f642id\U0001f642iot", *("".join(rng.choices("abc idot", k=rng.randrange(3, 24))) for _ in range(30))]
+    landmarks = [" idiot ", "stupid", "abcabc", "dot", "\U0001f642iot"]
+    want = np.array([[shared_strings(s, m) for m in landmarks] for s in strings])
+    np.testing.assert_allclose(kernel(strings, landmarks), want, rtol=1e-5)
+    weights = np.array([0.7, -0.4, 0.1, 0.2, 1.5])
+    folded = Folded(landmarks, weights)
+    np.testing.assert_allclose(folded.values(strings), want @ weights, atol=1e-3)
+    assert [folded.values([s])[0] for s in strings] == folded.values(strings).tolist()
+    many = ["".join(map(chr, range(0x4E00 + 20 * k, 0x4E00 + 20 * k + 20))) for k in range(5)]  # of too many letters for tables
+    np.testing.assert_allclose(Folded(many, weights).values([*strings, many[0][:9]]), kernel([*strings, many[0][:9]], many) @ weights, rtol=1e-5)
 
-    own = kernel([" idiot "], [" idiot "])[0, 0]
-    like = kernel([" idxiot ", " idiiot ", " thonre "], [" idiot "])[:, 0] / own
-    assert like[0] > 0.4 and like[1] > 0.8 and like[2] < 0.05
-    found = Screen([" idiot "]).tokens(["an i-d-i-o-t here", "i d i o t", "nothing at all", None])
-    assert "i-d-i-o-t" in found[0] and "idiot" in found[1] and not found[2] and not found[3]
 
+def test_toxicity_scores_stand_alone(spark, tables):
+    from gridframe.llm import toxicity
 
-def test_toxicity_weighs_every_word():
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    landmarks = [" idiot ", " stupid ", "\U0001f4a9\U0001f4a9\U0001f4a9"]
+    model = toxicity.Model(landmarks, np.array([0.05, 0.05, 0.5], np.float32), -0.2, slope=1.5, prior=-2.0)
+    texts = ["zzz idle", "idiot x", None, "", "s t u p i d", "\U0001f4a9\U0001f4a9-\U0001f4a9", *tables["documents"]["text"].head(60)]
+    alone = [float(toxicity.Model(landmarks, model.weights, -0.2, slope=1.5, prior=-2.0).scores([t])[0]) for t in texts]
+    assert alone == model.scores(texts).tolist() == model.scores(texts[::-1]).tolist()[::-1]
+    one, many = ({r["doc_id"]: r["score"] for r in toxicity.score(docs.repartition(n), model).collect()} for n in (1, 7))
+    assert one == many and alone[4] > alone[2] == alone[3] < alone[5]
+
+
+def test_toxicity_tolerates_spoilt_insults():
     from gridframe.llm.toxicity import Bare, Model, kernel
 
+    own = kernel([" idiot "], [" idiot "])[0, 0]
+    like = kernel([" idxiot ", " idiiot ", " thonre "], [" idiot "])[:, 0] / own
+    assert like[0] > 0.4 and like[1] > 0.8 and like[2] < 0.05
     landmarks = [" idiot ", " scum "]
     own = kernel(landmarks, landmarks).diagonal()
-    model = Model(landmarks, (1 / own).astype(np.float32), -0.5, worst=1.0)
-    plain, spoilt = "you idiot here", ["i--d--i--o--t", "i**d**i**o**t", "i...d...i...o...t", "sc--um", "s--c--u--m", "iiidddiiiooottt"]
+    model = Model(landmarks, (1 / own).astype(np.float32), -0.25, slope=3.0, prior=-1.0)
+    plain, spoilt = "you idiot here", ["i--d--i--o--t", "i**d**i**o**t", "i...d...i...o...t", "sc--um", "s--c--u--m", "iiidddiiiooottt", "i d i o t", "idxiot", "1diot"]
     low, *high = model.scores(["nothing at all", plain, *(f"you {x} here" for x in spoilt)])
-    assert low < 0.4 and min(high) > 0.45 and min(high[:6]) > 0.6
+    assert low < 0.3 and min(high) > low
+    assert min(high[:7]) > 0.5
     strings = [" 77idiot99 ", "id\u00e9\u00e9iot", "zz", " s-c-u-m "]
     np.testing.assert_array_equal(kernel(Bare(landmarks).forms(strings), landmarks), kernel(strings, landmarks))
 
 
+def test_trees_against_walks():
+    from gridframe.llm import boosting
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(400, len(boosting.FEATURES))), 1).astype(np.float32)
+    y = (x[:, 3] + 0.5 * x[:, 7] > 0.2).astype(float)
+    forest = boosting.fit(x, y)
+
+    def walk(row):
+        total = forest.start
+        for f, t, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 2 if row[f[node]] > t[node] else 2 * node + 1
+            total += leaf[node - len(f)]
+        return 1 / (1 + np.exp(-total))
+
+    np.testing.assert_allclose(forest.scores(x), [walk(r) for r in x], rtol=1e-12)
+    assert ((forest.scores(x) > 0.5) == (y == 1)).mean() > 0.97
+    np.testing.assert_array_equal(forest.scores(x), np.concatenate([forest.scores(x[i : i + 1]) for i in range(len(x))]))
+    # The first split by trying every value of every feature: few values, so bins hold one each.
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(mask):
+        if h[mask].sum() < boosting.LEAST or h[~mask].sum() < boosting.LEAST:
+            return -np.inf
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + boosting.RIDGE)
+        return part(mask) + part(~mask) - part(np.ones(len(y), bool))
+
+    best = max(((gain(x[:, f] <= v), f) for f in range(x.shape[1]) for v in np.unique(x[:, f])[:-1]), key=lambda z: z[0])
+    assert best[1] == forest.feature[0, 0]
+    assert gain(x[:, best[1]] <= forest.threshold[0, 0]) == pytest.approx(best[0])
+
+
 def encoded(tables, name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     docs = tables["documents"]
