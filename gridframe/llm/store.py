@@ -6,11 +6,14 @@ stand. A chunk is named by the digest of its bytes and is stored once; a recipe
 lists a document's chunks; manifests hold Merkle roots over the recipes.
 
 Files under `path`, all written and read by Spark:
-  chunks/    hi, lo (the digest's halves), ids (little-endian, `width` bytes each)
+  chunks/    hi, lo (the digest's halves), ids (little-endian, `width` bytes each),
+             holders (how many tasks sent it)
   recipes/   part, pos, doc_id, start (within the part), n_tokens, chunks
-             (digests, 16 bytes each), root; parts and positions ascend by doc_id
-  manifest/  part, before (ids of all parts before it), n_docs, n_tokens, root;
-             part -1 is the corpus, its root over the parts' roots
+             (digests, 16 bytes each), root (of all that and the chunks' Merkle
+             root); parts and positions ascend by doc_id
+  manifest/  part, before (ids of all parts before it), n_docs, n_tokens, root
+             (over the recipes' roots); part -1 is the corpus, its root over the
+             parts' rows
 
 Scale: texts are tokenised once; what that gives is staged in the shared folder,
 since two tables are made from it. A task drops chunks it has already sent, and
@@ -18,23 +21,29 @@ the rest are aggregated by digest. Recipes are range-partitioned by doc_id and
 numbered within their part; the parts' totals give the starts. Reading back
 checks every chunk's bytes against its name where it is stored and sends on only
 its CRC, which is shifted by the bytes that follow it and combined by exclusive
-or: documents are verified without moving their ids again.
+or: documents are verified without moving their ids again. Every recipe read is
+hashed anew and held against its root, and the roots against the manifest; what
+differs raises. Chunks with most holders, HOT at most, are joined under SALTS
+salts, so that a chunk which a third of all documents share is no hot key.
 
 Cases: a null or empty text is the end id alone; repeated rows have recipes of
 their own and share chunks; texts of any length are cut into as many chunks as
 they need; an empty table gives empty folders and no rows; further columns are
-not read.
+not read; a null id is kept and sorts first. An id that `width` bytes can't hold
+raises.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +52,7 @@ from gridframe.llm.tokens import encoder
 
 MIN_IDS, MASK, MAX_IDS, REACH = 64, 0x1FF, 4096, 8
 DIGEST = 16
+HOT, HOT_HOLDERS, SALTS = 1000, 16, 64
 
 
 def digest(data: bytes) -> bytes:
@@ -57,6 +67,16 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def recipe_root(doc_id: int | None, start: int, n_tokens: int, chunks: bytes) -> bytes:
+    """A document's root: of its place, its length and the Merkle root of its chunks."""
+    return digest(struct.pack("<?qqq", doc_id is None, doc_id or 0, start, n_tokens) + merkle_root([chunks[i : i + DIGEST] for i in range(0, len(chunks), DIGEST)]))
+
+
+def corpus_root(parts: list[tuple[int, int, int, int, bytes]]) -> bytes:
+    """The root over the manifest's rows (part, before, n_docs, n_tokens, root)."""
+    return merkle_root([digest(struct.pack("<qqqq", *p[:4]) + p[4]) for p in parts])
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Where chunks end: after an id at which the gear hash of the REACH ids up to
     it has zero low bits, but not within MIN_IDS, and after MAX_IDS at the latest."""
@@ -91,6 +111,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: st
             rows = []
             for i, made in zip(part["__id"], encode.ids([t or "" for t in part["__text"]])):
                 ids = np.frombuffer(made + end, "<u4")
+                if width < 4 and int(ids.max()) >> (8 * width):
+                    raise ValueError(f"the id {int(ids.max())} does not fit in {width} bytes")
                 raw = ids.astype(f"<u{width}").tobytes()
                 ends = cuts(ids)
                 starts = [0, *ends[:-1]]
@@ -104,7 +126,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: st
 
 
 def unique_chunks(staged: DataFrame, width: int) -> DataFrame:
-    """hi, lo and ids of every chunk, once."""
+    """hi, lo, ids and holders of every chunk, once."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -129,7 +151,7 @@ def unique_chunks(staged: DataFrame, width: int) -> DataFrame:
                 yield chunk_batch(names, bodies)
 
     rows = staged.select("chunks", "sizes", "ids").mapInArrow(spread, "hi long, lo long, ids binary")
-    return rows.groupBy("hi", "lo").agg(F.first("ids").alias("ids"))
+    return rows.groupBy("hi", "lo").agg(F.first("ids").alias("ids"), F.count("*").alias("holders"))
 
 
 def chunk_batch(names: list[bytes], bodies: list[bytes]) -> pa.RecordBatch:
@@ -147,7 +169,7 @@ def recipes(staged: DataFrame) -> DataFrame:
             n = batch.column("n_tokens").to_numpy()
             ends = start + np.cumsum(n)
             chunks = batch.column("chunks").to_pylist()
-            roots = [merkle_root([c[i : i + DIGEST] for i in range(0, len(c), DIGEST)]) for c in chunks]
+            roots = list(map(recipe_root, batch.column("doc_id").to_pylist(), (ends - n).tolist(), n.tolist(), chunks))
             columns = [batch.column("part"), pa.array(pos + np.arange(len(n))), batch.column("doc_id"), pa.array(ends - n), batch.column("n_tokens"), batch.column("chunks"), pa.array(roots, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
             pos, start = pos + len(n), int(ends[-1]) if len(n) else start
@@ -184,13 +206,23 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     unique_chunks(staged, width).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes(staged).write.option("compression", "zstd").parquet(f"{path}/recipes")
     remove_path(spark, staging)
-    parts = part_manifests(spark.read.parquet(f"{path}/recipes")).orderBy("part").collect()  # a row for each file of recipes
+    spark.createDataFrame(manifest_rows(spark, path), "part int, before long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def manifest_rows(spark: SparkSession, path: str) -> list[tuple[int, int, int, int, bytes]]:
+    """The manifest of the recipes as they are: part, before, n_docs, n_tokens and root."""
     rows, before = [], 0
-    for r in parts:
+    for r in part_manifests(spark.read.parquet(f"{path}/recipes")).orderBy("part").collect():  # a row for each file of recipes
         rows.append((r["part"], before, r["n_docs"], r["n_tokens"], bytes(r["root"])))
         before += r["n_tokens"]
-    rows.append((-1, 0, sum(r["n_docs"] for r in parts), before, merkle_root([bytes(r["root"]) for r in parts])))
-    spark.createDataFrame(rows, "part int, before long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    return [*rows, (-1, 0, sum(r[2] for r in rows), before, corpus_root(rows))]
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises if the recipes' roots don't give the manifest."""
+    kept = [(r["part"], r["before"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/manifest").collect()]
+    if sorted(kept) != sorted(manifest_rows(spark, path)):
+        raise ValueError("the recipes do not give the roots in the manifest")
 
 
 @lru_cache(maxsize=1)
@@ -224,41 +256,62 @@ def shift_crc(crc: np.ndarray, following: np.ndarray) -> np.ndarray:
     return crc
 
 
+def check_names(batch: pa.RecordBatch) -> list[bytes]:
+    """The bodies of some chunks, if they match their names."""
+    bodies = batch.column("ids").to_pylist()
+    names = np.stack([batch.column("hi").to_numpy(), batch.column("lo").to_numpy()], 1).astype("<i8").tobytes()
+    if names != b"".join(map(digest, bodies)):
+        raise ValueError("a stored chunk's bytes do not match its name")
+    return bodies
+
+
 def chunk_sums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """hi, lo, crc (of the chunk's ids as unsigned 32-bit integers) and n of every
     stored chunk, whose bytes are held against its name."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column("ids").to_pylist()
-            names = np.stack([batch.column("hi").to_numpy(), batch.column("lo").to_numpy()], 1).astype("<i8").tobytes()
-            if names != b"".join(map(digest, bodies)):
-                raise ValueError("a stored chunk's bytes do not match its name")
+            bodies = check_names(batch)
             crcs = [zlib.crc32(np.frombuffer(b, f"<u{width}").astype("<u4").tobytes()) for b in bodies]
             yield pa.RecordBatch.from_arrays([batch.column("hi"), batch.column("lo"), pa.array(crcs, pa.int64()), pa.array([len(b) // width for b in bodies], pa.int64())], names=["hi", "lo", "crc", "n"])
 
-    return spark.read.parquet(f"{path}/chunks").mapInArrow(check, "hi long, lo long, crc long, n long")
+    return spark.read.parquet(f"{path}/chunks").select("hi", "lo", "ids").mapInArrow(check, "hi long, lo long, crc long, n long")
 
 
 def references(recipe: DataFrame) -> DataFrame:
-    """part, pos, seq, hi and lo of each chunk of each recipe."""
+    """part, pos, seq, hi and lo of each chunk of each recipe, which is held against its root."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks = batch.column("chunks").to_pylist()
+            roots = map(recipe_root, *(batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens")), chunks)
+            if list(roots) != batch.column("root").to_pylist():
+                raise ValueError("a recipe does not give its root")
             n = np.array([len(c) // DIGEST for c in chunks])
             halves = np.frombuffer(b"".join(chunks), "<i8").reshape(-1, 2)
             seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             part, pos = (np.repeat(batch.column(c).to_numpy(), n) for c in ("part", "pos"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, pos, seq, halves[:, 0], halves[:, 1])], names=["part", "pos", "seq", "hi", "lo"])
 
-    return recipe.select("part", "pos", "chunks").mapInArrow(spread, "part int, pos long, seq long, hi long, lo long")
+    return recipe.select("part", "pos", "doc_id", "start", "n_tokens", "chunks", "root").mapInArrow(spread, "part int, pos long, seq long, hi long, lo long")
+
+
+def with_chunks(found: DataFrame, stored: DataFrame, holders: DataFrame) -> DataFrame:
+    """found(part, pos, seq, hi, lo) with what stored(hi, lo, ...) has, or nulls. The
+    chunks of most holders (hi, lo, holders) are spread over salts on both sides."""
+    hot = F.broadcast(holders.where(F.col("holders") >= HOT_HOLDERS).orderBy(F.col("holders").desc(), "hi", "lo").limit(HOT).select("hi", "lo", F.lit(True).alias("hot")))
+    found = found.join(hot, ["hi", "lo"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("part", "pos", "seq"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))
+    stored = stored.join(hot, ["hi", "lo"], "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return found.drop("hot").join(stored, ["hi", "lo", "salt"], "left").drop("salt")
 
 
 def read_sums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files, which
+    are verified on the way."""
+    check_manifest(spark, path)
     recipe = spark.read.parquet(f"{path}/recipes")
-    found = references(recipe).join(chunk_sums(spark, path, width), ["hi", "lo"], "left")
+    found = with_chunks(references(recipe), chunk_sums(spark, path, width), spark.read.parquet(f"{path}/chunks"))
     after = Window.partitionBy("part", "pos").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("following", F.coalesce(F.sum("n").over(after), F.lit(0)) * 4)
 
@@ -271,31 +324,49 @@ def read_sums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     sums = found.select("part", "pos", "n", "crc", "following").mapInArrow(shift, "part int, pos long, n long, crc long")
     sums = sums.groupBy("part", "pos").agg(F.sum("n").alias("found_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    rows = placed_recipes(spark, path).join(sums, ["part", "pos"])
+    same = F.when(F.col("found_tokens") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document's chunks do not have its length")))
+    return rows.select("doc_id", "start", same.alias("n_tokens"), "ids_crc32")
+
+
+def placed_recipes(spark: SparkSession, path: str) -> DataFrame:
+    """part, pos, doc_id, start (in the corpus) and n_tokens of every recipe."""
     manifest = spark.read.parquet(f"{path}/manifest").where("part >= 0").select("part", "before")
-    rows = recipe.select("part", "pos", "doc_id", "start").join(sums, ["part", "pos"]).join(manifest, "part")
-    return rows.select("doc_id", (F.col("before") + F.col("start")).alias("start"), F.col("found_tokens").alias("n_tokens"), "ids_crc32")
+    recipe = spark.read.parquet(f"{path}/recipes")
+    return recipe.join(manifest, "part").select("part", "pos", "doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens")
 
 
 def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start and ids (little-endian unsigned 32-bit) of every document."""
-    recipe = spark.read.parquet(f"{path}/recipes")
-    found = references(recipe).join(spark.read.parquet(f"{path}/chunks"), ["hi", "lo"])
-    bodies = found.groupBy("part", "pos").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("chunks"))
+    """doc_id, start and ids (little-endian unsigned 32-bit) of every document; the
+    recipes are verified on the way, the chunks by their names."""
+    check_manifest(spark, path)
+    stored = spark.read.parquet(f"{path}/chunks")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            check_names(batch)
+            yield batch.select(["hi", "lo", "ids"])
+
+    bodies = stored.select("hi", "lo", "ids").mapInArrow(named, "hi long, lo long, ids binary")
+    found = with_chunks(references(spark.read.parquet(f"{path}/recipes")), bodies, stored)
+    found = found.groupBy("part", "pos").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("chunks"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["ids"] for x in c), f"<u{width}").astype("<u4").tobytes() for c in batch.column("chunks").to_pylist()]
+            chunks = batch.column("chunks").to_pylist()
+            if any(x["ids"] is None for c in chunks for x in c):
+                raise ValueError("a recipe names a chunk that is not stored")
+            ids = [np.frombuffer(b"".join(x["ids"] for x in c), f"<u{width}").astype("<u4").tobytes() for c in chunks]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("pos"), pa.array(ids, pa.binary())], names=["part", "pos", "ids"])
 
-    bodies = bodies.mapInArrow(join_up, "part int, pos long, ids binary")
-    manifest = spark.read.parquet(f"{path}/manifest").where("part >= 0").select("part", "before")
-    rows = recipe.select("part", "pos", "doc_id", "start").join(bodies, ["part", "pos"]).join(manifest, "part")
-    return rows.select("doc_id", (F.col("before") + F.col("start")).alias("start"), "ids")
+    joined = found.mapInArrow(join_up, "part int, pos long, ids binary")
+    return placed_recipes(spark, path).join(joined, ["part", "pos"]).select("doc_id", "start", "ids")
 
 
-def verify(spark: SparkSession, path: str) -> bool:
-    """Whether the recipes as they are now give the roots in the manifest."""
-    kept = {r["part"]: bytes(r["root"]) for r in spark.read.parquet(f"{path}/manifest").collect()}
-    now = {r["part"]: bytes(r["root"]) for r in part_manifests(spark.read.parquet(f"{path}/recipes")).collect()}
-    whole = merkle_root([now[k] for k in sorted(now)])
-    return kept.pop(-1) == whole and kept == now
+def verify(spark: SparkSession, path: str, width: int = 2) -> bool:
+    """Whether chunks, recipes and manifest are as they were written."""
+    try:
+        read_sums(spark, path, width).agg(F.sum("ids_crc32")).collect()
+    except (ValueError, PySparkException):
+        return False
+    return True

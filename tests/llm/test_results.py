@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -261,6 +262,46 @@ def test_store(spark, run, tables, tmp_path):
     assert store.verify(spark, path)
 
 
+@pytest.mark.parametrize("harm", ["chunk", "missing", "recipe", "doc_id", "start", "n_tokens", "root", "before", "manifest"])
+def test_store_finds_tampering(spark, tmp_path, harm):
+    docs = spark.createDataFrame([(i, f"words {i} of a text " * (40 * i + 1)) for i in range(6)] + [(None, None)], "doc_id long, text string").repartition(2)
+    path, other = str(tmp_path / "store"), str(tmp_path / "harmed")
+    store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert store.verify(spark, path)
+    kept = {t: spark.read.parquet(f"{path}/{t}") for t in ("chunks", "recipes", "manifest")}
+    five = F.col("doc_id") == 5
+    if harm == "chunk":
+        kept["chunks"] = kept["chunks"].withColumn("ids", F.when(F.length("ids") == kept["chunks"].agg(F.max(F.length("ids"))).first()[0], F.reverse(F.col("ids").cast("string")).cast("binary")).otherwise(F.col("ids")))
+    elif harm == "missing":
+        kept["chunks"] = kept["chunks"].where(F.col("hi") != kept["chunks"].agg(F.max("hi")).first()[0])
+    elif harm == "recipe":
+        three = kept["recipes"].where("doc_id = 3").first()
+        kept["recipes"] = kept["recipes"].withColumn("chunks", F.when(five, F.lit(bytes(three["chunks"]))).otherwise(F.col("chunks")))
+    elif harm in ("doc_id", "start", "n_tokens"):
+        kept["recipes"] = kept["recipes"].withColumn(harm, F.when(five, F.col(harm) + 1).otherwise(F.col(harm)))
+    elif harm == "root":
+        kept["recipes"] = kept["recipes"].withColumn("root", F.when(five, F.lit(bytes(16))).otherwise(F.col("root")))
+    elif harm == "before":
+        kept["manifest"] = kept["manifest"].withColumn("before", F.col("before") + 1)
+    else:
+        kept["manifest"] = kept["manifest"].withColumn("root", F.when(F.col("part") >= 0, F.lit(bytes(16))).otherwise(F.col("root")))
+    for t, rows in kept.items():
+        rows.write.parquet(f"{other}/{t}")
+    assert not store.verify(spark, other)
+
+
+def test_store_splits_hot_chunks_and_guards_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "HOT_HOLDERS", 2)
+    docs = spark.createDataFrame([(i, "the same text " * 300 + str(i)) for i in range(40)], "doc_id long, text string").repartition(8)
+    path, tokenizer = str(tmp_path / "store"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    want = {r["doc_id"]: np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 2], "<u4").tobytes() for r in docs.collect()}
+    assert {r["doc_id"]: bytes(r["ids"]) for r in store.read_ids(spark, path).collect()} == want
+    assert {r["doc_id"]: r["ids_crc32"] for r in store.read_sums(spark, path).collect()} == {i: zlib.crc32(x) for i, x in want.items()}
+    with pytest.raises(Exception, match="does not fit"):
+        store.write_store(docs, str(tmp_path / "narrow"), public_tokenizers.path("byte_bpe_50k.json"), 70_000)
+
+
 def test_crc_shift():
     a, b = b"some bytes", b"and others, more of them"
     moved = store.shift_crc(np.array([zlib.crc32(a), zlib.crc32(b)]), np.array([len(b), 0]))
