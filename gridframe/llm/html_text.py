@@ -1,31 +1,38 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
-A page is read once into a list of items: runs of words and opening tags. Words
-score above zero and tags below, by kind; the run of items with the greatest sum,
-found in one linear scan, is the content region. It is completed by the blocks
-beside it in the container that holds it (the innermost one; its article, if it
-is in one), and what is marked as a menu, header, footer, sidebar, notice, advert, form, script, style
-or reader comment is left out, within the region too.
+A page is read once into a list of items: runs of words, by where they stand, and
+opening tags, by name and by whether they are marked (a class, id or role that
+names a part beside the article). Words score above zero and tags below; the run
+of items with the greatest sum, found in one linear scan, is the content region.
+It is completed by the blocks beside it in the container that holds it: all of
+its article, if it lies in one, else those that aren't mostly links. Menus,
+headers, footers, sidebars, forms and marked elements are left out of it where
+their items sum below zero, unless one holds MOSTLY times as much as the best run
+of all else: an article in a form, or under a class such as "legal-text", stays.
 
 The weights come from labelled pages: those that name their own main part with a
 single <article> or <main>. A structured perceptron raises the weights of items
 that a labelled region has and the best run misses, and lowers the others, with
-words kept above zero and tags below. Without labelled pages the first weights
-stay.
+words kept above zero and tags below. It starts from a flat rule, a word +1 and a
+tag -1; kinds that no labelled page shows keep the weights in FIRST, as all do
+without labelled pages.
 
 Scale: weights are fitted on a bounded sample (`limit` pages, reduced to items on
 the executors); extraction is one pass over whole pages in Arrow batches.
 
 Cases: null and empty pages, and pages without words of content, give an empty
-text; repeated rows give equal texts; broken markup (unclosed or stray tags and
-comments) is read as far as it can be; an empty table gives no rows; pages of any
-length are read whole, in linear time.
+text; repeated rows give equal texts; broken markup (unclosed or stray tags,
+quotes and comments) is read as far as it can be; an empty table gives no rows;
+pages of any length and depth are read whole, in linear time. What a page hides
+(hidden, display:none) and what isn't text (scripts, styles, controls, media) is
+never part of it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,13 +43,16 @@ from pyspark.sql import functions as F
 
 from gridframe.llm.common import cut, slices
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'<>]+)")
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+QUOTE_OR_END = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))|([^\s=/\"'<>]++)")
+HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img td th".split())
-HARD = set("head nav footer aside form button select option datalist menu dialog noscript template svg math canvas object audio video map fieldset".split())
+NO_TEXT = set("head button select option datalist noscript template svg canvas object audio video map".split())
+ASIDE = set("nav footer aside form menu dialog fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE = re.compile(
     r"(?:site|page|global|main|top|bottom|left|right|primary|secondary|mobile|user|reader|article|post|blog|the)?[-_]?"
@@ -53,42 +63,102 @@ BOILERPLATE = re.compile(
     re.I,
 )
 HEADER = re.compile(r"(?:(?:site|page|global|main|top|blog)[-_]?)?header(?:[-_]?(?:bar|inner|wrap|wrapper|container|top))*", re.I)
-TRACKED_ANYWAY = {"p", "li", "dt", "dd", "tr", "td", "th"}
-KINDS = ("plain", "link", "heading", "marked", "<p>", "<br>", "<inline>", "<a>", "<li>", "<h>", "<container>", "<table>", "<other>", "<left out>")
-WORD_KINDS = 4
-FIRST = np.array([1.0, 0.3, 1.0, 0.05, -0.3, -0.5, -0.2, -3.0, -2.0, -0.3, -2.0, -2.0, -1.0, -6.0])
-TAG_KIND = {"p": 4, "br": 5, "a": 7, "li": 8, "dt": 8, "dd": 8, "h1": 9, "h2": 9, "h3": 9, "h4": 9, "h5": 9, "h6": 9, "div": 10, "section": 10, "article": 10, "main": 10, "ul": 10, "ol": 10, "table": 11, "tr": 11, "td": 11, "th": 11}
+ENDED_BY_LIKE = {"p", "li", "dt", "dd", "tr", "td", "th"}
+ARTICLES = ("article", "main")
+KINDS = (
+    "plain", "link", "heading", "beside", "marked", "<p>", "<br>", "<inline>", "<a>", "<li>", "<h>", "<container>", "<table>", "<other>",
+    "<nav>", "<footer>", "<aside>", "<form>", "<header>", "<marked>",
+)
+WORD_KINDS = 5
+FIRST = np.array([1.0, 0.3, 1.0, 0.05, 0.05, -0.3, -0.5, -0.2, -3.0, -2.0, -0.3, -2.0, -2.0, -1.0, -8.0, -8.0, -8.0, -8.0, -6.0, -12.0])
+MOSTLY = 20
+FLAT = np.where(np.arange(len(KINDS)) < WORD_KINDS, 1.0, -1.0)
+PLAIN, LINK, HEADING, BESIDE, MARKED = range(WORD_KINDS)
+TAG_KIND = {
+    tag: KINDS.index(kind)
+    for kind, tags in {
+        "<p>": "p", "<br>": "br", "<a>": "a", "<li>": "li dt dd", "<h>": "h1 h2 h3 h4 h5 h6", "<container>": "div section article main ul ol", "<table>": "table tr td th",
+        "<nav>": "nav menu", "<footer>": "footer", "<aside>": "aside dialog", "<form>": "form fieldset",
+    }.items()
+    for tag in tags.split()
+}
+INLINE_KIND, OTHER_KIND, HEADER_KIND, MARK_KIND = (KINDS.index(k) for k in ("<inline>", "<other>", "<header>", "<marked>"))
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def marked(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether a tag's attributes mark it as no part of the main text."""
+def tags_of(source: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of each tag; an end tag's name begins with "/",
+    a comment's or declaration's is empty. Every character is looked at a bounded
+    number of times: once a tag's quotes find no end, quotes count no more."""
+    at, size, last_end, quotes = 0, len(source), source.rfind(">"), True
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            yield start, at, "", ""
+            continue
+        if start > last_end:
+            return
+        if source.startswith(("<!", "<?"), start):
+            at = source.find(">", start) + 1
+            yield start, at, "", ""
+            continue
+        name = NAME.match(source, start + 1)
+        if not name:
+            at = start + 1
+            continue
+        end, k = -1, name.end()
+        while quotes and (m := QUOTE_OR_END.search(source, k)):
+            if m[0] == ">":
+                end = m.start()
+                break
+            k = source.find(m[0], m.end()) + 1
+            if not k:
+                break
+        if end < 0:
+            quotes, end = False, source.find(">", name.end())
+        at = end + 1
+        yield start, at, name[0].lower(), source[name.end() : end]
+
+
+def marks(attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether a tag's attributes hide it, and whether they name a part beside an article."""
+    hidden = marked = False
     for m in ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5]).lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if any(BOILERPLATE.fullmatch(v) or (not in_article and HEADER.fullmatch(v)) for v in value.split()):
-                return True
+            marked = marked or any(BOILERPLATE.fullmatch(v) or (not in_article and HEADER.fullmatch(v)) for v in value.split() if len(v) <= 64)
         elif name == "role":
-            if value.lower() in ROLES:
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+            marked = marked or value.lower() in ROLES
+        else:
+            hidden = hidden or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(HIDDEN.search(value)))
+    return hidden, marked
+
+
+@dataclass
+class Element:
+    """A tracked element: its tag, the element around it, its items from first up to
+    last, whether it may be left out, and whether its text is never part of the page."""
+
+    tag: str
+    parent: int
+    first: int
+    last: int
+    beside: bool
+    unseen: bool
 
 
 @dataclass
 class Block:
-    """Text between block-level tags: the items it has, its containers from the
-    outermost on, the innermost article among them (or 0), if it is left out, and
-    the share of its words in links."""
+    """Text between block-level tags: its items from first to last, the element that
+    holds it, the innermost article (or 0), and the share of its words in links."""
 
     text: str
     first: int
     last: int
-    path: tuple[int, ...]
+    element: int
     article: int
-    out: bool
     linked: float
 
 
@@ -96,117 +166,133 @@ class Block:
 class Page:
     kinds: list[int]
     amounts: list[int]
+    plain: list[int]  # the kinds, if words beside the article were like others
+    owners: list[int]  # each item's innermost element that may be left out, or 0
     blocks: list[Block]
+    elements: list[Element]
     main: tuple[int, int] | None  # the items of the only <article> or <main>
 
 
-def read_page(source: str | None, by_mark: bool = True) -> Page:
-    """The items and blocks of a page. by_mark: whether classes and roles count."""
+def read_page(source: str | None) -> Page:
+    """The items, blocks and elements of a page."""
     source = source or ""
     kinds: list[int] = []
     amounts: list[int] = []
+    plain: list[int] = []
+    owners: list[int] = []
     blocks: list[Block] = []
-    # The open elements that are tracked: name, number, left out in any case, marked.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-    number = hard = soft = articles = links = headings = 0
+    elements = [Element("", 0, 0, 0, False, False)]
+    stack, articles, contexts = [0], [0], [(PLAIN, 0)]  # open elements, articles, kinds of words and owners
+    open_tags: Counter = Counter()
+    unseen = links = headings = 0
     parts: list[str] = []
-    first, linked, mains = 0, 0, []
+    first = linked = words = 0
+
+    def add_item(kind: int, amount: int) -> None:
+        plain.append(kind)
+        kinds.append((kind < WORD_KINDS and contexts[-1][0]) or kind)
+        amounts.append(amount)
+        owners.append(contexts[-1][1])
 
     def end_block() -> None:
-        nonlocal first, linked
+        nonlocal first, linked, words
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, first, len(kinds) - 1, tuple(x[1] for x in stack), next((x[1] for x in stack[::-1] if x[0] in ("article", "main")), 0), hard > 0 or soft > 0, linked / max(1, len(text.split()))))
+                blocks.append(Block(text, first, len(kinds) - 1, stack[-1], articles[-1], linked / max(1, words)))
             parts.clear()
-        first, linked = len(kinds), 0
+        first, linked, words = len(kinds), 0, 0
 
     def add_text(raw: str) -> None:
-        nonlocal linked, first
-        if not raw:
+        nonlocal linked, first, words
+        if not raw or unseen:
             return
         text = entities.unescape(raw) if "&" in raw else raw
-        if hard:
-            return
         if not parts:
             first = len(kinds)
         parts.append(text)
         n = len(text.split())
         if n:
-            kinds.append(3 if soft else 1 if links else 2 if headings else 0)
-            amounts.append(n)
+            add_item(LINK if links else HEADING if headings else PLAIN, n)
+            words += n
             linked += n * (links > 0)
 
-    def close(to: int) -> None:
-        nonlocal hard, soft, articles
-        while len(stack) > to:
-            name, own, is_hard, is_soft = stack.pop()
-            hard -= is_hard
-            soft -= is_soft
-            articles -= name in ("article", "main")
-            for m in mains:
-                if m[2] == own and m[1] is None:
-                    m[1] = len(kinds)
+    def close(tag: str) -> None:
+        """Close the open elements up to and with the last of that name."""
+        nonlocal unseen
+        while open_tags[tag]:
+            e = elements[stack.pop()]
+            e.last = len(kinds)
+            open_tags[e.tag] -= 1
+            contexts.pop()
+            if e.tag in ARTICLES:
+                articles.pop()
+            unseen -= e.unseen
+            if e.tag == tag:
+                break
 
     at = 0
-    while True:
-        m = MARKUP.search(source, at)
-        if not m:
-            add_text(source[at:])
-            break
-        add_text(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    for start, end, tag, attributes in tags_of(source):
+        if start < at:  # within a script
+            continue
+        add_text(source[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in HEADINGS:
                 headings = max(0, headings - 1)
             if tag not in INLINE:
                 end_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            close(tag)
             continue
         if tag in RAW:
-            if tag not in ("title",):
-                parts.append(" ") if parts else None
+            if tag != "title" and parts:
+                parts.append(" ")
             e = RAW_END[tag].search(source, at)
-            at = e.end() if e else len(source)
+            closed = source.find(">", e.end()) if e else -1
+            at = closed + 1 if closed >= 0 else len(source)
             continue
         if tag == "br" or tag in ("td", "th"):
-            parts.append(" ") if parts else None
+            if parts:
+                parts.append(" ")
         elif tag not in INLINE:
             end_block()
-            if stack[-1][0] == "p" or (stack[-1][0] == tag and tag in TRACKED_ANYWAY):
-                close(len(stack) - 1)
-            if tag == "body" and stack[-1][0] == "head":
-                close(len(stack) - 1)
-        if tag == "a" and not m[3].rstrip().endswith("/"):
+            around = elements[stack[-1]].tag
+            if around == "p" or (around == tag and tag in ENDED_BY_LIKE):
+                close(around)
+            if tag == "body":
+                close("head")
+        if tag == "a" and not attributes.rstrip().endswith("/"):
             links += 1
         elif tag in HEADINGS:
             headings += 1
-        number += 1
-        is_hard = tag in HARD or (tag == "header" and not articles)
-        is_soft = by_mark and bool(m[3].strip()) and tag not in ("html", "body", "article", "main") and marked(tag, m[3], articles > 0)
-        if not hard:
-            kinds.append(13 if is_hard or is_soft else TAG_KIND.get(tag, 6 if tag in INLINE else 12))
-            amounts.append(1)
-        if tag not in VOID and (is_hard or is_soft or (tag not in INLINE and tag not in ("p", "html", "body") and tag not in HEADINGS)):
-            stack.append((tag, number, is_hard, is_soft))
-            hard += is_hard
-            soft += is_soft
-            if tag in ("article", "main"):
-                articles += 1
-                mains.append([len(kinds), None, number, tag])
+        hidden, marked = marks(attributes, len(articles) > 1) if attributes.strip() and tag not in ("html", "body") else (False, False)
+        beside = tag in ASIDE or (tag == "header" and len(articles) == 1)
+        place = len(kinds)
+        if not unseen:
+            add_item(HEADER_KIND if beside and tag == "header" else TAG_KIND.get(tag, INLINE_KIND if tag in INLINE else OTHER_KIND), 1)
+            if marked:
+                add_item(MARK_KIND, 1)
+        tracked = hidden or marked or beside or tag in NO_TEXT or open_tags[tag] > 0
+        if tag not in VOID and (tracked or (tag not in INLINE and tag not in ("p", "html", "body") and tag not in HEADINGS)):
+            elements.append(Element(tag, stack[-1], place, -1, beside or marked, hidden or tag in NO_TEXT))
+            stack.append(len(elements) - 1)
+            open_tags[tag] += 1
+            unseen += elements[-1].unseen
+            own = (MARKED if marked else BESIDE, stack[-1])
+            contexts.append(own if marked or beside else (PLAIN, 0) if tag in ARTICLES else contexts[-1])
+            if tag in ARTICLES:
+                articles.append(stack[-1])
+    add_text(source[at:])
     end_block()
-    close(1)
-    named = [x for x in mains if x[3] == "article"] or mains
-    main = (named[0][0], named[0][1]) if len(named) == 1 and named[0][1] is not None else None
-    return Page(kinds, amounts, blocks, main)
+    for i in stack:
+        elements[i].last = len(kinds)
+    named = [e for e in elements if e.tag == "article"] or [e for e in elements if e.tag == "main"]
+    return Page(kinds, amounts, plain, owners, blocks, elements, (named[0].first + 1, named[0].last) if len(named) == 1 else None)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -221,50 +307,105 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def fit_weights(pages: list[tuple[list[int], list[int], int, int]], rounds: int = 6, step: float = 0.02) -> np.ndarray:
-    """Averaged weights by kind from pages (kinds, amounts, and the labelled items)."""
-    w, total, n = FIRST.copy(), np.zeros(len(KINDS)), 0
+def fit_weights(pages: list[tuple[list[int], list[int], int, int]], rounds: int = 6, most: float = 0.05) -> np.ndarray:
+    """Averaged weights by kind from pages (kinds, amounts, and the labelled items).
+
+    Each error moves the weights by as much as sets the labelled run above the one
+    found, by a word, up to `most` of the difference in items."""
+    if not pages:
+        return FIRST.copy()
+    shown = np.zeros(len(KINDS), bool)
+    for kinds, *_ in pages:
+        shown[kinds] = True
+    w = np.where(shown, FLAT, FIRST)
+    total, n = np.zeros(len(KINDS)), 0
     for _ in range(rounds):
         for kinds, amounts, a, b in pages:
             k, x = np.array(kinds), np.array(amounts, float)
             lo, hi = best_run((w[k] * x).tolist())
-            right = np.bincount(k[a:b], x[a:b], len(KINDS))
-            mine = np.bincount(k[lo : hi + 1], x[lo : hi + 1], len(KINDS)) if hi >= lo else np.zeros(len(KINDS))
-            move = right - mine
-            size = np.abs(move).sum()
-            if size > 0.02 * max(1.0, right.sum()):
-                w = w + step * move / size * max(1.0, np.abs(w).max())
+            move = np.bincount(k[a:b], x[a:b], len(KINDS)) - np.bincount(k[lo : hi + 1], x[lo : hi + 1], len(KINDS))
+            if move.any():
+                w = w + min(most, (1 - float(w @ move)) / float(move @ move)) * move
                 w[:WORD_KINDS] = np.maximum(w[:WORD_KINDS], 0.02)
                 w[WORD_KINDS:] = np.minimum(w[WORD_KINDS:], -0.05)
             total += w
             n += 1
-    return total / n if n else FIRST
+    return total / n
+
+
+def left_out(page: Page, scores: np.ndarray, stay: set[int]) -> list[bool]:
+    """Of each element: whether it, or one around it, may be left out and sums below zero."""
+    sums = np.r_[0.0, np.cumsum(scores)]
+    out = [False] * len(page.elements)
+    for i, e in enumerate(page.elements[1:], 1):  # those around come first
+        out[i] = i not in stay and (out[e.parent] or (e.beside and bool(sums[e.last] < sums[e.first])))
+    return out
+
+
+def region(page: Page, weights: np.ndarray) -> tuple[int, int, list[bool]]:
+    """The best run's first and last item, and which elements are left out of it."""
+    amounts = np.array(page.amounts, float)
+    scores, stay = weights[np.array(page.kinds, int)] * amounts, set()
+    plain, owners = weights[np.array(page.plain, int)] * amounts, np.array(page.owners, int)
+    while True:
+        out = left_out(page, scores, stay)
+        gone = scores.copy()
+        for i, e in enumerate(page.elements):
+            if out[i] and not out[e.parent]:  # words that are left out speak for no run
+                gone[e.first : e.last] = np.minimum(gone[e.first : e.last], 0)
+        lo, hi = best_run(gone.tolist())
+        if stay:
+            return lo, hi, out
+        held = np.bincount(owners, plain, len(page.elements))
+        held[0] = 0
+        most = int(held.argmax())
+        if not out[most] or held[most] <= MOSTLY * max(0.0, gone[lo : hi + 1].sum()):
+            return lo, hi, out
+        stay = {most}
+        scores = np.where(owners == most, plain, scores)
 
 
 def extract(source: str | None, weights: np.ndarray) -> str:
     """The main text of a page: its blocks, joined by an empty line."""
-    for by_mark in (True, False):
-        page = read_page(source, by_mark)
-        lo, hi = best_run([weights[k] * n for k, n in zip(page.kinds, page.amounts)])
-        inside = [i for i, b in enumerate(page.blocks) if not b.out and b.first <= hi and b.last >= lo]
-        if inside:
-            break
-    else:
+    page = read_page(source)
+    if not page.blocks:
+        return ""
+    lo, hi, out = region(page, weights)
+    inside = [i for i, b in enumerate(page.blocks) if b.first <= hi and b.last >= lo and not out[b.element]]
+    if not inside:
         return ""
     a, b = inside[0], inside[-1]
-    shared = set(page.blocks[a].path).intersection(*(page.blocks[i].path for i in inside))
-    holder = next((x for x in (page.blocks[a].article, max(shared)) if x in shared and x), 0)
+    article = page.blocks[a].article if len({page.blocks[i].article for i in inside}) == 1 else 0
+    holder = article or shared_element(page, inside)
+    within = elements_within(page, holder)
 
     def beside(i: int) -> bool:
         x = page.blocks[i]
-        return x.out or (x.linked <= 0.5 and (holder in x.path if holder else len(x.path) == 1))
-
-    left, right = a, b
-    while left > 0 and beside(left - 1):
-        left -= 1
-    while right < len(page.blocks) - 1 and beside(right + 1):
-        right += 1
-    return "\n\n".join(x.text for x in page.blocks[left : right + 1] if not x.out)
+        return out[x.element] or (within[x.element] and (bool(article) or x.linked <= 0.5))
+
+    while a > 0 and beside(a - 1):
+        a -= 1
+    while b < len(page.blocks) - 1 and beside(b + 1):
+        b += 1
+    return "\n\n".join(x.text for x in page.blocks[a : b + 1] if not out[x.element])
+
+
+def shared_element(page: Page, inside: list[int]) -> int:
+    """The innermost element that holds all the blocks."""
+    first, last = min(page.blocks[i].first for i in inside), max(page.blocks[i].last for i in inside)
+    e = page.blocks[inside[0]].element
+    while e and not (page.elements[e].first <= first and last < page.elements[e].last):
+        e = page.elements[e].parent
+    return e
+
+
+def elements_within(page: Page, holder: int) -> list[bool]:
+    """Of each element: whether it is the holder or within it; of the page itself, only it."""
+    out = [False] * len(page.elements)
+    out[holder] = True
+    for i, e in enumerate(page.elements[1:], 1):
+        out[i] = i == holder or (holder > 0 and out[e.parent])
+    return out
 
 
 def labelled_items(pages: DataFrame, limit: int, id_col: str = "page_id", html: str = "html") -> list[tuple[list[int], list[int], int, int]]:

@@ -90,6 +90,63 @@ def test_pages(run, tables):
         assert out[page] == "\n\n".join(x for x in blocks if x)
 
 
+def sentences(n, what="article"):
+    return "".join(f"<p>This is sentence {i} of the {what}, with some words in it.</p>" for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def page_weights(tables):
+    from gridframe.llm import html_text
+
+    return html_text.fit_weights([(p.kinds, p.amounts, *p.main) for p in map(html_text.read_page, tables["pages"]["html"]) if p.main])
+
+
+def test_learnt_weights_decide(tables, page_weights):
+    from gridframe.llm import html_text
+
+    sources = tables["pages"]["html"].tolist()
+    learnt = [html_text.extract(s, page_weights) for s in sources]
+    assert sum(a != html_text.extract(s, html_text.FLAT) for a, s in zip(learnt, sources)) > 0.9 * len(sources)
+    renamed = [s.replace("<article>", "<div>").replace("</article>", "</div>") for s in sources]
+    assert [html_text.extract(s, page_weights) for s in renamed] == learnt
+
+
+@pytest.mark.parametrize("name", ["legal-text", "search-content", "banner-text", "notice-panel"])
+def test_article_under_a_marked_class_stays(page_weights, name):
+    from gridframe.llm.html_text import extract
+
+    page = f'<body><nav><a href=x>one</a></nav><div class="{name}">{sentences(40)}</div><footer>All rights reserved.</footer></body>'
+    assert extract(page, page_weights).split("\n\n") == [f"This is sentence {i} of the article, with some words in it." for i in range(40)]
+    beside = f'<body><div>{sentences(40)}</div><div class="{name}">Some words of a notice here.</div></body>'
+    assert extract(beside, page_weights).count("\n\n") == 39
+
+
+def test_parts_of_an_article(page_weights):
+    from gridframe.llm.html_text import extract
+
+    contents = "<ul>" + "".join(f"<li><a href=#>Part {i}</a></li>" for i in range(8)) + "</ul>"
+    hidden = "<div class=ad>Buy now cheap</div><div style='display:none'>secret words <div>and more</div> here</div><span hidden>x <span>y</span> z</span>"
+    remarks = "<div class=comments>" + "<div><p>I like it so much</p></div>" * 20 + "</div>"
+    got = extract(f"<article><h1>T</h1><p>An intro of some words.</p>{contents}{sentences(5)}{hidden}<p>The end.</p>{remarks}</article>", page_weights).split("\n\n")
+    assert got == ["T", "An intro of some words.", *(f"Part {i}" for i in range(8)), *(f"This is sentence {i} of the article, with some words in it." for i in range(5)), "The end."]
+    assert extract(f"<form><div>{sentences(9)}</div><button>Send</button></form>", page_weights).count("\n\n") == 8
+
+
+@pytest.mark.parametrize("broken", ["<a ", '<a "', "'<a '", '<a ">"', "</script", "<!--", "<p class='", "<div>", "</div>", "<div></x>", "<b hidden>", "<script>", "a=" * 9])
+def test_broken_markup_in_linear_time(page_weights, broken):
+    import time
+
+    from gridframe.llm.html_text import extract
+
+    extract(broken * 100, page_weights)
+    took = []
+    for size in (100_000, 800_000):
+        start = time.process_time()
+        extract(broken * (size // len(broken)) + ">", page_weights)
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_search(run, tables):
     x = np.stack(tables["embeddings"]["embedding"].to_numpy()).astype(float)
     ids, out = tables["embeddings"]["vec_id"].to_numpy(), run("op5_multiprobe_search")
