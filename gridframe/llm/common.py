@@ -58,6 +58,28 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: A key of more than this share of the rows, and of at least so many, is hot. So
+#: there are at most HOT_KEYS of them, which may be collected.
+HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """The values of `key` in counts(key, n, ...), a row for each key, that are hot."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(key).distinct().collect()]
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], hot: list, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with side (few rows a key). Rows whose first key is hot are dealt
+    over SALTS by the columns `by`, and the side's rows are repeated for each salt."""
+    if not hot:
+        return rows.join(side, keys, how)
+    is_hot = F.col(keys[0]).isin(hot)
+    rows = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int"))
+    side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0))))
+    return rows.join(side, [*keys, "__salt"], how).drop("__salt")
+
+
 def text_or_empty(column: str = "text") -> "F.Column":
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import cut
+from gridframe.llm.common import cut, hot_keys, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points the larger neighbours of every node at its smallest one,
     then does the same among the smaller ones, until every edge leads to a root.
-    Minima are aggregated before they are shuffled and joined back, so that a hub
-    is no hot group; the edge table doesn't grow. Empty edges give no rows.
+    Minima are aggregated before they are shuffled; where they are joined back, the
+    edges of a hub are dealt over salts. The edge table doesn't grow. Loops, repeated
+    edges and edges in both directions count once; empty edges give no rows, and
+    nodes must not be null.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, seen = cut(e), None
@@ -25,8 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        large = spread_join(both, low.drop("n"), ["a"], hot_keys(low, "a", "n"), ["b"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, low.drop("n"), ["a"], hot_keys(low, "a", "n"), ["b"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = cut(small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct())

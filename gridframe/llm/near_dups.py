@@ -18,13 +18,18 @@ on full sets, from whole texts.
 
 Scale: the text is read twice, once for narrow sketches kept in the shared
 folder and once for those documents that share a bucket. Buckets, pivots and
-components are aggregated before they are shuffled. A pivot's members are dealt
-over salts by their bytes, a large bucket over pairs of chunks.
+components are aggregated before they are shuffled; where rows meet their
+bucket's, pivot's or class's row, those of a hot one are dealt over salts. A
+pivot's members are dealt over salts by their bytes, a large bucket over pairs of
+chunks.
 
 Cases: null, empty and blank texts have an empty set, stand alone and are linked
 with nothing; shorter texts than five words are one shingle; repeated rows are
 copies of each other; a row without an id can't stand for its group, and is not
-kept; an empty table gives no rows; further columns aren't read.
+kept; an id that stands on different texts is one document of several sets, and a
+link of one of them is a link of the id; an empty table gives no rows; further
+columns aren't read. one_of_each() keys rows without an id by their text, so that
+they too can stand for their group.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import cut, slices
+from gridframe.llm.common import cut, hot_keys, slices, spread_join
 from gridframe.llm.components import components
 
 WORDS = 5
@@ -168,7 +173,8 @@ def star_links(dealt: DataFrame, percent: int) -> DataFrame:
 
 def block_links(sets: list[np.ndarray], docs: list[int], roots: list[int], percent: int) -> list[tuple[int, int]]:
     """Links that connect the block's components. Two sets that are similar share a
-    shingle among the first n - ceil(percent n) + 1 of each, rarest first."""
+    shingle among the first n - ceil(percent n) + 1 of each, rarest first. Sets of
+    components that are connected already aren't compared."""
     root = {r: r for r in roots}
 
     def find(x: int) -> int:
@@ -189,14 +195,21 @@ def block_links(sets: list[np.ndarray], docs: list[int], roots: list[int], perce
     owner, shingle = owner[order], shingle[order]
     links, tried = [], set()
     for group in np.split(owner, np.flatnonzero(shingle[1:] != shingle[:-1]) + 1):
-        group = group.tolist()
-        for k, i in enumerate(group):
-            for j in group[:k]:
-                if find(roots[i]) != find(roots[j]) and (i, j) not in tried:
-                    tried.add((i, j))
-                    if similar(sets[i], sets[j], percent):
-                        links.append((docs[i], docs[j]))
-                        root[find(roots[i])] = find(roots[j])
+        seen: dict[int, list[int]] = {}  # a component's members so far
+        for i in group.tolist():
+            own = find(roots[i])
+            for other in [r for r in seen if r != own]:
+                for j in seen[other]:
+                    pair = i * len(sets) + j
+                    if pair not in tried:
+                        tried.add(pair)
+                        if similar(sets[i], sets[j], percent):
+                            links.append((docs[i], docs[j]))
+                            root[own] = other
+                            seen[other] += seen.pop(own, [])
+                            own = other
+                            break
+            seen.setdefault(own, []).append(i)
     return links
 
 
@@ -236,15 +249,17 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int, id_col: str, tex
     """doc and root of every class representative that is connected with a smaller
     one. reps: doc, n, bytes and keys of each class's first document."""
     banded = cut(reps.select("doc", "n", "bytes", F.explode("keys").alias("bucket")))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    members = cut(banded.join(sizes, "bucket"))
+    sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    hot = hot_keys(sizes, "bucket", "m")
+    members = cut(spread_join(banded, sizes, ["bucket"], hot, ["doc"]))
     met = members.groupBy("doc").agg(F.sum("m").alias("met"))
-    pivots = members.join(met, "doc").groupBy("bucket").agg(F.max_by("doc", "met").alias("pivot"))
-    edges = members.join(pivots, "bucket").where(F.col("doc") != F.col("pivot")).groupBy("doc", "pivot").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"))
-    pivot_sizes = reps.select(F.col("doc").alias("pivot"), F.col("n").alias("pivot_n"))
-    edges = cut(edges.join(pivot_sizes, "pivot").where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
-    salts = edges.groupBy("pivot").agg(F.ceil(F.sum("bytes") / SALT_BYTES).cast("int").alias("salts"))
-    member = edges.join(salts, "pivot").select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    pivots = members.join(met, "doc").groupBy("bucket").agg(F.max_by(F.struct("doc", "n"), F.struct("met", "doc")).alias("p"))
+    pivots = pivots.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    met_pivot = spread_join(members, pivots, ["bucket"], hot, ["doc"]).where(F.col("doc") != F.col("pivot"))
+    met_pivot = met_pivot.where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
+    edges = cut(met_pivot.groupBy("doc", "pivot").agg(F.first("bytes").alias("bytes")))
+    salts = cut(edges.groupBy("pivot").agg(F.ceil(F.sum("bytes") / SALT_BYTES).cast("int").alias("salts"), F.count("*").alias("members")))
+    member = spread_join(edges, salts.drop("members"), ["pivot"], hot_keys(salts, "pivot", "members"), ["doc"]).select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     pivot = salts.select(F.col("pivot").alias("doc"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     links = cut(star_links(texts_of(docs, member.unionByName(pivot), id_col, text), percent))
     found = components(links)
@@ -258,7 +273,7 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int, id_col: str, tex
     ).where("low < high")
     open_ = open_.groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket"), F.first("held").alias("held"))  # the same members meet in many bands
     chunks = open_.select("bucket", F.greatest(F.ceil(F.col("held") / CHUNK_BYTES), F.lit(1)).cast("int").alias("g"))
-    chunked = rooted.join(chunks, "bucket").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
+    chunked = spread_join(rooted, chunks, ["bucket"], hot, ["doc"]).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
     chunked = chunked.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     block = F.xxhash64("bucket", F.least("c", "d"), F.greatest("c", "d"))
     dealt = texts_of(docs, chunked.select("doc", "root", block.alias("block")), id_col, text)
@@ -279,14 +294,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     roots = class_links(docs.join(classes.select(F.col("rep").alias(id_col)), id_col, "left_semi"), reps, percent, id_col, text)
     known = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = known.where("copies > 1 or root <> rep").select("f1", "f2", "root")
-    out = drawn.where("n > 0").join(known, ["f1", "f2"], "left").unionByName(drawn.where("n = 0"), allowMissingColumns=True)
+    out = spread_join(drawn.where("n > 0"), known, ["f1", "f2"], hot_keys(classes, "f1", "copies"), ["doc", "keys"], "left").unionByName(drawn.where("n = 0"), allowMissingColumns=True)
     component = F.coalesce("root", "doc")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stand for their group, as they are: one of each."""
-    kept = near_duplicates(docs, percent, id_col, text).where("kept").groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__rows"))
+    by_text = F.shiftrightunsigned(F.xxhash64(F.col(text)), 2) + F.lit(2**62)  # beyond any likely id
+    key = F.coalesce(F.col(id_col).cast("long"), by_text)
+    keyed = docs.select(key.alias("__id"), F.col(text).alias("__text"))
+    kept = near_duplicates(keyed, percent, "__id", "__text").where("kept").groupBy(F.col("__id").alias("__kept")).agg(F.count("*").alias("__rows"))
     kept = cut(kept)
-    rows = docs.join(kept.select("__kept").hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return rows if kept.where("__rows > 1").isEmpty() else rows.dropDuplicates([id_col])
+    rows = docs.join(kept.select("__kept").hint("shuffle_hash"), key == F.col("__kept"), "left_semi")
+    return rows if kept.where("__rows > 1").isEmpty() else rows.dropDuplicates([id_col, text])

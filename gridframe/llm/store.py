@@ -23,8 +23,8 @@ checks every chunk's bytes against its name where it is stored and sends on only
 its CRC, which is shifted by the bytes that follow it and combined by exclusive
 or: documents are verified without moving their ids again. Every recipe read is
 hashed anew and held against its root, and the roots against the manifest; what
-differs raises. Chunks with most holders, HOT at most, are joined under SALTS
-salts, so that a chunk which a third of all documents share is no hot key.
+differs raises. Chunks with most holders, HOT at most, are joined under salts, so
+that a chunk which a third of all documents share is no hot key.
 
 Cases: a null or empty text is the end id alone; repeated rows have recipes of
 their own and share chunks; texts of any length are cut into as many chunks as
@@ -47,12 +47,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import remove_path, slices, staged_path
+from gridframe.llm.common import remove_path, slices, spread_join, staged_path
 from gridframe.llm.tokens import encoder
 
 MIN_IDS, MASK, MAX_IDS, REACH = 64, 0x1FF, 4096, 8
 DIGEST = 16
-HOT, HOT_HOLDERS, SALTS = 1000, 16, 64
+HOT, HOT_HOLDERS = 1000, 16
 
 
 def digest(data: bytes) -> bytes:
@@ -298,12 +298,9 @@ def references(recipe: DataFrame) -> DataFrame:
 
 def with_chunks(found: DataFrame, stored: DataFrame, holders: DataFrame) -> DataFrame:
     """found(part, pos, seq, hi, lo) with what stored(hi, lo, ...) has, or nulls. The
-    chunks of most holders (hi, lo, holders) are spread over salts on both sides."""
-    hot = F.broadcast(holders.where(F.col("holders") >= HOT_HOLDERS).orderBy(F.col("holders").desc(), "hi", "lo").limit(HOT).select("hi", "lo", F.lit(True).alias("hot")))
-    found = found.join(hot, ["hi", "lo"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("part", "pos", "seq"), F.lit(SALTS))).otherwise(0).cast("int"))
-    salts = F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))
-    stored = stored.join(hot, ["hi", "lo"], "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return found.drop("hot").join(stored, ["hi", "lo", "salt"], "left").drop("salt")
+    chunks of most holders (hi, lo, holders), HOT at most, are spread over salts."""
+    most = holders.where(F.col("holders") >= HOT_HOLDERS).orderBy(F.col("holders").desc(), "hi", "lo").limit(HOT).select("hi").collect()
+    return spread_join(found, stored, ["hi", "lo"], sorted({r["hi"] for r in most}), ["part", "pos", "seq"], "left")
 
 
 def read_sums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:

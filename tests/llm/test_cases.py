@@ -179,3 +179,84 @@ def test_stages(spark, docs, labels, tmp_path, stage):
 
 def test_every_operator_has_its_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_hot_keys_change_no_result(spark, monkeypatch):
+    from gridframe.llm import common
+
+    words = [f"w{i}" for i in range(60)]
+    near = [(i, " ".join(w if k != i % 50 else "z" for k, w in enumerate(words))) for i in range(40)]
+    rows = near + [(100 + i, "the same text in many documents of this table") for i in range(40)] + [(200 + i, f"{i} alone here") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = sorted(map(tuple, near_dups.near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    assert sorted(map(tuple, near_dups.near_duplicates(docs).collect())) == plain
+    assert {r[2] for r in plain if 100 <= r[0] < 140} == {100} and {r[2] for r in plain if r[0] < 40} == {0}
+
+
+def test_components_of_chains_and_hubs(spark, monkeypatch):
+    from gridframe.llm import common
+    from gridframe.llm.components import components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    edges = [(i, i + 1) for i in range(70)] + [(1000, 1001 + i) for i in range(60)] + [(2005, 2003), (2003, 2005), (2003, 2003)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(1, 71)}, **{1001 + i: 1000 for i in range(60)}, 2005: 2003}
+
+
+def test_blocks_of_many_equal_sets():
+    import time
+
+    base = np.sort(np.random.default_rng(1).integers(0, 2**63, 20).astype(np.uint64))
+    start = time.process_time()
+    links = near_dups.block_links([base] * 60_000, list(range(60_000)), list(range(60_000)), 80)
+    assert len(links) == 59_999 and time.process_time() - start < 20
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(60, 12).astype(np.uint64)) for _ in range(150)]
+    root = list(range(150))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(150):
+        for j in range(i):
+            if near_dups.similar(sets[i], sets[j], 80):
+                root[find(i)] = find(j)
+    want = [find(i) for i in range(150)]
+    root = list(range(150))
+    for i, j in near_dups.block_links(sets, list(range(150)), list(range(150)), 80):
+        assert near_dups.similar(sets[i], sets[j], 80)
+        root[find(i)] = find(j)
+    got = [find(i) for i in range(150)]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_large_buckets_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(near_dups, "SALT_BYTES", 2000)
+    words = [f"w{i}" for i in range(110)]
+    rows = [(i, " ".join(w if k % 100 != (i * 7) % 100 and k % 100 != (i * 13) % 100 else f"z{i % 5}" for k, w in enumerate(words))) for i in range(60)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(106)} for i, t in rows}
+    root = dict(zip(sets, sets))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    out = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: find(i) for i in sets}
+
+
+def test_one_of_each_without_ids(spark):
+    rows = [(None, GOOD[0]), (None, GOOD[0]), (None, GOOD[2]), (5, GOOD[3]), (5, GOOD[4]), (6, GOOD[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near_dups.one_of_each(docs).collect()) == sorted([(0, GOOD[0]), (0, GOOD[2]), (5, GOOD[3]), (5, GOOD[4])])
