@@ -148,23 +148,38 @@ def test_vectors(spark):
     good = [(i, [float(i % 3), 1.0, float(i)]) for i in range(1, 9)]
     odd = [(20, None), (21, []), (22, [0.0, 0.0, 0.0]), (23, [1.0, None, 2.0]), (24, [float("nan"), 1.0, 1.0]), (25, [float("inf"), 1.0, 1.0]), (26, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (1, [1.0, 1.0, 1.0])]
     rows = spark.createDataFrame(good + odd, "vec_id long, embedding array<double>")
-    out = neighbours.search(rows.withColumns({"id": F.lit("x"), "rep": F.lit("y")}), F.col("vec_id") % 4 == 0, k=20, width=50.0).collect()
+    out = neighbours.search(rows.withColumns({"id": F.lit("x"), "rep": F.lit("y")}), F.col("vec_id") % 4 == 0, k=20).collect()
     assert {r["query_id"] for r in out} == {4, 8} and all(len([r for r in out if r["query_id"] == q]) == 7 for q in (4, 8))
     assert neighbours.search(rows.limit(0), F.col("vec_id") % 4 == 0).count() == 0
     assert neighbours.search(rows.where("vec_id > 19"), F.col("vec_id") % 4 == 0).count() == 0
 
 
-@pytest.mark.parametrize("lengths", [[1.0] * 40, [1.0] * 599 + [10.0], [2.0 ** (i % 9) for i in range(600)]])
-def test_search_ranks_all_rows(spark, lengths):
+def ranked(x, q, k):
+    score = (x * x[q]).sum(axis=1)
+    others = np.delete(np.arange(len(x)), q)
+    return others[np.lexsort((others, -score[others]))[:k]].tolist()
+
+
+@pytest.mark.parametrize("lengths", [[1.0] * 30, [1.0] * 1199 + [10.0], [2.0 ** (i % 9) for i in range(1200)], [1e-200] * 100 + [1.0] * 200 + [1e150] * 3])
+def test_search_of_any_lengths(spark, lengths):
     x = np.random.default_rng(5).normal(size=(len(lengths), 64))
     x = x / np.sqrt((x * x).sum(1))[:, None] * np.array(lengths)[:, None]
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     out = neighbours.search(rows, F.col("vec_id") % 10 == 0, k=20).orderBy("query_id", "rank").collect()
+    hit = n = 0
     for q in range(0, len(x), 10):
-        score = (x * x[q]).sum(axis=1)
-        others = np.delete(np.arange(len(x)), q)
-        true = others[np.lexsort((others, -score[others]))[:20]]
-        assert [r["vec_id"] for r in out if r["query_id"] == q] == true.tolist()
+        mine, true = [r["vec_id"] for r in out if r["query_id"] == q], ranked(x, q, 20)
+        assert len(mine) == len(true) == 20
+        hit, n = hit + len({*mine} & {*true}), n + 20
+    assert hit / n >= 0.9
+
+
+def test_search_of_ties(spark):
+    x = np.array([[1.0, 0, 0], [0, 1, 0], [1, 1, 0]] * 30)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.search(rows, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect()
+    for q in range(0, 90, 20):
+        assert [r["vec_id"] for r in out if r["query_id"] == q] == ranked(x, q, 20)
 
 
 @pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
