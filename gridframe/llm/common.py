@@ -1,4 +1,7 @@
-"""What the corpus operators share: words, tables, lineage cuts, size-checked broadcasts."""
+"""What the corpus operators share: words, tables, lineage cuts, joins that spread
+hot keys, size-checked broadcasts. Cases: null keys join nothing and are never hot;
+empty tables have no hot keys; null texts are slices of no bytes; an empty batch
+gives no slice."""
 
 from __future__ import annotations
 
@@ -27,8 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    folder of our own where the session names none (single-machine tests)."""
+    folder of our own where the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="gridframe-checkpoints-")
         spark.sparkContext.setCheckpointDir(named)

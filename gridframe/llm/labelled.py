@@ -1,4 +1,6 @@
-"""The bounded sample of labelled rows that a classifier is fitted on."""
+"""The bounded sample of labelled rows that a classifier is fitted on. Cases: rows
+without an id or label are left out; of an id's labels the greatest counts; an empty
+table gives an empty sample."""
 
 from __future__ import annotations
 

@@ -12,13 +12,17 @@ hash ranges; range totals are summed first, and a window runs within one range
 only, so a source that holds a third of all rows is no hot key. The global cut
 is found by two rounds of 4096 equal slots of virtual time (in which work is
 even, as fair queueing spreads tokens evenly over virtual time) and a sort of
-the one sub-slot where the budget ends. Texts aren't read, only their sizes.
+the one sub-slot where the budget ends. Texts aren't read, only their sizes. The
+mix itself is then sorted by finish time over range partitions and written in that
+order. Sources are a table of one row each, ranked in one task: some millions of
+sources are within its bounds.
 
 Cases: a null text has size 0; documents of size 0 are never taken and keep
-taken = 0; null is a source of its own, sorted last; repeated rows count as
-rows of their own (their order among each other is of no consequence, as they
-are equal); an empty table gives no rows. Further columns stay as they are;
-names that this operator uses itself are all prefixed with `__`.
+taken = 0; null is a source of its own, sorted last; a null id is shuffled as an
+empty one. Rows of one source, id and size have equal finish times but for their
+turn: each counts as a row of its own, and where the budget ends among them any of
+them may be the last one taken. An empty table gives no rows. Further columns stay
+as they are; names that this operator uses itself are all prefixed with `__`.
 """
 
 from __future__ import annotations
@@ -147,6 +151,9 @@ def weighted_fair_mix(docs: DataFrame, size_col: str, source: str = "source", id
 
 
 def mixture(docs: DataFrame, size_col: str, **options) -> DataFrame:
-    """The mix itself: docs' own columns, a row for each copy taken."""
+    """The mix itself: docs' own columns, a row for each copy taken, in the order of
+    finish times, over range partitions."""
     mixed = weighted_fair_mix(docs, size_col, **options).where(F.col("__copies") > 0)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    mixed = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    finish = F.col("__finish") + F.col("__copy") * F.col("__source_size") / F.col("__target")
+    return mixed.withColumn("__at", finish).orderBy("__at", options.get("id_col", "doc_id")).select(*docs.columns)

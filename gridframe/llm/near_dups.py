@@ -247,8 +247,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Data
 
 def class_links(docs: DataFrame, reps: DataFrame, percent: int, id_col: str, text: str) -> DataFrame:
     """doc and root of every class representative that is connected with a smaller
-    one. reps: doc, n, bytes and keys of each class's first document."""
-    banded = cut(reps.select("doc", "n", "bytes", F.explode("keys").alias("bucket")))
+    one. reps: doc, n and keys of each class's first document."""
+    banded = cut(reps.select("doc", F.col("n").cast("int").alias("n"), F.explode("keys").alias("bucket")))
     sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     hot = hot_keys(sizes, "bucket", "m")
     members = cut(spread_join(banded, sizes, ["bucket"], hot, ["doc"]))
@@ -257,7 +257,7 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int, id_col: str, tex
     pivots = pivots.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"))
     met_pivot = spread_join(members, pivots, ["bucket"], hot, ["doc"]).where(F.col("doc") != F.col("pivot"))
     met_pivot = met_pivot.where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-    edges = cut(met_pivot.groupBy("doc", "pivot").agg(F.first("bytes").alias("bytes")))
+    edges = cut(met_pivot.groupBy("doc", "pivot").agg((F.first("n") * F.lit(8).cast("long")).alias("bytes")))
     salts = cut(edges.groupBy("pivot").agg(F.ceil(F.sum("bytes") / SALT_BYTES).cast("int").alias("salts"), F.count("*").alias("members")))
     member = spread_join(edges, salts.drop("members"), ["pivot"], hot_keys(salts, "pivot", "members"), ["doc"]).select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     pivot = salts.select(F.col("pivot").alias("doc"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
@@ -266,9 +266,9 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int, id_col: str, tex
 
     # Buckets of three or more that still hold several components.
     rooted = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    rooted = cut(rooted.where("m > 2").select("bucket", "doc", "root", "bytes"))
+    rooted = cut(rooted.where("m > 2").select("bucket", "doc", "root", "n"))
     open_ = rooted.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum("bytes").alias("held"),
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), (F.sum("n") * 8).alias("held"),
         F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.col("doc").cast("decimal(38,0)")).alias("s"),
     ).where("low < high")
     open_ = open_.groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket"), F.first("held").alias("held"))  # the same members meet in many bands
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = cut(classes)
     reps = drawn.join(classes.select(F.col("rep").alias("doc"), F.col("f1").alias("c1"), F.col("f2").alias("c2")), "doc")
     reps = reps.where((F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))).dropDuplicates(["doc"])
-    reps = reps.select("doc", "n", (F.col("n") * 8).alias("bytes"), "keys")
+    reps = reps.select("doc", "n", "keys")
     roots = class_links(docs.join(classes.select(F.col("rep").alias(id_col)), id_col, "left_semi"), reps, percent, id_col, text)
     known = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = known.where("copies > 1 or root <> rep").select("f1", "f2", "root")

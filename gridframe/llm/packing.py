@@ -10,9 +10,10 @@ Each piece then reads its sequence and offset from the plan by its number among
 the pieces of its length.
 
 Scale: texts are tokenised once, in Arrow batches, into a narrow table of pieces
-that is kept in the shared folder. Numbers within a length are two-level (64 hash
-ranges a length, counted first), so a length that a third of all pieces share
-is no hot key. The plan has a few rows a length and travels with the tasks.
+that is kept in the shared folder. Numbers within a length are two-level (a hash
+range for every ROWS_A_RANGE pieces of it, counted first), so a length that a third
+of all pieces share is no hot key. The plan has a few rows a length and travels
+with the tasks.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each;
 texts of any length are cut into as many windows as they need; an empty table
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import cut, slices
 from gridframe.llm.tokens import encoder
 
-RANGES = 64
+ROWS_A_RANGE = 100_000
 PER_LENGTH = 6
 SWEEPS = 40
 
@@ -139,7 +140,7 @@ def plan(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...],
     return out
 
 
-def placed(rows: DataFrame, made: list[tuple[tuple[int, ...], int]], window: int) -> DataFrame:
+def placed(rows: DataFrame, made: list[tuple[tuple[int, ...], int]], histogram: dict[int, int]) -> DataFrame:
     """rows(__id, __start, __length, __crc, __tokens) with __sequence and __offset."""
     spans, used, sequence = [], Counter(), 0
     for lengths, n in made:
@@ -160,7 +161,9 @@ def placed(rows: DataFrame, made: list[tuple[tuple[int, ...], int]], window: int
             own = [batch.column(c) for c in ("__id", "__start", "__length", "__crc", "__tokens")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sequences[at] + number - firsts[at]), pa.array(offsets[at])], names=["__id", "__start", "__length", "__crc", "__tokens", "__sequence", "__offset"])
 
-    ranged = rows.withColumn("__range", F.pmod(F.xxhash64("__id", "__start"), F.lit(RANGES)).cast("int"))
+    several = {k: -(-n // ROWS_A_RANGE) for k, n in histogram.items() if n > ROWS_A_RANGE}
+    ranges = F.coalesce(F.create_map(*[F.lit(x) for kn in several.items() for x in kn])[F.col("__length")], F.lit(1)) if several else F.lit(1)
+    ranged = rows.withColumn("__range", F.pmod(F.xxhash64("__id", "__start"), ranges).cast("int"))
     sizes = ranged.groupBy("__length", "__range").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__length").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__length", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -174,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
     """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = cut(pieces(docs, tokenizer, window, end_id, id_col, text))
     histogram = {r["__length"]: r["n"] for r in rows.groupBy("__length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    return placed(rows, plan(histogram, window), window).select(
+    return placed(rows, plan(histogram, window), histogram).select(
         F.col("__id").alias(id_col), F.col("__start").alias("start"), F.col("__length").alias("length"), F.col("__crc").alias("ids_crc32"),
         F.col("__tokens").alias("doc_tokens"), F.col("__sequence").alias("sequence_id"), F.col("__offset").alias("offset"),
     )

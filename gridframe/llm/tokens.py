@@ -6,7 +6,8 @@ text's ids are those of the pieces between such places, one after another, and a
 piece that was seen before needs no encoding: each worker keeps the ids of recent
 pieces, and encodes new ones many at a time. Texts in which this can't be relied
 on (special tokens' strings, characters that libraries class differently or that
-a normaliser may join) and vocabularies of other kinds are encoded whole.
+a normaliser may join) and vocabularies of other kinds are encoded whole. An empty
+text has no ids; texts of any length are split; texts must not be null.
 """
 
 from __future__ import annotations

@@ -99,6 +99,50 @@ def test_sharding(docs):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_sharding_cuts_a_large_group(spark):
+    rows = [(i if i % 50 else None, "the text of a third of all rows") for i in range(300)] + [(1000 + i, f"another text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.histogram_shards(docs, 8).collect()
+    size = {s: sum(r["__size"] for r in out if r["__shard"] == s) for s in range(8)}
+    assert len(out) == 600 and max(size.values()) - min(size.values()) <= 0.05 * sum(size.values()) / 8 + 6 * 64
+    again = sharding.histogram_shards(docs.repartition(3), 8).collect()
+    assert sorted((r["doc_id"] or 0, r["__crc"], r["__shard"], r["__slot"]) for r in out) == sorted((r["doc_id"] or 0, r["__crc"], r["__shard"], r["__slot"]) for r in again)
+
+
+def test_mix_of_ties_in_finish_order(spark):
+    rows = [(i % 20 if i % 7 else None, "some words of text", "ab"[i % 2]) for i in range(80)] + [(500 + i, "other words " * (i % 5), None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__words", mixing.word_count())
+    mixed = mixing.weighted_fair_mix(docs, "__words").collect()
+    taken = sum(r["__copies"] * r["__words"] for r in mixed)
+    assert len(mixed) == 110 and abs(taken - sum(r["__words"] for r in mixed)) <= max(r["__words"] for r in mixed)
+    out = mixing.mixture(docs, "__words").collect()
+    assert len(out) == sum(r["__copies"] for r in mixed)
+    # In finish order every source has near its share of any prefix.
+    target = {r["source"]: r["__target"] for r in mixed}
+    half = out[: len(out) // 2]
+    for s, t in target.items():
+        assert abs(sum(r["__words"] for r in half if r["source"] == s) / t - 0.5) < 0.25
+
+
+def test_packing_splits_a_common_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one two three four five six") for i in range(100)], "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "ROWS_A_RANGE", 7)
+    out = packing.pack(docs, path, window=64).toPandas()
+    assert len(out) == 100 and out["sequence_id"].nunique() == -(-100 // (64 // out["length"][0]))
+    for _, own in out.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == (own["length"].cumsum() - own["length"]).tolist()
+
+
+def test_many_hosts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, GOOD[i % 6] if i % 3 else "bad", None if i % 5 == 0 else f"h{i % 11}") for i in range(66)], "doc_id long, text string, source string")
+    few = sorted(map(tuple, rules.host_rules(docs, F.col("source")).collect()), key=lambda r: r[0])
+    kept = ids(rules.kept_documents(docs, "source"))
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", 2)
+    assert sorted(map(tuple, rules.host_rules(docs, F.col("source")).collect()), key=lambda r: r[0]) == few
+    assert ids(rules.kept_documents(docs, "source")) == kept
+
+
 def test_classifiers(docs, labels):
     training = training_sample(labels, "quality", F.lit(True), 100)
     out = boosting.quality_scores(docs, training).collect()
