@@ -2,7 +2,11 @@
 
 Each stage takes all that the one before kept, and all but the last return the
 columns of documents. run() writes every stage's result as Parquet in the shared
-folder and reads it again, which cuts lineage and survives lost executors.
+folder and reads it again, which cuts lineage and survives lost executors. Cases:
+documents without text fail the rules; a null source is a host and a source of its
+own; documents without an id are kept like others until packing, which gives their
+pieces a null id; repeated rows are copies, of which one stays; an empty table gives
+no rows at every stage, and further columns stay as they are.
 """
 
 from __future__ import annotations
