@@ -89,7 +89,7 @@ def text_or_empty(column: str = "text") -> "F.Column":
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], columns: Iterable[str], budget: int = 4_000_000, text: str = "text") -> Iterator[dict]:
+def slices(batches: Iterator[pa.RecordBatch], columns: Iterable[str], budget: int = 1_500_000, text: str = "text") -> Iterator[dict]:
     """Python lists of the named columns, a run of rows at a time, cut so that a
     run's texts hold about `budget` bytes (one longer text is a run of its own)."""
     columns = list(columns)

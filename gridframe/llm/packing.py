@@ -35,6 +35,7 @@ from gridframe.llm.common import cut, slices
 from gridframe.llm.tokens import encoder
 
 ROWS_A_RANGE = 100_000
+KEPT_PIECES = 400_000
 PER_LENGTH = 6
 SWEEPS = 40
 
@@ -44,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, KEPT_PIECES)
         for part in slices(batches, ["__id", "__text"], text="__text"):
             rows = []
             for i, ids in zip(part["__id"], encode.ids([t or "" for t in part["__text"]])):

@@ -101,7 +101,7 @@ def count_column(text: str) -> Column:
         start = 0
         for end, t in enumerate(rows):  # a run of texts at a time, for bounded memory
             held += len(t or "")
-            if held > 2_000_000:
+            if held > 1_000_000:
                 parts.append(pd.DataFrame(counts(rows[start : end + 1])))
                 start, held = end + 1, 0
         parts.append(pd.DataFrame(counts(rows[start:]), columns=list(COUNTS), dtype="int64"))

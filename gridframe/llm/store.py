@@ -107,7 +107,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for part in slices(batches, ["__id", "__text"], text="__text"):
+        for part in slices(batches, ["__id", "__text"], 4_000_000, "__text"):
             rows = []
             for i, made in zip(part["__id"], encode.ids([t or "" for t in part["__text"]])):
                 ids = np.frombuffer(made + end, "<u4")

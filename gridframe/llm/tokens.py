@@ -52,7 +52,7 @@ class Pieces(dict):
 class PieceEncoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,7 +64,7 @@ class PieceEncoder:
         self.special = [t["content"] for t in made.get("added_tokens") or []]
         self.pieces = self._pieces(made)
         self.lower = self.pieces is WORD_PIECES
-        self.known = Pieces()
+        self.known, self.kept = Pieces(), kept
 
     @staticmethod
     def _pieces(made: dict) -> re.Pattern | None:
@@ -128,7 +128,7 @@ class PieceEncoder:
                 gc.enable()
 
     def _all_ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) > self.kept:
             self.known.clear()
         look_up = self.known.__getitem__
         found = []
@@ -139,8 +139,8 @@ class PieceEncoder:
         return [self._encode([text])[0] if parts is None else b"".join(parts) for text, parts in zip(texts, found)]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    """This process's encoder of the vocabulary at `path`."""
+@lru_cache(maxsize=1)
+def encoder(path: str, kept: int = KEPT_PIECES) -> PieceEncoder:
+    """This process's encoder of the vocabulary at `path`, that remembers about so many pieces."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return PieceEncoder(path)
+    return PieceEncoder(path, kept)
