@@ -45,6 +45,8 @@ def scanned(a: GridFrame, axis: int | None, product: bool) -> GridFrame:
     offsets = totals.select(*others, "__span", F.coalesce(total("t").over(before), F.lit(1.0 if product else 0)).alias("o"))
     rows = rows.withColumn("w", total("v").over(within)).join(offsets, [*others, "__span"])
     out = F.col("w") * F.col("o") if product else F.col("w") + F.col("o")
+    if product and dtype.kind in "iu":  # doubles hold whole numbers up to 2^53; what is past a zero is zero
+        out = F.when((F.col("w") == 0) | (F.col("o") == 0), F.lit(0.0)).when(F.abs(out) <= 2.0**53, out).otherwise(F.raise_error(F.lit("an integer product exceeds 2^53")).cast("double"))
     return GridFrame(rows, out.cast(dtypes.spark_type(dtype)), a.layout, dtype, a.dims)
 
 
@@ -53,6 +55,6 @@ def cumsum(a: GridFrame, axis: int | None = None) -> GridFrame:
 
 
 def cumprod(a: GridFrame, axis: int | None = None) -> GridFrame:
-    """Products run as doubles and are cast to the result's type."""
+    """Products run as doubles; those of integers are exact up to 2^53, and raise beyond."""
     return scanned(a, axis, True)
 
