@@ -228,3 +228,10 @@ def test_from_local(spark):
     same(g.from_local(pieces, "r", ["a", "b"], "x", (3,)), np.array([x for *_, x in rows]).reshape(6, 3))
     with pytest.raises(ValueError):
         g.from_local(pieces.where("not (r = 1 and a = 0 and b = 0)"), "r", ["a", "b"], "x", (3,))
+
+
+def test_integer_running_products_are_exact_or_raise(spark):
+    small = g.array(spark, np.array([3, -2, 5, 0, 7, 2**40, 2**40]), n_blocks=2)
+    assert np.cumprod(small).to_numpy().tolist() == [3, -6, -30, 0, 0, 0, 0]
+    with pytest.raises(Exception, match="exceeds"):
+        np.cumprod(g.array(spark, np.array([2**30, 2**30, 2]), n_blocks=2)).to_numpy()
