@@ -364,7 +364,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
 def calibration(base: DataFrame, queries: DataFrame, dims: int, k: int, as_stored) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
     """What fitted() takes: a sample of queries, their k nearest of all rows, and rows."""
-    few = sorted(queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_QUERIES).collect(), key=lambda r: r["id"])
+    n_base, n_queries = base.count(), queries.count()
+
+    def thinned(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame:
+        """`wanted` rows of least hashed ids; most others are left out before the sort."""
+        key = F.xxhash64(F.col("id") + seed)
+        return rows.where(F.pmod(key, F.lit(max(1, n // (8 * wanted)))) == 0).orderBy(key, "id").limit(wanted)
+
+    few = sorted(thinned(queries, n_queries, SAMPLE_QUERIES, 0).collect(), key=lambda r: r["id"])
     ids, x = np.array([r["id"] for r in few], np.int64), np.frombuffer(b"".join(r["x"] for r in few)).reshape(-1, dims)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +386,7 @@ def calibration(base: DataFrame, queries: DataFrame, dims: int, k: int, as_store
     best = base.mapInArrow(nearest, "q long, id long, score double").where(F.col("score") > float("-inf"))
     best = best.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).select("q", "id")
     pairs = sorted((r["q"], r["id"], r["x"]) for r in best.join(base, "id").collect())  # SAMPLE_QUERIES * k rows at most
-    rows = [r["x"] for r in base.orderBy(F.xxhash64(F.col("id") + 1), "id").limit(SAMPLE_ROWS).select("x").collect()]
+    rows = [r["x"] for r in thinned(base, n_base, SAMPLE_ROWS, 1).select("x").collect()]
     near, sample = (as_stored(np.frombuffer(b"".join(c)).reshape(-1, dims))[0] for c in ([p[2] for p in pairs], rows)) if rows else (np.zeros((0, dims + 1)),) * 2
     return asked(x), [(p[0], i) for i, p in enumerate(pairs)], near if pairs else np.zeros((0, dims + 1)), sample
 
