@@ -68,10 +68,12 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 64
 
 
-def hot_keys(counts: DataFrame, key: str, n: str) -> list:
-    """The values of `key` in counts(key, n, ...), a row for each key, that are hot."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(key).distinct().collect()]
+def hot_keys(counts: DataFrame, key: str, n: str, total: int | None = None) -> list:
+    """The values of `key` in counts(key, n, ...), a row for each key, that are hot.
+    total: the sum of n, or more, where it is known."""
+    if total is None:
+        total = counts.agg(F.sum(n)).first()[0] or 0
+    return list({r[0] for r in counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(key).collect()})
 
 
 def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], hot: list, by: list[str], how: str = "inner") -> DataFrame:

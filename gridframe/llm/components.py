@@ -25,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == seen or not state[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+        seen, ends = state, 2 * state[0]
         both = e.union(e.select("b", "a"))
         low = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        large = spread_join(both, low.drop("n"), ["a"], hot_keys(low, "a", "n"), ["b"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = spread_join(both, low.drop("n"), ["a"], hot_keys(low, "a", "n", ends), ["b"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         large = cut(large)
         low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        small = spread_join(large, low.drop("n"), ["a"], hot_keys(low, "a", "n"), ["b"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = spread_join(large, low.drop("n"), ["a"], hot_keys(low, "a", "n", ends), ["b"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = cut(small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct())
