@@ -2,9 +2,9 @@
 
 A BlockFrame has a row for every stored cell: block, the cell's global index
 (beyond the edges it runs on, below 0 or past the end), whether it is a ghost,
-and v. Ghost cells are filled from the grid by separable index maps, one small
-driver-made table an axis, so that one join an axis sends each cell to all the
-blocks that store it, corners included; sums flow back by one aggregation.
+and v. Which blocks store a cell, and under which indices, follows from its index
+in closed form, axis by axis: a projection copies the few cells near a cut or a
+wall, corners included, without a join. Sums flow back by one aggregation.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridframe.functions import dtypes
 from gridframe.grid import GridFrame
-from gridframe.plans.index import axes, part_of
+from gridframe.plans.index import axes, cells, part_of, whole
 from gridframe.plans.layout import GridLayout
 
 BOUNDARIES = (None, "zero", "edge", "symmetric", "reflect")
@@ -51,16 +51,42 @@ def source_of(g: int, n: int, wraps: bool, boundary: Any) -> int | None:
     return None
 
 
-def axis_map(spark: SparkSession, layout: GridLayout, axis: int, boundary: Any) -> DataFrame:
-    """s (source cell or NULL), p (part) and g (stored index) along an axis: one row for
-    each stored index. Interior runs are ranges on the executors; only the 2 x halo
-    rows a part for ghosts are made by the driver."""
-    n, h, wraps = layout.shape[axis], layout.halo[axis], layout.periodic[axis]
-    parts = list(enumerate(zip(layout.bounds[axis], layout.bounds[axis][1:])))
-    ghosts = [(source_of(g, n, wraps, boundary), p, g) for p, (a, b) in parts for g in [*range(a - h, a), *range(b, b + h)]]
-    runs = spark.createDataFrame([(p, a, b) for p, (a, b) in parts], "p long, a long, b long")
-    inner = runs.select("p", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("g")).select(F.col("g").alias("s"), "p", "g")
-    return inner.union(spark.createDataFrame(ghosts, "s long, p long, g long")) if ghosts else inner
+def with_images(rows: DataFrame, k: int, n: int, h: int, wraps: bool, boundary: Any) -> DataFrame:
+    """Each row once for every index from -h to n + h - 1 that stands for its cell along
+    axis k (source_of, the other way round). Most cells stand for themselves alone."""
+    i = F.col(f"i{k}")
+    if not h or not (wraps or boundary in ("edge", "symmetric", "reflect")):
+        return rows
+    rest = [F.col(c) for c in rows.columns if c != f"i{k}"]
+    if wraps:
+        rounds = F.sequence(-whole(i + F.lit(h), n), whole(F.lit(n + h - 1) - i, n))
+        rows = rows.select(*rest, i, F.explode(rounds).alias("__round"))
+        return rows.select(*rest, (i + F.lit(n) * F.col("__round")).alias(f"i{k}"))
+    if boundary == "edge":
+        found = F.sequence(F.when(i == 0, F.lit(-h)).otherwise(i), F.when(i == n - 1, F.lit(n - 1 + h)).otherwise(i))
+    else:
+        near = int(boundary == "reflect")  # the first cell that is mirrored
+        low, high = F.lit(near - 1) - i, F.lit(2 * n - 1 - near) - i
+        at_low, at_high = i.between(near, near + h - 1), i.between(n - near - h, n - near - 1)
+        found = F.when(at_low & at_high, F.array(low, i, high)).when(at_low, F.array(low, i)).when(at_high, F.array(i, high)).otherwise(F.array(i))
+    return rows.select(*rest, F.explode(found).alias(f"i{k}"))
+
+
+def with_parts(rows: DataFrame, layout: GridLayout, k: int) -> DataFrame:
+    """Each row once for every part of axis k that stores its index, as __p{k}: those
+    between the parts of the cells a halo before and a halo after."""
+    g, n, h, cuts = F.col(f"i{k}"), layout.shape[k], layout.halo[k], layout.bounds[k]
+    if not h or len(cuts) == 2:
+        return rows.select("*", part_of(g, cuts).alias(f"__p{k}"))
+    first, last = part_of(F.greatest(g - F.lit(h), F.lit(0)), cuts), part_of(F.least(g + F.lit(h), F.lit(n - 1)), cuts)
+    return rows.select("*", F.explode(F.sequence(first, last)).alias(f"__p{k}"))
+
+
+def numbered_block(layout: GridLayout) -> Column:
+    block = F.lit(0).cast("long")
+    for k, p in enumerate(layout.grid):
+        block = block * F.lit(p) + F.col(f"__p{k}")
+    return block.alias("block")
 
 
 class BlockFrame:
@@ -80,13 +106,9 @@ class BlockFrame:
         boundary = checked_boundary(boundary, layout)
         fill = 0 if boundary is None or isinstance(boundary, str) else boundary
         rows = a.df
-        for k in range(layout.ndim):
-            m = axis_map(spark, layout, k, boundary).where("s IS NOT NULL").select(F.col("s").alias(f"i{k}"), F.col("p").alias(f"__p{k}"), F.col("g").alias(f"__g{k}"))
-            rows = rows.join(m, f"i{k}")
-        block = F.lit(0).cast("long")
-        for k, p in enumerate(layout.grid):
-            block = block * F.lit(p) + F.col(f"__p{k}")
-        found = rows.select(block.alias("block"), *[F.col(f"__g{k}").alias(f"i{k}") for k in range(layout.ndim)], "v")
+        for k, (n, h, wraps) in enumerate(zip(layout.shape, layout.halo, layout.periodic)):
+            rows = with_parts(with_images(rows, k, n, h, wraps, boundary), layout, k)
+        found = rows.select(numbered_block(layout), *axes(layout.ndim), "v")
         if any(h and not w for h, w in zip(layout.halo, layout.periodic)) and (boundary in (None, "zero") or not isinstance(boundary, str)):
             found = found.unionByName(outside(spark, layout, fill, a.dtype))
         rows = found.select("block", *axes(layout.ndim), ghost_column(layout).alias("ghost"), "v")
@@ -220,26 +242,23 @@ def only_outside(layout: GridLayout, axis: int) -> Column:
 
 def outside(spark: SparkSession, layout: GridLayout, fill, dtype) -> DataFrame:
     """Stored cells beyond walls, at a constant: for each axis, those that are beyond
-    along it and not along an axis before."""
+    along it and not along an axis before. They are counted off a range, spread over
+    the executors."""
     frames = []
     for k in range(layout.ndim):
         if not layout.halo[k] or layout.periodic[k]:
             continue
-        rows = None
+        lengths, index = [], []
+        for j, (n, h) in enumerate(zip(layout.shape, layout.halo)):
+            i = F.col(f"i{j}")
+            inner = j < k and not layout.periodic[j]
+            lengths.append(2 * h if j == k else n if inner else n + 2 * h)
+            index.append(F.when(i < h, i - F.lit(h)).otherwise(i + F.lit(n - h)) if j == k else i if inner else i - F.lit(h))
+        rows = cells(spark, lengths).select(*[i.alias(f"i{j}") for j, i in enumerate(index)])
         for j in range(layout.ndim):
-            m = axis_map(spark, layout, j, None)
-            beyond = ~F.col("g").between(0, layout.shape[j] - 1) if not layout.periodic[j] else F.lit(False)
-            if j == k:
-                m = m.where(beyond)
-            elif j < k:
-                m = m.where(~beyond)
-            m = m.select(F.col("p").alias(f"__p{j}"), F.col("g").alias(f"i{j}"))
-            rows = m if rows is None else rows.crossJoin(m)  # the wall's cells are such a product
-        block = F.lit(0).cast("long")
-        for j, p in enumerate(layout.grid):
-            block = block * F.lit(p) + F.col(f"__p{j}")
+            rows = with_parts(rows, layout, j)
         value = dtypes.cast(dtypes.literal(fill), np.asarray(fill).dtype, dtype)
-        frames.append(rows.select(block.alias("block"), *axes(layout.ndim), value.alias("v")))
+        frames.append(rows.select(numbered_block(layout), *axes(layout.ndim), value.alias("v")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridframe.functions import dtypes
 from gridframe.functions.units import DIMENSIONLESS
 from gridframe.grid import GridFrame
-from gridframe.operators.halo import BlockFrame, checked_boundary
+from gridframe.operators.halo import BlockFrame, checked_boundary, with_images
 from gridframe.operators.placement import numbering_column
 from gridframe.plans.index import axes
 from gridframe.plans.layout import GridLayout
@@ -165,12 +165,11 @@ class StencilOperator:
         constant = 0 if boundary is None or isinstance(boundary, str) else boundary
         names = axes(self.layout.ndim)
         self._spark = u.spark
-        plain = not self.overrides and not any(isinstance(c, GridFrame) for c in self.terms.values()) and not isinstance(boundary, str)
         kinds = [c.dtype if isinstance(c, GridFrame) else np.asarray(c).dtype for c in self.terms.values()] or [np.dtype(float)]
         dtype = np.result_type(u.dtype, *kinds, *[np.asarray(c).dtype for own in self.overrides.values() for _, c in own])
         value = dtypes.cast(u.value, u.dtype, dtype)
-        if plain and constant == 0:
-            rows = self._scattered(u, value)
+        if not self.overrides and not any(isinstance(c, GridFrame) for c in self.terms.values()):
+            rows = self._scattered(u, value, boundary, constant)
         else:
             terms = self.matrix(boundary)
             source = u.base.select(*[F.col(i).alias(f"s{k}") for k, i in enumerate(names)], value.alias("u"))
@@ -180,14 +179,28 @@ class StencilOperator:
         out = rows.groupBy(*names).agg(F.sum("w").cast(dtypes.spark_type(dtype)).alias("v"))
         return GridFrame(out, F.col("v"), self.layout, dtype, u.dims, u.unit if u.unit not in (None, DIMENSIONLESS) else None)
 
-    def _scattered(self, u: GridFrame, value) -> DataFrame:
-        """Each cell's share of its targets: no join. A zero share of its own keeps
-        every cell in the result."""
-        index, parts = [F.col(i) for i in u.index], []
-        for o, c in ({(0,) * self.layout.ndim: 0} | self.terms).items():
+    def _scattered(self, u: GridFrame, value, boundary: Any, constant) -> DataFrame:
+        """Each cell's share of its targets: no join. Beyond named walls a cell also
+        stands for its images. A share of its own keeps every cell in the result, and
+        brings what its terms find beyond constant walls."""
+        layout = self.layout
+        rows = u.base.select(*u.index, value.alias("w"))
+        for k, (n, h) in enumerate(zip(layout.shape, self.reach())):
+            rows = rows if layout.periodic[k] else with_images(rows, k, n, h, False, boundary)
+        index = [F.col(i) for i in u.index]
+        inside, wall = F.lit(True), F.lit(0)
+        for i, n in zip(index, layout.shape):
+            inside = inside & i.between(0, n - 1)
+        parts = []
+        for o, c in self.terms.items():
             target, exists = self._source(index, tuple(-d for d in o), None)
-            parts.append(F.struct(*[t.alias(f"i{k}") for k, t in enumerate(target)], (value * F.lit(c)).alias("w"), exists.alias("__in")))
-        spread = u.base.select(F.explode(F.array(*parts)).alias("m")).select("m.*")
+            for t, n in zip(target, layout.shape) if isinstance(boundary, str) else ():
+                exists = exists & t.between(0, n - 1)  # also where the offset is 0: an image stays beyond
+            parts.append(F.struct(*[t.alias(f"i{k}") for k, t in enumerate(target)], (F.col("w") * F.lit(c)).alias("w"), exists.alias("__in")))
+            if constant != 0:
+                wall = wall + F.when(self._source(index, o, None)[1], F.lit(0)).otherwise(F.lit(c * constant))
+        parts.append(F.struct(*[i.alias(f"i{k}") for k, i in enumerate(index)], wall.alias("w"), inside.alias("__in")))
+        spread = rows.select(F.explode(F.array(*parts)).alias("m")).select("m.*")
         return spread.where("__in").select(*u.index, "w")
 
     def apply_blocks(self, u: GridFrame, boundary: Any = None, steps: int = 1) -> GridFrame:
