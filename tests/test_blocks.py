@@ -172,3 +172,22 @@ def test_random_layouts(spark, seed):
     np.testing.assert_allclose(grid.cumsum(ndim - 1).to_numpy(), a.cumsum(ndim - 1))
     np.testing.assert_array_equal(grid[::-1].to_numpy(), a[::-1])
     assert BlockFrame.from_grid(grid, "edge").rows.count() == sum(np.prod(grid.layout.storage_shape(b)) for b in range(grid.layout.n_blocks))
+
+
+@pytest.mark.parametrize("periodic", [(False, False), (False, True)])
+@pytest.mark.parametrize("boundary", [None, "edge", "symmetric", "reflect", 2.5])
+def test_stencil_at_walls(spark, boundary, periodic):
+    a, halo = RNG.integers(-9, 9, (8, 7)) / 4, (2, 1)
+    terms = {(0, 0): 1.5, (2, 1): -1.0, (-1, 0): 2.0, (-2, -1): 0.5, (0, 1): 3.0}
+    u = g.array(spark, a, n_blocks=4, halo=halo, periodic=periodic)
+    big = padded(a, halo, periodic, boundary)
+    expected = sum(c * big[2 + i : 10 + i, 1 + j : 8 + j] for (i, j), c in terms.items())
+    op = g.StencilOperator(u.layout, terms)
+    np.testing.assert_array_equal(op.apply(u, boundary).to_numpy(), expected)
+    np.testing.assert_array_equal(op.apply_blocks(u, boundary).to_numpy(), expected)
+
+
+def test_ghosts_need_no_join(spark):
+    u = g.array(spark, np.ones((8, 6)), n_blocks=4, halo=1)
+    plan = BlockFrame.from_grid(u, "edge").rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
