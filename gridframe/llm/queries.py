@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import boosting, html_text, mixing, near_dups, neighbours, packing, rules, sharding, store, toxicity
+from gridframe.llm import boosting, hard_negatives, html_text, mixing, near_dups, neighbours, packing, prefix_trie, rules, sharding, store, toxicity
 from gridframe.llm.common import staged_path, table
 from gridframe.llm.labelled import fold, training_sample
 
@@ -157,6 +157,66 @@ def op10_nnls_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+def op11_family_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id").cast("long")
+    shared = F.crc32(conv.cast("string").cast("binary")) % 4
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), "conv_id", conv - conv % 20, shared, most_shared=3)
+
+
+OP11_SQL = r"""
+WITH codes AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+shared AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM ids, codes),
+turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+rebuilt AS (
+  SELECT s.conv_id, t.p, 0 AS own, t.role, t.text FROM shared s JOIN turns t ON t.conv_id = s.base AND t.p <= s.h
+  UNION ALL SELECT s.conv_id, t.p, 1, t.role, t.text FROM shared s JOIN turns t ON t.conv_id = s.conv_id AND t.p > s.h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS depth, role, text, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, words, array_agg(length(role) || ':' || role || length(text) || ':' || text) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node FROM placed
+  UNION ALL SELECT conv_id, 0, 0, CAST([] AS VARCHAR[]) FROM ids),
+ended AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words FROM paths GROUP BY node),
+ends AS (SELECT node, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM paths p JOIN ended e ON e.conv_id = p.conv_id AND e.depth = p.depth GROUP BY node),
+children AS (SELECT node[1:len(node) - 1] AS node, count(*) AS n FROM nodes WHERE len(node) > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+below AS (
+  SELECT p.node, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM full_nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes n JOIN below b ON b.node = n.node LEFT JOIN ends e ON e.node = n.node LEFT JOIN nodes u ON len(n.node) > 0 AND u.node = n.node[1:len(n.node) - 1]
+"""
+
+
+def op12_bounded_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+usual AS (SELECT len(e) AS dim FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+part AS (SELECT v.* FROM v, usual WHERE len(e) = dim),
+pairs AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM part a JOIN part b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS n FROM pairs WHERE same) WHERE n <= 5),
+found AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.other ORDER BY x.score DESC, x.vec_id, x.other) AS rank, x.vec_id AS negative_id, p.score AS positive_score, x.score AS negative_score
+  FROM positives p JOIN pairs x ON x.r = p.r AND NOT x.same AND 80 * p.score <= 100 * x.score AND x.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fair_mix": op1_fair_mix,
     "op2_toxicity": op2_toxicity,
@@ -168,10 +228,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_boosted_quality": op8_boosted_quality,
     "op9_chunk_store": op9_chunk_store,
     "op10_nnls_pack": op10_nnls_pack,
+    "op11_family_trie": op11_family_trie,
+    "op12_bounded_lists": op12_bounded_lists,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_fair_mix": OP1_SQL,
     "op3_circulant_minhash": OP3_SQL,
     "op7_host_rules": OP7_SQL,
+    "op11_family_trie": OP11_SQL,
+    "op12_bounded_lists": OP12_SQL,
 }
