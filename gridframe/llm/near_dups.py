@@ -35,16 +35,16 @@ they too can stand for their group.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import cut, hot_keys, slices, spread_join
+from gridframe.llm.common import BROADCAST_ROWS, cut, hot_keys, slices, small_side, spread_join
 from gridframe.llm.components import components
 
 WORDS = 5
@@ -213,14 +213,14 @@ def block_links(sets: list[np.ndarray], docs: list[int], roots: list[int], perce
     return links
 
 
-def rest_links(dealt: DataFrame, percent: int) -> DataFrame:
+def rest_links(dealt: DataFrame, percent: int, join: Callable = block_links) -> DataFrame:
     """Links a, b of dealt(block, doc, root, text), whose blocks lie together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sets, docs, roots = None, [], [], []
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = block_links(sets, docs, roots, percent) if len(set(roots)) > 1 else []
+            found = join(sets, docs, roots, percent) if len(set(roots)) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
@@ -245,18 +245,38 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Data
     return wanted.join(named, "doc")
 
 
-def class_links(docs: DataFrame, reps: DataFrame, percent: int, id_col: str, text: str) -> DataFrame:
-    """doc and root of every class representative that is connected with a smaller
-    one. reps: doc, n and keys of each class's first document."""
-    banded = cut(reps.select("doc", F.col("n").cast("int").alias("n"), F.explode("keys").alias("bucket")))
+def met_enough(members: DataFrame, need: Column | None) -> DataFrame:
+    """The rows of members(bucket, doc, n, ...) whose document has at least `need` of
+    them; need may use n and is 1 where it is None."""
+    if need is None:
+        return members
+    enough = members.groupBy("doc").agg(F.first("n").alias("n"), F.count("*").alias("__met")).where(F.col("__met") >= need)
+    return members.join(enough.select("doc"), "doc", "left_semi")
+
+
+def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, text: str, need: Column | None = None, join: Callable = block_links) -> DataFrame:
+    """node and root of every document that is connected with a smaller one.
+
+    banded(bucket, doc, n) are the buckets of documents, one for each class of equal
+    sets, so that similar ones meet in `need` of them at least. With a column pos, the
+    bucket is a shingle and pos its place in the document's order, which all documents
+    share. join: finds the links of a block, as block_links does."""
+    banded = cut(banded)
     sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     hot = hot_keys(sizes, "bucket", "m")
-    members = cut(spread_join(banded, sizes, ["bucket"], hot, ["doc"]))
+    members = cut(met_enough(spread_join(banded, sizes, ["bucket"], hot, ["doc"]), need))
+    if need is not None:  # those left meet fewer
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+        members = cut(met_enough(spread_join(members.drop("m"), sizes, ["bucket"], hot, ["doc"]), need))
     met = members.groupBy("doc").agg(F.sum("m").alias("met"))
-    pivots = members.join(met, "doc").groupBy("bucket").agg(F.max_by(F.struct("doc", "n"), F.struct("met", "doc")).alias("p"))
-    pivots = pivots.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    own = ["doc", "n", "pos"] if "pos" in banded.columns else ["doc", "n"]
+    pivots = members.join(met, "doc").groupBy("bucket").agg(F.max_by(F.struct(*own), F.struct("met", "doc")).alias("p"))
+    pivots = pivots.select("bucket", *[F.col(f"p.{c}").alias("pivot" if c == "doc" else f"pivot_{c}") for c in own])
     met_pivot = spread_join(members, pivots, ["bucket"], hot, ["doc"]).where(F.col("doc") != F.col("pivot"))
     met_pivot = met_pivot.where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
+    if "pos" in banded.columns:
+        most = F.least("pos", "pivot_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) - 1
+        met_pivot = met_pivot.where((100 + percent) * most >= percent * (F.col("n") + F.col("pivot_n")))
     edges = cut(met_pivot.groupBy("doc", "pivot").agg((F.first("n") * F.lit(8).cast("long")).alias("bytes")))
     salts = cut(edges.groupBy("pivot").agg(F.ceil(F.sum("bytes") / SALT_BYTES).cast("int").alias("salts"), F.count("*").alias("members")))
     member = spread_join(edges, salts.drop("members"), ["pivot"], hot_keys(salts, "pivot", "members"), ["doc"]).select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
@@ -264,39 +284,82 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int, id_col: str, tex
     links = cut(star_links(texts_of(docs, member.unionByName(pivot), id_col, text), percent))
     found = components(links)
 
-    # Buckets of three or more that still hold several components.
+    # Buckets that still hold several components; in one of two rows the pivot was compared.
     rooted = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     rooted = cut(rooted.where("m > 2").select("bucket", "doc", "root", "n"))
+    several = F.min("root") < F.max("root")
+    if need is not None:  # similar documents of two components share so many buckets, all of them open
+        spread = rooted.groupBy("bucket").agg(several.alias("open")).where("open").drop("open")
+        rooted = cut(met_enough(spread_join(rooted, spread, ["bucket"], hot, ["doc"]), need))
     open_ = rooted.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), (F.sum("n") * 8).alias("held"),
+        several.alias("open"), F.count("*").alias("m"), (F.sum("n") * 8).alias("held"),
         F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.col("doc").cast("decimal(38,0)")).alias("s"),
-    ).where("low < high")
+    ).where("open")
     open_ = open_.groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket"), F.first("held").alias("held"))  # the same members meet in many bands
     chunks = open_.select("bucket", F.greatest(F.ceil(F.col("held") / CHUNK_BYTES), F.lit(1)).cast("int").alias("g"))
     chunked = spread_join(rooted, chunks, ["bucket"], hot, ["doc"]).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
     chunked = chunked.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     block = F.xxhash64("bucket", F.least("c", "d"), F.greatest("c", "d"))
     dealt = texts_of(docs, chunked.select("doc", "root", block.alias("block")), id_col, text)
-    more = cut(rest_links(dealt, percent))
+    more = cut(rest_links(dealt, percent, join))
     if more.isEmpty():
         return found
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id and kept of each row of docs."""
-    drawn = cut(sketches(docs, percent, id_col, text))
-    classes = drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-    classes = cut(classes)
-    reps = drawn.join(classes.select(F.col("rep").alias("doc"), F.col("f1").alias("c1"), F.col("f2").alias("c2")), "doc")
-    reps = reps.where((F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))).dropDuplicates(["doc"])
-    reps = reps.select("doc", "n", "keys")
-    roots = class_links(docs.join(classes.select(F.col("rep").alias(id_col)), id_col, "left_semi"), reps, percent, id_col, text)
+def rooted_classes(docs: DataFrame, drawn: DataFrame, classes: DataFrame, banded: DataFrame, percent: int, **how) -> DataFrame:
+    """doc, n and root of each row of drawn(doc, n, f1, f2): the smallest document that
+    its class is connected with. classes(f1, f2, rep, copies): of equal sets."""
+    roots = class_links(docs.join(classes.select(F.col("rep").alias("__id")), "__id", "left_semi"), banded, percent, "__id", "__text", **how)
     known = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = known.where("copies > 1 or root <> rep").select("f1", "f2", "root")
-    out = spread_join(drawn.where("n > 0"), known, ["f1", "f2"], hot_keys(classes, "f1", "copies"), ["doc", "keys"], "left").unionByName(drawn.where("n = 0"), allowMissingColumns=True)
-    component = F.coalesce("root", "doc")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
+    out = spread_join(drawn.where("n > 0"), known, ["f1", "f2"], hot_keys(classes, "f1", "copies"), ["doc"], "left").unionByName(drawn.where("n = 0"), allowMissingColumns=True)
+    return out.select("doc", "n", F.coalesce("root", "doc").alias("root"))
+
+
+def linked_by_minhash(docs: DataFrame, percent: int) -> DataFrame:
+    """doc, n and root of each row of docs(__id, __text), where an id has one text."""
+    drawn = cut(sketches(docs, percent, "__id", "__text"))
+    classes = cut(drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
+    reps = drawn.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
+    banded = reps.select("doc", F.col("n").cast("int").alias("n"), F.explode("keys").alias("bucket"))
+    return rooted_classes(docs, drawn.drop("keys"), classes, banded, percent)
+
+
+def linked_documents(docs: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id and kept of each row of docs, by a function that
+    links documents(__id, __text) whose ids have one text each.
+
+    Where an id stands on several rows, each of its texts is linked under a key of its
+    own (from 2^62 on), and then what its texts are linked with is one component."""
+    named = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
+    many = cut(named.where("__id is not null").groupBy("__id").agg(F.count("*").alias("__rows")).where("__rows > 1"))
+    ids = many.count()
+    if ids == 0:
+        out = link(named)
+    else:
+        side = many.select("__id", F.lit(True).alias("__many"))
+        joined = named.join(small_side(side, ids), "__id", "left") if ids <= BROADCAST_ROWS else spread_join(named, side, ["__id"], hot_keys(many, "__id", "__rows"), ["__text"], "left")
+        key = F.when(F.col("__many"), F.shiftrightunsigned(F.xxhash64("__id", "__text"), 2) + F.lit(2**62)).otherwise(F.col("__id"))
+        keyed = cut(joined.withColumn("__key", key))
+        real = keyed.where("__many").groupBy(F.col("__key").alias("doc")).agg(F.first("__id").alias("__real"), F.count("*").alias("__rows"))
+        real = cut(real)
+        rows = link(keyed.select(F.col("__key").alias("__id"), "__text"))
+        rows = cut(spread_join(rows, real.drop("__rows"), ["doc"], hot_keys(real, "doc", "__rows"), ["root", "n"], "left"))
+        several = cut(rows.where("__real is not null").select("__real", "root").distinct())
+        pairs = several.join(several.groupBy("__real").agg(F.min("root").alias("least")), "__real")
+        merged = components(pairs.select(F.col("root").alias("a"), F.col("least").alias("b")))
+        sizes = cut(rows.groupBy("root").agg(F.count("*").alias("__rows"), F.min(F.coalesce("__real", "doc")).alias("least")))
+        groups = sizes.join(merged.withColumnRenamed("root", "whole").withColumnRenamed("node", "root"), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
+        least = groups.groupBy("whole").agg(F.min("least").alias("id"))
+        groups = groups.join(least, "whole").select("root", "id")
+        out = spread_join(rows, groups, ["root"], hot_keys(sizes, "root", "__rows"), ["doc", "n"], "left").select(F.coalesce("__real", "doc").alias("doc"), "n", F.coalesce("id", "root").alias("root"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc") == F.col("root"), F.lit(False)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id and kept of each row of docs."""
+    return linked_documents(docs, lambda named: linked_by_minhash(named, percent), id_col, text)
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
