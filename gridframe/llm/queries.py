@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import boosting, hard_negatives, html_text, mixing, near_dups, neighbours, packing, prefix_trie, rules, sharding, store, toxicity
+from gridframe.llm import boosting, hard_negatives, html_text, mixing, near_dups, neighbours, packing, prefix_trie, rules, set_join, sharding, store, toxicity
 from gridframe.llm.common import staged_path, table
 from gridframe.llm.labelled import fold, training_sample
 
@@ -74,20 +74,21 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-OP3_SQL = r"""
+LINKED_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= PERCENT * (x.n + y.n - k)),
 ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM ways UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other),
 roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN roots ON roots.doc_id = d.doc_id
 """
+OP3_SQL = LINKED_SQL.replace("PERCENT", "85")
 
 
 #: Pages that the extractor's weights are fitted on, at most.
@@ -177,7 +178,8 @@ turns AS (
 rebuilt AS (
   SELECT s.conv_id, t.p, 0 AS own, t.role, t.text FROM shared s JOIN turns t ON t.conv_id = s.base AND t.p <= s.h
   UNION ALL SELECT s.conv_id, t.p, 1, t.role, t.text FROM shared s JOIN turns t ON t.conv_id = s.conv_id AND t.p > s.h),
-placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS depth, role, text, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM rebuilt),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS depth, role, text, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM rebuilt),
 paths AS (
   SELECT conv_id, depth, words, array_agg(length(role) || ':' || role || length(text) || ':' || text) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node FROM placed
   UNION ALL SELECT conv_id, 0, 0, CAST([] AS VARCHAR[]) FROM ids),
@@ -217,6 +219,13 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 """
 
 
+def op13_set_skipping_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_join(table(spark, sf_dir, "documents"), percent=80).drop("kept")
+
+
+OP13_SQL = f"SELECT * EXCLUDE (kept) FROM ({LINKED_SQL.replace('PERCENT', '80')})"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fair_mix": op1_fair_mix,
     "op2_toxicity": op2_toxicity,
@@ -230,6 +239,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nnls_pack": op10_nnls_pack,
     "op11_family_trie": op11_family_trie,
     "op12_bounded_lists": op12_bounded_lists,
+    "op13_set_skipping_join": op13_set_skipping_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -238,4 +248,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_host_rules": OP7_SQL,
     "op11_family_trie": OP11_SQL,
     "op12_bounded_lists": OP12_SQL,
+    "op13_set_skipping_join": OP13_SQL,
 }
