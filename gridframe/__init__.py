@@ -15,6 +15,7 @@ _HOME = {
     "operators.placement": "block_numbering deposit deposit_cloud migrate owner_column placed rebalance redistribute",
     "operators.reduce": "allclose allreduce_replicated array_equal isclose",
     "operators.stencil": "StencilOperator",
+    "operators.tiles": "TileFrame tiled_layout",
     "plans.layout": "GridLayout chunk_bounds process_grid weighted_cuts",
     "sources.create": "arange array asarray empty empty_like from_local from_sums from_table fromfunction fromfunction_numpy full full_like linspace ones ones_like reshaped zeros zeros_like",
     "sources.hdf5": "load_hdf5 save_hdf5",

@@ -4,6 +4,7 @@ widest unsigned as DECIMAL(20,0)), complex numbers as a struct of two doubles.""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +36,16 @@ def numpy_type(spark: str) -> np.dtype:
     return np.dtype(kinds[spark])
 
 
+def from_arrow(v: pa.Array, dtype) -> np.ndarray:
+    """Values of a column of spark_type(dtype) as a NumPy array of dtype."""
+    dtype = np.dtype(dtype)
+    if dtype.kind == "c":
+        return (v.field("re").to_numpy(zero_copy_only=False) + 1j * v.field("im").to_numpy(zero_copy_only=False)).astype(dtype)
+    if dtype == np.uint64:
+        return np.array([int(x) for x in v.to_pylist()], np.uint64)
+    return v.to_numpy(zero_copy_only=False).astype(dtype)
+
+
 def literal(x) -> Column:
     """A number as a column."""
     if isinstance(x, np.generic):

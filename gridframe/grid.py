@@ -134,15 +134,11 @@ class GridFrame:
     def to_numpy(self) -> np.ndarray:
         """The whole array, on the driver."""
         rows = self.df.toArrow()
+        if rows.num_rows != self.size:
+            raise ValueError(f"the frame has {rows.num_rows} rows for {self.size} cells")
         out = np.empty(self.shape, self.dtype)
-        v = rows.column("v").combine_chunks()
-        if self.dtype.kind == "c":
-            values = v.field("re").to_numpy(zero_copy_only=False) + 1j * v.field("im").to_numpy(zero_copy_only=False)
-        elif self.dtype == np.uint64:
-            values = np.array([int(x) for x in v.to_pylist()], np.uint64)
-        else:
-            values = v.to_numpy(zero_copy_only=False)
-        out[tuple(rows.column(i).to_numpy() for i in self.index)] = values.astype(self.dtype) if self.ndim else values.astype(self.dtype)[0]
+        values = dtypes.from_arrow(rows.column("v").combine_chunks(), self.dtype)
+        out[tuple(rows.column(i).to_numpy() for i in self.index)] = values if self.ndim else values[0]
         return out
 
     gather = to_numpy

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from gridframe.functions import dtypes
 from gridframe.functions.units import DIMENSIONLESS
 from gridframe.grid import GridFrame
-from gridframe.operators.halo import BlockFrame, checked_boundary, with_images
+from gridframe.operators.halo import checked_boundary, with_images
 from gridframe.operators.placement import numbering_column
+from gridframe.operators.tiles import TileFrame, fill_walls, tiled_layout
 from gridframe.plans.index import axes
 from gridframe.plans.layout import GridLayout
 
@@ -204,34 +205,51 @@ class StencilOperator:
         return spread.where("__in").select(*u.index, "w")
 
     def apply_blocks(self, u: GridFrame, boundary: Any = None, steps: int = 1) -> GridFrame:
-        """The operator `steps` times on blocks with ghosts: one exchange for all steps.
-        Needs constant coefficients and a halo of steps times the reach; with more
-        than one step, axes that wrap or walls at zero."""
-        reach = self.reach()
+        """The operator `steps` times on blocks with ghosts: one exchange for all steps,
+        which gathers cells into tiles. Needs constant coefficients and a halo of steps
+        times the reach."""
+        if u.layout != self.layout:
+            raise ValueError("Layouts must match")
+        tiles = TileFrame.from_grid(u, self._walls(boundary), tiled_layout(self.layout))
+        return self._stepped(tiles, boundary, steps).to_grid(self.layout)
+
+    def apply_tiles(self, u: TileFrame, boundary: Any = None, steps: int = 1) -> TileFrame:
+        """The operator `steps` times on stored tiles, which stay where they lie: one
+        exchange of faces for all steps. The result's ghosts are 0."""
+        if u.shape != self.layout.shape or u.layout.options() != self.layout.options():
+            raise ValueError("Layouts must match")
+        return self._stepped(u.update_halos(self._walls(boundary)), boundary, steps)
+
+    @staticmethod
+    def _walls(boundary: Any) -> Any:
+        return "zero" if boundary is None else boundary
+
+    def _stepped(self, tiles: TileFrame, boundary: Any, steps: int) -> TileFrame:
+        """Steps within tiles whose ghosts are filled. What is right shrinks by the reach
+        each step, but at walls, beyond which cells are set anew from those inside."""
+        reach, layout, terms = self.reach(), tiles.layout, list(self.terms.items())
         if self.overrides or any(isinstance(c, GridFrame) for c in self.terms.values()):
             raise ValueError("block kernels need constant coefficients without overrides")
-        if any(h < steps * r for h, r in zip(self.layout.halo, reach)):
+        if any(h < steps * r for h, r in zip(layout.halo, reach)):
             raise ValueError("the halo is too narrow for so many steps")
-        if steps > 1 and boundary not in (None, "zero"):
-            raise ValueError("several steps at once need walls at zero")
-        layout, terms = self.layout, list(self.terms.items())
-        dtype = np.result_type(u.dtype, *[np.asarray(c).dtype for _, c in terms])
+        boundary = self._walls(checked_boundary(boundary, layout))
+        dtype = np.result_type(tiles.dtype, *[np.asarray(c).dtype for _, c in terms])
 
         def run(data: np.ndarray, block: int) -> np.ndarray:
             data = data.astype(dtype)
-            for _ in range(steps):
+            for step in range(steps):
                 new = np.zeros_like(data)
                 core = tuple(slice(r, n - r) for r, n in zip(reach, data.shape))
                 for o, c in terms:
                     new[core] += c * data[tuple(slice(r + d, n - r + d) for r, d, n in zip(reach, o, data.shape))]
                 data = new
-                for k, ((a, b), h) in enumerate(zip(layout.index_bounds(block), layout.halo)):
-                    if not layout.periodic[k] and steps > 1:  # beyond walls it stays zero
-                        at = np.arange(a - h, b + h)
-                        data[(slice(None),) * k + ((at < 0) | (at >= layout.shape[k]),)] = 0
-            return data
+                if step < steps - 1:
+                    fill_walls(data, layout, block, boundary)
+            out = np.zeros_like(data)
+            out[layout.interior] = data[layout.interior]
+            return out
 
-        return BlockFrame.from_grid(u, boundary).map_blocks(run, dtype).to_grid()
+        return tiles.map_tiles(run, dtype)
 
     def to_matrix_frame(self, u: GridFrame) -> DataFrame:
         """(row, col, value) of the matrix, in block numbering; cells beyond walls are omitted."""

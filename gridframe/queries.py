@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridframe.functions import npmath
 from gridframe.grid import GridFrame
-from gridframe.operators import copyplan, halo, placement, reduce
+from gridframe.operators import copyplan, halo, placement, reduce, tiles
 from gridframe.operators.stencil import StencilOperator
 from gridframe.plans.layout import GridLayout, chunk_bounds
 from gridframe.sources import create, npy, tables
@@ -757,6 +757,53 @@ def smoothing_steps(spark, d):
     return StencilOperator(a.layout, {0: 2, 1: 1, -1: 1}).apply_blocks(a, steps=2).df
 
 
+# Stored tiles
+
+
+@query("SELECT a.i0, a.v * b.v - a.v AS v FROM o a JOIN (SELECT i0, i0 % 1000 AS v FROM o) b ON a.i0 = b.i0")
+def stored_arithmetic(spark, d):
+    """Two stored grids, joined where they lie."""
+    a = orders(spark, d, n_blocks=8)
+    b = create.fromfunction(spark, lambda i: i % 1000, a.shape, "int64", layout=a.layout)
+    x, y = (tiles.TileFrame.from_grid(g).stored() for g in (a, b))
+    return (x * y - x).to_grid().df
+
+
+@query("SELECT i0, CAST(sum(v) AS BIGINT) AS v FROM q GROUP BY i0")
+def stored_axis_sum(spark, d):
+    """A reduction along an axis that isn't cut: each tile's where it lies."""
+    a = tiles.TileFrame.from_grid(quantities(spark, d, n_blocks=5, split=0)).stored()
+    return a.sum(axis=1).to_grid().df
+
+
+@query("SELECT CAST(sum(CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS BIGINT) AS v, i1 FROM (SELECT unnest(embedding) AS x, unnest(range(len(embedding))) AS i1 FROM embeddings) GROUP BY i1")
+def stored_matrix_sum(spark, d):
+    """Column sums of the embeddings: partial sums of each tile, which meet as cells."""
+    a = tables.embedding_matrix(spark, d, n_blocks=8, split=0)
+    t = tiles.TileFrame.from_grid(a)
+    whole = np.rint(t.astype("float64") * 1000).astype("int64")
+    return whole.sum(axis=0).to_grid().df.select(F.col("i0").alias("i1"), "v")
+
+
+@query(f"SELECT block, i0, i1, ghost, CASE WHEN ghost THEN v ELSE 3 * (v + 1) END AS v FROM ({halo_sql('edge')})")
+def tiles_in_place(spark, d):
+    """In-place operators on stored blocks: ghosts stay as they were."""
+    a = quantities(spark, d, n_blocks=2, split=0, halo=(2, 0))
+    t = tiles.TileFrame.from_grid(a, "edge")
+    t += 1
+    t *= 3
+    return t.to_blocks().rows
+
+
+@query("""SELECT i0, CAST(2 * t + coalesce(lag(t) OVER w, t) + coalesce(lead(t) OVER w, t) AS BIGINT) AS v
+  FROM (SELECT i0, 2 * v + coalesce(lag(v) OVER w, v) + coalesce(lead(v) OVER w, v) AS t FROM e WINDOW w AS (ORDER BY i0)) WINDOW w AS (ORDER BY i0)""")
+def smoothing_steps_at_walls(spark, d):
+    """Two steps in one exchange of faces, with walls that repeat the edge."""
+    a = events(spark, d, n_blocks=4, halo=2)
+    t = tiles.TileFrame.from_grid(a, ghosts=False)
+    return StencilOperator(a.layout, {0: 2, 1: 1, -1: 1}).apply_tiles(t, "edge", steps=2).to_grid().df
+
+
 # Particles
 
 
