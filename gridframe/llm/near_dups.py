@@ -261,7 +261,6 @@ def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, t
     sets, so that similar ones meet in `need` of them at least. With a column pos, the
     bucket is a shingle and pos its place in the document's order, which all documents
     share. join: finds the links of a block, as block_links does."""
-    banded = cut(banded)
     sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     hot = hot_keys(sizes, "bucket", "m")
     members = cut(met_enough(spread_join(banded, sizes, ["bucket"], hot, ["doc"]), need))
@@ -309,8 +308,9 @@ def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, t
 
 def rooted_classes(docs: DataFrame, drawn: DataFrame, classes: DataFrame, banded: DataFrame, percent: int, **how) -> DataFrame:
     """doc, n and root of each row of drawn(doc, n, f1, f2): the smallest document that
-    its class is connected with. classes(f1, f2, rep, copies): of equal sets."""
-    roots = class_links(docs.join(classes.select(F.col("rep").alias("__id")), "__id", "left_semi"), banded, percent, "__id", "__text", **how)
+    its class is connected with. classes(f1, f2, rep, copies): of equal sets. docs has
+    the texts of all documents in banded, once each."""
+    roots = class_links(docs, banded, percent, "__id", "__text", **how)
     known = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = known.where("copies > 1 or root <> rep").select("f1", "f2", "root")
     out = spread_join(drawn.where("n > 0"), known, ["f1", "f2"], hot_keys(classes, "f1", "copies"), ["doc"], "left").unionByName(drawn.where("n = 0"), allowMissingColumns=True)
@@ -318,17 +318,18 @@ def rooted_classes(docs: DataFrame, drawn: DataFrame, classes: DataFrame, banded
 
 
 def linked_by_minhash(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, n and root of each row of docs(__id, __text), where an id has one text."""
+    """doc, n and root of each row of docs(__id, __text), where an id has one row."""
     drawn = cut(sketches(docs, percent, "__id", "__text"))
     classes = cut(drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
-    reps = drawn.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-    banded = reps.select("doc", F.col("n").cast("int").alias("n"), F.explode("keys").alias("bucket"))
-    return rooted_classes(docs, drawn.drop("keys"), classes, banded, percent)
+    reps = drawn.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    banded = cut(reps.select("doc", F.col("n").cast("int").alias("n"), F.explode("keys").alias("bucket")))
+    texts = docs.join(classes.select(F.col("rep").alias("__id")), "__id", "left_semi")
+    return rooted_classes(texts, drawn.drop("keys"), classes, banded, percent)
 
 
 def linked_documents(docs: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept of each row of docs, by a function that
-    links documents(__id, __text) whose ids have one text each.
+    links documents(__id, __text) of one row an id.
 
     Where an id stands on several rows, each of its texts is linked under a key of its
     own (from 2^62 on), and then what its texts are linked with is one component."""
@@ -341,19 +342,19 @@ def linked_documents(docs: DataFrame, link: Callable[[DataFrame], DataFrame], id
         side = many.select("__id", F.lit(True).alias("__many"))
         joined = named.join(small_side(side, ids), "__id", "left") if ids <= BROADCAST_ROWS else spread_join(named, side, ["__id"], hot_keys(many, "__id", "__rows"), ["__text"], "left")
         key = F.when(F.col("__many"), F.shiftrightunsigned(F.xxhash64("__id", "__text"), 2) + F.lit(2**62)).otherwise(F.col("__id"))
-        keyed = cut(joined.withColumn("__key", key))
+        keyed = cut(joined.select(key.alias("__key"), "__id", "__text", "__many"))
         real = keyed.where("__many").groupBy(F.col("__key").alias("doc")).agg(F.first("__id").alias("__real"), F.count("*").alias("__rows"))
-        real = cut(real)
-        rows = link(keyed.select(F.col("__key").alias("__id"), "__text"))
-        rows = cut(spread_join(rows, real.drop("__rows"), ["doc"], hot_keys(real, "doc", "__rows"), ["root", "n"], "left"))
+        once = keyed.where("__many").groupBy("__key").agg(F.first("__text").alias("__text")).unionByName(keyed.where("__many is null").select("__key", "__text"))
+        rows = cut(link(once.withColumnRenamed("__key", "__id")).join(real, "doc", "left"))
         several = cut(rows.where("__real is not null").select("__real", "root").distinct())
         pairs = several.join(several.groupBy("__real").agg(F.min("root").alias("least")), "__real")
         merged = components(pairs.select(F.col("root").alias("a"), F.col("least").alias("b")))
-        sizes = cut(rows.groupBy("root").agg(F.count("*").alias("__rows"), F.min(F.coalesce("__real", "doc")).alias("least")))
+        sizes = cut(rows.groupBy("root").agg(F.count("*").alias("members"), F.min(F.coalesce("__real", "doc")).alias("least")))
         groups = sizes.join(merged.withColumnRenamed("root", "whole").withColumnRenamed("node", "root"), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
         least = groups.groupBy("whole").agg(F.min("least").alias("id"))
         groups = groups.join(least, "whole").select("root", "id")
-        out = spread_join(rows, groups, ["root"], hot_keys(sizes, "root", "__rows"), ["doc", "n"], "left").select(F.coalesce("__real", "doc").alias("doc"), "n", F.coalesce("id", "root").alias("root"))
+        out = spread_join(rows, groups, ["root"], hot_keys(sizes, "root", "members"), ["doc"], "left")
+        out = out.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("__rows", F.lit(1).cast("long"))))).select(F.coalesce("__real", "doc").alias("doc"), "n", F.coalesce("id", "root").alias("root"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc") == F.col("root"), F.lit(False)).alias("kept"))
 
 
