@@ -38,16 +38,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import cut, slices
+from gridframe.llm.common import cut, slices, small_side
 from gridframe.llm.near_dups import linked_documents, rooted_classes, shingle_sets
 
 COUNTER_BITS = 18
 #: The share of a set's size by which its indexed part is longer than for one common
 #: shingle, as a part of so many.
 LONGER = 10
+#: From this level on (64 times the mean) a counter is hot.
+HOT = 6
 #: Percent of similarity from which a set takes over a leader's answers.
 HIGH = 90
 
@@ -80,24 +82,26 @@ def shared(n: int) -> int:
 
 
 def sketches(docs: DataFrame, percent: int, level: np.ndarray) -> DataFrame:
-    """doc, n, f1 and f2 (128 bits of the set) and first (the shingles to be indexed, in
-    the common order) of each row."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("first", pa.list_(pa.int64()))])
+    """doc, n, f1 and f2 (128 bits of the set), first (the shingles to be indexed, in the
+    common order) and cool (how many of these come before those of hot counters) of each
+    row."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("cool", pa.int32()), ("first", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, ["__id", "__text"], 1_000_000, "__text"):
             sets, _ = shingle_sets(part["__text"])
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            first = []
+            first, cool = [], []
             for s in sets:
-                n = len(s)
-                order = np.argsort(level[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
-                first.append(s[order[: n - -(-percent * n // 100) + shared(n)]].view(np.int64) if n else np.zeros(0, np.int64))
+                n, own = len(s), level[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                order = np.argsort(own, kind="stable")[: n - -(-percent * n // 100) + shared(n) if n else 0]
+                first.append(s[order].view(np.int64))
+                cool.append(int((own[order] < HOT).sum()))
             offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first)))
-            yield pa.RecordBatch.from_arrays([pa.array(part["__id"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(part["__id"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(cool, pa.int32()), lists], schema=schema)
 
-    return docs.mapInArrow(run, "doc long, n long, f1 long, f2 long, first array<long>")
+    return docs.mapInArrow(run, "doc long, n long, f1 long, f2 long, cool int, first array<long>")
 
 
 def least_common(a: int, b: int, percent: int) -> int:
@@ -186,14 +190,32 @@ def skip_links(sets: list[np.ndarray], docs: list[int], roots: list[int], percen
     return links
 
 
+def live_entries(reps: DataFrame, percent: int) -> DataFrame:
+    """bucket, doc, n and pos of the index: entries of shingles that others have as well,
+    of documents with as many of these as similar ones share. Shingles of hot counters
+    count as such without being looked at together."""
+    rows = reps.select("doc", F.col("n").cast("int").alias("n"), "cool", F.posexplode("first").alias("pos", "bucket"))
+    hot = F.col("pos") >= F.col("cool")
+    rows = rows.select("bucket", "doc", "n", "pos", hot.alias("hot"), F.when(hot, F.col("doc")).alias("apart"))
+    rows = rows.withColumn("m", F.count("*").over(Window.partitionBy("bucket", "apart"))).where("m > 1 or hot").drop("m", "hot", "apart")
+    return rows.withColumn("met", F.count("*").over(Window.partitionBy("doc"))).where(F.col("met") >= least_shared(percent)).drop("met")
+
+
+def least_shared(percent: int) -> Column:
+    """shared() of the smallest size that is similar to a set of n."""
+    return 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) / LONGER)
+
+
 def linked_by_shingles(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, n and root of each row of docs(__id, __text), where an id has one text."""
+    """doc, n and root of each row of docs(__id, __text), where an id has one row."""
     level = levels(occurrences(docs))
     drawn = cut(sketches(docs, percent, level))
-    classes = cut(drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("first").alias("first")))
-    banded = classes.where("rep is not null").select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "bucket"))
-    need = 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) / LONGER)  # of the smallest partner's size
-    return rooted_classes(docs, drawn.drop("first"), classes.select("f1", "f2", "rep", "copies"), banded, percent, need=need, join=skip_links)
+    classes = cut(drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
+    reps = drawn.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    entries = cut(live_entries(reps, percent))
+    wanted = cut(entries.select("doc").distinct())
+    texts = cut(docs.join(small_side(wanted, wanted.count()), F.col("__id") == F.col("doc"), "left_semi"))
+    return rooted_classes(texts, drawn.drop("first", "cool"), classes, entries, percent, need=least_shared(percent), join=skip_links)
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
