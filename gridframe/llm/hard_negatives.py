@@ -81,6 +81,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def centroids(points: np.ndarray, k: int) -> np.ndarray:
     """k whole centroids of the points, by Lloyd's rounds from the first k of them."""
     x = points.astype(np.float64)
+    if not k:
+        return np.zeros((0, x.shape[1]), np.int64)
     c = x[:k].copy()
     for _ in range(ROUNDS):
         own = np.argmin((c * c).sum(axis=1) - 2 * (x @ c.T), axis=1)
