@@ -8,6 +8,7 @@ pandas functions; they are marked so in PYTHON_BACKED.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -401,10 +402,18 @@ def _two(f: Callable) -> Callable:
     return lambda a, b: f(dbl(a), dbl(b))
 
 
+def arctan2(a, b) -> Column:
+    """Spark's atan2 takes the negative zero for 0."""
+    a = dbl(a)
+    angle = F.atan2(a, dbl(b))
+    flat = F.when(signbit(b), F.lit(-math.pi)).otherwise(F.lit(-0.0))
+    return F.when((a == 0) & signbit(a) & ~F.isnan(dbl(b)), flat).when((a == 0) & ~F.isnan(dbl(b)), F.when(signbit(b), F.lit(math.pi)).otherwise(F.lit(0.0))).otherwise(angle)
+
+
 exp, expm1, sqrt, cbrt = map(_one, (F.exp, F.expm1, F.sqrt, F.cbrt))
 sin, cos, tan, arcsin, arccos, arctan = map(_one, (F.sin, F.cos, F.tan, F.asin, F.acos, F.atan))
 sinh, cosh, tanh, arcsinh, arccosh, arctanh = map(_one, (F.sinh, F.cosh, F.tanh, F.asinh, F.acosh, F.atanh))
-arctan2, hypot, float_power = map(_two, (F.atan2, F.hypot, F.pow))
+hypot, float_power = map(_two, (F.hypot, F.pow))
 deg2rad = radians = _one(F.radians)
 rad2deg = degrees = _one(F.degrees)
 

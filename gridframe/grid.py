@@ -3,8 +3,9 @@
 A grid holds a DataFrame with the index columns i0, i1, ... and a value
 expression over it. Elementwise operations on grids of one DataFrame only combine
 expressions, so a chain of them is one projection; grids of different DataFrames
-are joined on the index, and operands of fewer axes on the axes they have. No
-method runs a job but those that bring values to the driver.
+are joined on the index, and operands of fewer axes on the axes they have. Methods
+run a job only where they bring values to the driver or need a shape that the values
+decide, as selections by a mask do.
 
 Frames are dense and unique in the index, and hold no NULL (NaN marks what is
 missing); constructors guarantee it and validate() checks it.
@@ -141,7 +142,9 @@ class GridFrame:
         out[tuple(rows.column(i).to_numpy() for i in self.index)] = values if self.ndim else values[0]
         return out
 
-    gather = to_numpy
+    def gather(self, root: int | None = None) -> np.ndarray:
+        """The whole array: on the driver, which stands for every root."""
+        return self.to_numpy()
 
     def __array__(self, dtype=None, copy=None) -> np.ndarray:
         if copy is False:
@@ -238,15 +241,15 @@ class GridFrame:
 
         return rebalance(self, weights)
 
-    def cumsum(self, axis: int | None = None) -> GridFrame:
+    def cumsum(self, axis: int | None = None, dtype=None) -> GridFrame:
         from gridframe.operators.scan import cumsum
 
-        return cumsum(self, axis)
+        return cumsum(self, axis, dtype)
 
-    def cumprod(self, axis: int | None = None) -> GridFrame:
+    def cumprod(self, axis: int | None = None, dtype=None) -> GridFrame:
         from gridframe.operators.scan import cumprod
 
-        return cumprod(self, axis)
+        return cumprod(self, axis, dtype)
 
 
 def _operator(name: str, reflected: bool = False) -> Callable:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridframe.grid import GridFrame
 from gridframe.plans.index import block_of, part_of
-from gridframe.plans.layout import GridLayout
+from gridframe.plans.layout import GridLayout, cuts_at
 
 
 def redistribute(a: GridFrame, layout: GridLayout) -> GridFrame:
@@ -26,23 +26,57 @@ def placed(a: GridFrame) -> DataFrame:
     return rows.repartitionById(a.layout.n_blocks, F.col("block").cast("int"))
 
 
-def weight_profiles(weights: GridFrame) -> list[list[float]]:
-    """The weights' sums along each axis that is cut (one small collect each)."""
-    out = []
-    for k, p in enumerate(weights.layout.grid):
-        if p == 1:
-            out.append(None)
-            continue
-        sums = dict(weights.df.groupBy(f"i{k}").agg(F.sum(F.col("v").cast("double"))).collect())
-        out.append([sums.get(i, 0.0) for i in range(weights.shape[k])])
-    return out
+#: Sums that the driver receives in one round of the search for cuts, at most.
+SEARCHED = 4096
+
+
+def searched_cuts(weights: GridFrame, axis: int, n: int, least: int = 1) -> tuple[int, ...]:
+    """weighted_cuts() of the weights' sums along an axis, which stay on the executors.
+
+    Shares are searched for all at once: the stretch of cells that reaches each is cut
+    into as many parts as SEARCHED allows, whose sums decide where to look on, until the
+    stretches are single cells."""
+    length, i = weights.shape[axis], F.col(f"i{axis}")
+    rows = weights.base.select(i.alias("i"), weights.value.alias("w"))
+    exact = weights.dtype.kind in "iub"
+    rows = rows.select("i", F.col("w").cast("int").cast("long").alias("w") if weights.dtype.kind == "b" else F.col("w").cast("long" if exact else "double").alias("w"))
+    total, worst = rows.agg(F.coalesce(F.sum("w"), F.lit(0)), F.min(F.when((F.col("w") >= 0) & (F.col("w").cast("double") < float("inf")), 0).otherwise(-1))).first()
+    if worst == -1:
+        raise ValueError("weights must be finite and not negative")
+    shares = [total * k / n for k in range(1, n)]
+    at = [(0, length, 0)] * len(shares)  # of each share: the stretch that reaches it, and the weight before
+    after = [total] * len(shares)
+    while total > 0 and any(high - low > 1 for low, high, _ in at):
+        stretches = sorted({(low, high) for low, high, _ in at if high - low > 1})
+        parts = max(2, SEARCHED // len(stretches))
+        number, inside = F.lit(None).cast("long"), F.lit(False)
+        steps = {}
+        for s, (low, high) in enumerate(stretches):
+            steps[low, high] = step = -(-(high - low) // parts)
+            own = F.col("i").between(low, high - 1)
+            number, inside = F.when(own, F.lit(s * (parts + 1)) + F.call_function("div", F.col("i") - F.lit(low), F.lit(step))).otherwise(number), inside | own
+        sums = dict(rows.where(inside).groupBy(number.alias("part")).agg(F.sum("w")).collect())
+        for k, (low, high, before) in enumerate(at):
+            if high - low <= 1:
+                continue
+            s, step = stretches.index((low, high)), steps[low, high]
+            last = -(-(high - low) // step) - 1
+            for part in range(last + 1):
+                own = sums.get(s * (parts + 1) + part, 0)
+                if before + own >= shares[k] or part == last:
+                    break
+                before += own
+            at[k], after[k] = (low + part * step, min(high, low + (part + 1) * step), before), before + own
+    return cuts_at([(low, before, done) for (low, _, before), done in zip(at, after)], total, length, n, least)
 
 
 def rebalance(a: GridFrame, weights: GridFrame) -> GridFrame:
     """a under a layout whose blocks carry near-equal weight."""
     if weights.shape != a.shape:
         raise ValueError("Shapes must match")
-    return redistribute(a, a.layout.weighted(weight_profiles(weights.like(weights.value, layout=a.layout))))
+    layout = a.layout
+    bounds = [searched_cuts(weights, k, p, max(1, h)) if p > 1 else cuts for k, (p, h, cuts) in enumerate(zip(layout.grid, layout.halo, layout.bounds))]
+    return redistribute(a, GridLayout(layout.shape, split=layout.split, bounds=tuple(bounds), **layout.options()))
 
 
 def owner_column(layout: GridLayout, index: Sequence[Column], clip: bool = False) -> Column:

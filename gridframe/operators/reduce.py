@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.functions import dtypes, npmath
 from gridframe.functions.units import UnitError, planned
 from gridframe.grid import Aligned, GridFrame, elementwise
-from gridframe.plans.index import ravel
+from gridframe.plans.index import cells, ravel
 from gridframe.plans.layout import GridLayout
 
 
@@ -47,7 +48,17 @@ def reduced(a: GridFrame, axis, aggregate: Column, dtype, keepdims: bool = False
         return scalar(v, dtype, after, a)
     kept = [k for k in range(a.ndim) if k not in gone]
     keys = [F.col(f"i{k}") for k in kept]
-    rows = a.base.groupBy(*keys).agg(aggregate.alias("v"))
+    if 0 in [a.shape[k] for k in gone]:  # no rows to group: every result is that of no cells
+        names = cells(a.spark, [a.shape[k] for k in kept]).select(*[F.col(f"i{n}").alias(f"i{k}") for n, k in enumerate(kept)])
+        rows = names.crossJoin(a.base.limit(0).agg(aggregate.alias("v")))
+    else:
+        rows = a.base.groupBy(*keys).agg(aggregate.alias("v"))
+    return grouped(a, rows, gone, dtype, keepdims, unit, after)
+
+
+def grouped(a: GridFrame, rows: DataFrame, gone: Sequence[int], dtype: np.dtype, keepdims: bool = False, unit=None, after=None) -> GridFrame:
+    """A grid of rows(index of the axes kept, v)."""
+    kept = [k for k in range(a.ndim) if k not in gone]
     if keepdims:
         rows = rows.select(*[(F.col(f"i{k}") if k in kept else F.lit(0).cast("long")).alias(f"i{k}") for k in range(a.ndim)], "v")
     else:
@@ -95,29 +106,62 @@ def sum(a: GridFrame, axis=None, dtype=None, keepdims: bool = False):
 
 
 def prod(a: GridFrame, axis=None, dtype=None, keepdims: bool = False):
-    """Products of integers are exact up to 2^53, and raise beyond."""
+    """Integers wrap around, as NumPy's do; complex numbers multiply as such."""
     if a.unit is not None:
         raise UnitError("prod is not defined for units")
     if dtype is not None:
         a = a.astype(dtype)
     kind = np.dtype(dtype or sum_type(a.dtype))
-    if a.dtype.kind == "c":
-        log = dtypes.make_complex  # products of complex numbers: moduli multiply, angles add
-        re, im = a.value["re"], a.value["im"]
-        modulus, angle = F.coalesce(F.product(F.hypot(re, im)), F.lit(1.0)), F.coalesce(F.sum(F.atan2(im, re)), F.lit(0.0))
-        return reduced(a, axis, log(modulus * F.cos(angle), modulus * F.sin(angle)), kind, keepdims)
-    if kind.kind in "iu":
-        value = a.value.cast("int") if a.dtype.kind == "b" else a.value
-        return reduced(a, axis, exact_product(value.cast("long")), kind, keepdims)
-    return reduced(a, axis, F.coalesce(F.product(a.value.cast("double")), F.lit(1.0)), kind, keepdims)
+    if kind.kind not in "iuc" or any_empty(a, axis):
+        one = dtypes.cast(F.coalesce(F.product(dtypes.cast(a.value, a.dtype, float)), F.lit(1.0)), float, kind)
+        return reduced(a, axis, one, kind, keepdims)
+    gone = normalised_axes(axis, a.ndim)
+    keys = [f"i{k}" for k in range(a.ndim) if k not in gone]
+    rows = combined(a.base.select(*keys, dtypes.cast(a.value, a.dtype, kind).alias("v")), keys, np.multiply, kind)
+    return scalar(rows.first()["v"], kind) if axis is None and not keepdims else grouped(a, rows, gone, kind, keepdims)
+
+
+def any_empty(a: GridFrame, axis) -> bool:
+    return 0 in [a.shape[k] for k in normalised_axes(axis, a.ndim)]
 
 
-def exact_product(value: Column) -> Column:
-    """An integer product. Products of doubles are exact up to 2^53, as no partial
-    product of whole numbers without 0 exceeds the last one; beyond, it raises."""
-    of_others = F.coalesce(F.product(F.when(value == 0, F.lit(1.0)).otherwise(value.cast("double"))), F.lit(1.0))
-    zero = F.coalesce(F.bool_or(value == 0), F.lit(False))
-    return F.when(zero, F.lit(0).cast("long")).when(F.abs(of_others) <= 2.0**53, of_others.cast("long")).otherwise(F.raise_error(F.lit("an integer product exceeds 2^53")).cast("long"))
+def combined(rows: DataFrame, keys: list[str], ufunc: np.ufunc, dtype: np.dtype) -> DataFrame:
+    """keys and v: the values of rows(keys..., v) combined by an associative and
+    commutative NumPy function, in parts before they are shuffled."""
+    dtype = np.dtype(dtype)
+
+    def reduced_by_key(columns: list[np.ndarray], v: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        order = np.lexsort(columns[::-1]) if columns else np.arange(len(v))
+        columns, v = [c[order] for c in columns], v[order]
+        first = np.zeros(len(v), bool)
+        first[:1] = True
+        for c in columns:
+            first[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(first)
+        return [c[starts] for c in columns], ufunc.reduceat(v, starts, dtype=dtype)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from gridframe.sources.create import value_array
+
+        left: tuple | None = None  # the last key may go on in the next batch
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                columns, v = [batch.column(k).to_numpy() for k in keys], dtypes.from_arrow(batch.column("v"), dtype)
+                if left is not None:
+                    columns, v = [np.r_[x, c] for x, c in zip(left[0], columns)], np.r_[left[1], v]
+                columns, v = reduced_by_key(columns, v)
+                left = [c[-1:] for c in columns], v[-1:]
+                if len(v) > 1:
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[:-1]) for c in columns], value_array(v[:-1])], names=[*keys, "v"])
+            if left is not None:
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in left[0]], value_array(left[1])], names=[*keys, "v"])
+
+    schema = ", ".join([*(f"{k} long" for k in keys), f"v {dtypes.spark_type(dtype)}"])
+    parts = rows.mapInArrow(run, schema)
+    dealt = parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.repartition(1)
+    return dealt.mapInArrow(run, schema)
 
 
 def extreme(a: GridFrame, axis, keepdims: bool, greatest: bool):
@@ -158,7 +202,7 @@ def mean(a: GridFrame, axis=None, dtype=None, keepdims: bool = False):
     no_units(a, axis, "mean")
     n, kind = number_of(a, axis), np.dtype(dtype or float_type(a.dtype))
     if a.dtype.kind == "c":
-        value = dtypes.make_complex(F.sum(a.value["re"]) / F.lit(float(n)), F.sum(a.value["im"]) / F.lit(float(n)))
+        value = dtypes.make_complex(*[npmath.divide(F.coalesce(F.sum(a.value[part]), F.lit(0.0)), F.lit(float(n))) for part in ("re", "im")])
     else:
         value = npmath.divide(F.coalesce(F.sum(npmath.dbl(a.value.cast("int") if a.dtype.kind == "b" else a.value)), F.lit(0.0)), F.lit(float(n)))
     return reduced(a, axis, dtypes.cast(value, kind if kind.kind == "c" else float, kind), kind, keepdims)

@@ -79,16 +79,32 @@ def selected_layout(layout: GridLayout, kept, shape: tuple[int, ...]) -> GridLay
     return GridLayout(shape, grid=grid if math.prod(shape) else None)
 
 
+#: Places of which one window task numbers the rows.
+SPAN_BITS = 16
+
+
+def totals_before(counts: DataFrame, spans: int) -> DataFrame:
+    """__span and __before, the sum of n over smaller spans, of counts(__span, n): within
+    stretches of 2^SPAN_BITS spans by a window, of stretches in the same way."""
+    if spans <= 1 << SPAN_BITS:
+        before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("__span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    counts = counts.withColumn("__stretch", F.shiftright("__span", SPAN_BITS))
+    longer = counts.groupBy(F.col("__stretch").alias("__span")).agg(F.sum("n").alias("n"))
+    longer = totals_before(longer, -(-spans >> SPAN_BITS)).select(F.col("__span").alias("__stretch"), F.col("__before").alias("__rest"))
+    before = Window.partitionBy("__stretch").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(longer, "__stretch")
+    return counts.select("__span", (F.col("__before") + F.col("__rest")).alias("__before"))
+
+
 def numbered(rows: DataFrame, flat: Column, size: int) -> DataFrame:
-    """rows with __at, their place in the order of `flat`, in two levels: places
-    within 256 spans, and counted spans before."""
-    span = max(1, -(-size // 256))
-    rows = rows.withColumn("__flat", flat).withColumn("__span", F.call_function("div", F.col("__flat"), F.lit(span)))
-    counts = rows.groupBy("__span").agg(F.count("*").alias("n"))  # 256 rows at most
-    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    """rows with __at, their place in the order of `flat`: places within spans of
+    2^SPAN_BITS cells, and counted spans before."""
+    rows = rows.withColumn("__flat", flat).withColumn("__span", F.shiftright("__flat", SPAN_BITS))
+    spans = (size >> SPAN_BITS) + 1
+    offsets = totals_before(rows.groupBy("__span").agg(F.count("*").alias("n")), spans)
     inside = Window.partitionBy("__span").orderBy("__flat")
-    return rows.withColumn("__row", F.row_number().over(inside)).join(F.broadcast(offsets), "__span").withColumn("__at", F.col("__before") + F.col("__row") - 1)
+    return rows.withColumn("__row", F.row_number().over(inside)).join(hinted(offsets, spans), "__span").withColumn("__at", F.col("__before") + F.col("__row") - 1)
 
 
 def take_advanced(a: GridFrame, key) -> GridFrame:
@@ -99,9 +115,9 @@ def take_advanced(a: GridFrame, key) -> GridFrame:
         from gridframe.grid import Aligned
 
         both = Aligned([a, key])
-        rows = both.base.where(both.columns[1]).select(*a.index, both.columns[0].alias("v"))
-        rows = numbered(rows, ravel([F.col(i) for i in a.index], a.shape), a.size).select(F.col("__at").alias("i0"), "v")
-        n = rows.count()
+        chosen = both.base.where(both.columns[1])
+        n = chosen.count()  # the shape of the result
+        rows = numbered(chosen.select(*a.index, both.columns[0].alias("v")), ravel([F.col(i) for i in a.index], a.shape), a.size).select(F.col("__at").alias("i0"), "v")
         return GridFrame(rows, F.col("v"), GridLayout((n,), grid=(max(1, min(a.layout.n_blocks, n)),) if n else None), a.dtype, None, a.unit)
     key = key if isinstance(key, tuple) else (key,)
     arrays = [np.asarray(k) for k in key]
@@ -127,11 +143,25 @@ def take_advanced(a: GridFrame, key) -> GridFrame:
 
 
 def in_unit(a: GridFrame, value: Column, unit, dtype) -> Column:
-    """A value to be written, converted to the array's unit or refused."""
+    """A value to be written, converted to the array's unit or refused. Where units are
+    involved, what an integer array can't hold exactly raises when it is computed."""
     if unit is None and a.unit is None:
         return dtypes.cast(value, dtype, a.dtype)
     factor = (unit or DIMENSIONLESS).factor_to(a.unit or DIMENSIONLESS)
-    return dtypes.cast(value if factor == 1.0 else value.cast("double") * F.lit(factor), dtype if factor == 1.0 else float, a.dtype)
+    if factor != 1.0:
+        value, dtype = value.cast("double") * F.lit(factor), np.dtype(float)
+    written = dtypes.cast(value, dtype, a.dtype)
+    if a.dtype.kind not in "iu":
+        return written
+    if np.dtype(dtype).kind == "c":
+        raise TypeError("complex values can't be written into an integer array with units")
+    lost = F.raise_error(F.lit("a unit assignment to an integer array would lose precision")).cast(dtypes.spark_type(a.dtype))
+    limits = np.iinfo(a.dtype)
+    if np.dtype(dtype).kind == "f":
+        exact = (value == F.rint(value)) & (value >= F.lit(float(limits.min))) & (value < F.lit(float(limits.max) + 1.0))
+    else:
+        exact = written == value
+    return F.when(value.isNull() | exact, written).otherwise(lost)
 
 
 def assign(a: GridFrame, key, value) -> GridFrame:

@@ -170,40 +170,88 @@ class StencilOperator:
         dtype = np.result_type(u.dtype, *kinds, *[np.asarray(c).dtype for own in self.overrides.values() for _, c in own])
         value = dtypes.cast(u.value, u.dtype, dtype)
         if not self.overrides and not any(isinstance(c, GridFrame) for c in self.terms.values()):
-            rows = self._scattered(u, value, boundary, constant)
+            out = self._scattered(u, value, boundary, constant).groupBy(*names).agg(F.sum("w").cast(dtypes.spark_type(dtype)).alias("v"))
         else:
-            terms = self.matrix(boundary)
-            source = u.base.select(*[F.col(i).alias(f"s{k}") for k, i in enumerate(names)], value.alias("u"))
-            rows = terms.join(source, [f"s{k}" for k in range(len(names))], "left")
-            w = F.col("c") * F.when(F.col("wall"), F.lit(constant)).otherwise(F.col("u"))
-            rows = rows.select(*[F.col(f"t{k}").alias(i) for k, i in enumerate(names)], w.alias("w"))
-        out = rows.groupBy(*names).agg(F.sum("w").cast(dtypes.spark_type(dtype)).alias("v"))
+            out = self._gathered(u, value, boundary, constant, dtype)
         return GridFrame(out, F.col("v"), self.layout, dtype, u.dims, u.unit if u.unit not in (None, DIMENSIONLESS) else None)
 
-    def _scattered(self, u: GridFrame, value, boundary: Any, constant) -> DataFrame:
-        """Each cell's share of its targets: no join. Beyond named walls a cell also
-        stands for its images. A share of its own keeps every cell in the result, and
-        brings what its terms find beyond constant walls."""
-        layout = self.layout
+    def _imaged(self, u: GridFrame, value, boundary: Any) -> DataFrame:
+        """u's cells as i0... and w. Beyond named walls a cell also stands for its images."""
         rows = u.base.select(*u.index, value.alias("w"))
-        for k, (n, h) in enumerate(zip(layout.shape, self.reach())):
-            rows = rows if layout.periodic[k] else with_images(rows, k, n, h, False, boundary)
+        for k, (n, h) in enumerate(zip(self.layout.shape, self.reach())):
+            rows = rows if self.layout.periodic[k] else with_images(rows, k, n, h, False, boundary)
+        return rows
+
+    def _target(self, index, offset: Offset, boundary: Any):
+        """The cell that uses a cell or image under an offset, and whether it exists."""
+        target, exists = self._source(index, tuple(-d for d in offset), None)
+        for t, n in zip(target, self.layout.shape) if isinstance(boundary, str) else ():
+            exists = exists & t.between(0, n - 1)  # also where the offset is 0: an image stays beyond
+        return target, exists
+
+    def _scattered(self, u: GridFrame, value, boundary: Any, constant) -> DataFrame:
+        """Each cell's share of its targets: no join. A share of its own keeps every cell
+        in the result, and brings what its terms find beyond constant walls."""
         index = [F.col(i) for i in u.index]
         inside, wall = F.lit(True), F.lit(0)
-        for i, n in zip(index, layout.shape):
+        for i, n in zip(index, self.layout.shape):
             inside = inside & i.between(0, n - 1)
         parts = []
         for o, c in self.terms.items():
-            target, exists = self._source(index, tuple(-d for d in o), None)
-            for t, n in zip(target, layout.shape) if isinstance(boundary, str) else ():
-                exists = exists & t.between(0, n - 1)  # also where the offset is 0: an image stays beyond
+            target, exists = self._target(index, o, boundary)
             parts.append(F.struct(*[t.alias(f"i{k}") for k, t in enumerate(target)], (F.col("w") * F.lit(c)).alias("w"), exists.alias("__in")))
             if constant != 0:
                 wall = wall + F.when(self._source(index, o, None)[1], F.lit(0)).otherwise(F.lit(c * constant))
         parts.append(F.struct(*[i.alias(f"i{k}") for k, i in enumerate(index)], wall.alias("w"), inside.alias("__in")))
-        spread = rows.select(F.explode(F.array(*parts)).alias("m")).select("m.*")
+        spread = self._imaged(u, value, boundary).select(F.explode(F.array(*parts)).alias("m")).select("m.*")
         return spread.where("__in").select(*u.index, "w")
 
+    def _gathered(self, u: GridFrame, value, boundary: Any, constant, dtype) -> DataFrame:
+        """What each cell's terms find is gathered into one row a cell, a column an
+        offset; coefficients join these rows once for each frame that holds some, and
+        overrides are a small table of coefficients by row."""
+        names, index = u.index, [F.col(i) for i in u.index]
+        offsets = list(dict.fromkeys([*self.terms, *(o for own in self.overrides.values() for o, _ in own), (0,) * self.layout.ndim]))
+        parts = []
+        for n, o in enumerate(offsets):
+            target, exists = self._target(index, o, boundary)
+            parts.append(F.struct(*[t.alias(f"i{k}") for k, t in enumerate(target)], F.lit(n).alias("__n"), F.col("w"), exists.alias("__in")))
+        spread = self._imaged(u, value, boundary).select(F.explode(F.array(*parts)).alias("m")).select("m.*").where("__in")
+        rows = spread.groupBy(*names).agg(*[F.first(F.when(F.col("__n") == n, F.col("w")), ignorenulls=True).alias(f"__u{n}") for n in range(len(offsets))])
+        held: list[tuple[DataFrame, list[tuple[int, GridFrame]]]] = []
+        for n, o in enumerate(offsets):
+            c = self.terms.get(o)
+            if isinstance(c, GridFrame):
+                own = next((x for base, x in held if base is c.base), None)
+                if own is None:
+                    held.append((c.base, [(n, c)]))
+                else:
+                    own.append((n, c))
+        for base, own in held:
+            rows = rows.join(base.select(*names, *[c.value.alias(f"__c{n}") for n, c in own]), names)
+        if self.overrides:
+            kind = "double" if any(isinstance(c, float) for own in self.overrides.values() for _, c in own) else "long"
+            listed = []
+            for row, own in self.overrides.items():
+                sums = dict.fromkeys(offsets)
+                for o, c in own:
+                    sums[o] = (sums[o] or 0) + c
+                listed.append((*row, [None if c is None else float(c) if kind == "double" else int(c) for c in sums.values()]))
+            rows = rows.join(F.broadcast(u.spark.createDataFrame(listed, ", ".join([*(f"{i} long" for i in names), f"__own array<{kind}>"]))), names, "left")
+        found = [F.coalesce(F.col(f"__u{n}"), dtypes.cast(F.lit(constant), np.asarray(constant).dtype, dtype)) for n in range(len(offsets))]
+        zero = dtypes.cast(F.lit(0), np.int64, dtype)
+        plain = zero
+        for n, o in enumerate(offsets):
+            if o in self.terms:
+                c = self.terms[o]
+                plain = plain + found[n] * (F.col(f"__c{n}") if isinstance(c, GridFrame) else F.lit(c))
+        if self.overrides:
+            special = zero
+            for n in range(len(offsets)):
+                special = special + F.coalesce(found[n] * F.col("__own")[n], zero)
+            plain = F.when(F.col("__own").isNotNull(), special).otherwise(plain)
+        return rows.select(*names, plain.cast(dtypes.spark_type(dtype)).alias("v"))
+
     def apply_blocks(self, u: GridFrame, boundary: Any = None, steps: int = 1) -> GridFrame:
         """The operator `steps` times on blocks with ghosts: one exchange for all steps,
         which gathers cells into tiles. Needs constant coefficients and a halo of steps

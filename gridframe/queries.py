@@ -628,7 +628,7 @@ def block_numbering(spark, d):
 
 
 @query("""SELECT CAST(k AS BIGINT) AS k, (SELECT i FROM (SELECT i0 + 1 AS i, sum(s) OVER (ORDER BY i0) AS x, sum(s) OVER () AS t FROM (SELECT i0, CAST(sum(v) AS DOUBLE) AS s FROM q GROUP BY i0))
-          WHERE i < 50 ORDER BY abs(x - t * k / 4.0), i LIMIT 1) AS cut FROM range(1, 4) t(k)""")
+          WHERE i < 50 ORDER BY abs(x - t * k / 4.0), CASE WHEN x < t * k / 4.0 THEN -i ELSE 100 + i END LIMIT 1) AS cut FROM range(1, 4) t(k)""")
 def weighted_cuts(spark, d):
     a = quantities(spark, d, n_blocks=4, split=0)
     cuts = a.rebalance(a).layout.bounds[0]

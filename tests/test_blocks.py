@@ -191,3 +191,22 @@ def test_ghosts_need_no_join(spark):
     u = g.array(spark, np.ones((8, 6)), n_blocks=4, halo=1)
     plan = BlockFrame.from_grid(u, "edge").rows._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("boundary", [None, "edge", "symmetric", 2.5])
+def test_varying_coefficients_join_once(spark, boundary):
+    rng = np.random.default_rng(4)
+    u, c = rng.normal(size=(9, 7)), rng.normal(size=(3, 9, 7))
+    a = g.array(spark, u, n_blocks=4, halo=2)
+    both = g.array(spark, c[0], layout=a.layout)
+    terms = {(0, 0): both, (1, -2): both * 2 + 1, (-1, 0): abs(both), (0, 1): 3.0}
+    op = g.StencilOperator(a.layout, terms, {(0, 0): [((0, 0), 5.0), ((1, 1), -1.0)], (8, 6): [((0, 1), 2.0)], (4, 4): []})
+    out = op.apply(a, boundary)
+    mode = {"constant_values": boundary or 0} if not isinstance(boundary, str) else {"mode": boundary}
+    e = np.pad(u, 2, **mode)
+    at = lambda i, j: e[2 + i : 11 + i, 2 + j : 9 + j]
+    want = c[0] * at(0, 0) + (2 * c[0] + 1) * at(1, -2) + abs(c[0]) * at(-1, 0) + 3 * at(0, 1)
+    want[0, 0], want[8, 6], want[4, 4] = 5 * u[0, 0] - u[1, 1], 2 * at(0, 1)[8, 6], 0
+    np.testing.assert_allclose(out.to_numpy(), want, rtol=1e-12)
+    plan = g.StencilOperator(a.layout, terms).apply(a, boundary).df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import gridframe as g
+from gridframe.operators import scan
 
 X = np.arange(189.0).reshape(9, 7, 3)
 I = np.arange(24).reshape(6, 4) - 7  # noqa: E741
@@ -230,8 +231,101 @@ def test_from_local(spark):
         g.from_local(pieces.where("not (r = 1 and a = 0 and b = 0)"), "r", ["a", "b"], "x", (3,))
 
 
-def test_integer_running_products_are_exact_or_raise(spark):
-    small = g.array(spark, np.array([3, -2, 5, 0, 7, 2**40, 2**40]), n_blocks=2)
-    assert np.cumprod(small).to_numpy().tolist() == [3, -6, -30, 0, 0, 0, 0]
-    with pytest.raises(Exception, match="exceeds"):
-        np.cumprod(g.array(spark, np.array([2**30, 2**30, 2]), n_blocks=2)).to_numpy()
+SCANNED = [
+    np.arange(1, 25).reshape(4, 6), np.arange(1, 25, dtype=np.int32).reshape(4, 6) - 9, (np.arange(24).reshape(4, 6) % 5 - 2) * (1 + 0.5j), np.arange(24, dtype=np.uint8).reshape(4, 6) * 11,
+    np.full((4, 6), 2**62) - 3, np.arange(24).reshape(4, 6) % 3 == 0, np.linspace(-2, 2, 24).reshape(4, 6), np.full((4, 6), 2**40 + 1, np.uint64),
+]
+
+
+@pytest.mark.filterwarnings("ignore")
+@pytest.mark.parametrize("x", SCANNED, ids=lambda x: f"{x.dtype}-{x.flat[1]}")
+def test_running_totals_and_products_as_numpy(spark, x, monkeypatch):
+    a = g.array(spark, x, n_blocks=4)
+    for span in (100, 4):
+        monkeypatch.setattr(scan, "SPAN", span)
+        for f in (np.cumsum, np.cumprod):
+            for axis in (0, 1):
+                got, want = f(a, axis=axis), f(x, axis=axis)
+                assert got.dtype == want.dtype
+                if want.dtype.kind in "iu":
+                    assert np.array_equal(got.to_numpy(), want)
+                else:
+                    np.testing.assert_allclose(got.to_numpy(), want, rtol=1e-12)
+        np.testing.assert_allclose(a[1].cumsum().to_numpy(), x[1].cumsum(), rtol=1e-12)
+    assert a.cumsum(1, dtype="complex128").dtype == np.complex128
+    np.testing.assert_allclose(a.cumsum(1, dtype="float64").to_numpy(), x.cumsum(1, dtype="float64"))
+    for axis in (None, 0, 1, (0, 1)):
+        got, want = a.prod(axis=axis), x.prod(axis=axis)
+        got = got if axis is None else got.to_numpy()
+        assert np.asarray(got).dtype == want.dtype
+        np.testing.assert_allclose(got, want, rtol=0 if want.dtype.kind in "iu" else 1e-12)
+    assert a.prod(axis=1, keepdims=True).shape == (4, 1)
+    with pytest.raises(TypeError):
+        a.cumsum()
+
+
+def test_complex_products_are_products(spark):
+    x = np.array([1j, 1j, 2 + 1j, 0.5])
+    assert g.array(spark, x).prod() == x.prod()
+
+
+@pytest.mark.filterwarnings("ignore")
+@pytest.mark.parametrize("dtype", ["int64", "float64", "complex128", "bool"])
+@pytest.mark.parametrize("name", "sum prod mean all any var".split())
+def test_axes_without_cells(spark, name, dtype):
+    for shape, axis in (((0, 3), 0), ((2, 0), 1), ((0, 3), 1), ((2, 0, 2), (0, 1)), ((0, 3), None)):
+        x = np.zeros(shape, dtype)
+        got, want = getattr(g.array(spark, x), name)(axis=axis), getattr(x, name)(axis=axis)
+        got = got.to_numpy() if isinstance(got, g.GridFrame) else got
+        np.testing.assert_array_equal(got, want)
+        assert np.asarray(got).dtype == np.asarray(want).dtype
+
+
+def test_missing_cells_raise(spark):
+    a = g.array(spark, np.arange(6).reshape(2, 3))
+    with pytest.raises(ValueError, match="rows"):
+        a.like(a.value, base=a.base.where("i0 = 0")).to_numpy()
+
+
+def test_unit_assignment_is_exact_or_raises(spark):
+    metres = g.array(spark, np.arange(4), unit="m")
+    assert metres.assign(np.s_[1:3], g.array(spark, np.array([200, 300]), unit="cm")).to_numpy().tolist() == [0, 2, 3, 3]
+    for bad in (g.array(spark, np.array([5, 100]), unit="cm"), g.array(spark, np.array([0.5, 1.0]), unit="m"), g.array(spark, np.array([1e30, 1.0]), unit="m")):
+        with pytest.raises(Exception, match="lose precision"):
+            metres.assign(np.s_[1:3], bad).to_numpy()
+    with pytest.raises(TypeError):
+        metres.assign(np.s_[1:3], g.array(spark, np.array([1j, 2]), unit="m"))
+
+
+def test_angles_of_zeros(spark):
+    y, x = (v.ravel() for v in np.meshgrid([0.0, -0.0, 1.0, -1.0, np.inf, -np.inf, np.nan], [0.0, -0.0, 2.0, -2.0, np.inf, -np.inf, np.nan]))
+    got, want = np.arctan2(g.array(spark, y), g.array(spark, x)).to_numpy(), np.arctan2(y, x)
+    np.testing.assert_allclose(got, want, rtol=1e-15)
+    assert np.array_equal(np.signbit(got), np.signbit(want) & ~np.isnan(want))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cuts_searched_on_executors(spark, seed, monkeypatch):
+    from gridframe.operators import placement
+    from gridframe.plans.layout import weighted_cuts
+
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(placement, "SEARCHED", 12)
+    for dtype in (np.int64, np.float64):
+        w = rng.choice([0, 0, 0, 1, 2, 5, 10], (60, 4)).astype(dtype)
+        for n in (2, 5, 9):
+            assert placement.searched_cuts(g.array(spark, w), 0, n, 2) == weighted_cuts(w.sum(axis=1), n, 2)
+    with pytest.raises(ValueError):
+        placement.searched_cuts(g.array(spark, -w), 0, 2)
+    assert placement.searched_cuts(g.array(spark, 0 * w), 0, 3) == (0, 20, 40, 60)
+
+
+def test_numbering_in_levels(spark, monkeypatch):
+    from gridframe.operators import select
+
+    monkeypatch.setattr(select, "SPAN_BITS", 2)
+    x = np.arange(300)
+    a = g.array(spark, x)
+    assert np.array_equal(a[np.mod(a, 7) < 3].to_numpy(), x[x % 7 < 3])
+    b = a.assign(np.mod(a, 5) == 0, np.arange(60) * 10).to_numpy()
+    assert np.array_equal(b[::5], np.arange(60) * 10)
