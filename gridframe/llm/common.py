@@ -51,6 +51,14 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: smaller than a
+    checkpoint for tables of many narrow rows."""
+    path = staged_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a staged table through Hadoop's file system, wherever it lies."""
     jvm = spark.sparkContext._jvm

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import BROADCAST_ROWS, cut, hot_keys, slices, small_side, spread_join
+from gridframe.llm.common import BROADCAST_ROWS, cut, hot_keys, slices, small_side, spread_join, staged
 from gridframe.llm.components import components
 
 WORDS = 5
@@ -245,28 +245,46 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Data
     return wanted.join(named, "doc")
 
 
-def met_enough(members: DataFrame, need: Column | None) -> DataFrame:
-    """The rows of members(bucket, doc, n, ...) whose document has at least `need` of
-    them; need may use n and is 1 where it is None."""
-    if need is None:
-        return members
-    enough = members.groupBy("doc").agg(F.first("n").alias("n"), F.count("*").alias("__met")).where(F.col("__met") >= need)
-    return members.join(enough.select("doc"), "doc", "left_semi")
+#: Buckets of at most so many components tell which components meet in them.
+MOST_ROOTS = 64
+
+
+def meeting(rooted: DataFrame, need: Column, hot: list) -> DataFrame:
+    """Buckets, doc, root and n of the documents that may still be similar to one of
+    another component, of rooted(bucket, doc, root, n), where similar documents meet in
+    `need` buckets at least.
+
+    Buckets of few components tell how often a document meets each other component; in
+    one of many it may have met any. Where that is enough from both sides, the two
+    components' documents are a bucket of their own. Documents for which buckets of many
+    components are enough stay in these."""
+    pairs = rooted.select("bucket", "root").distinct()
+    kinds = pairs.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    kinds = staged(kinds.withColumn("big", F.col("k") > MOST_ROOTS).drop("k"))
+    rows = staged(spread_join(rooted, kinds, ["bucket"], hot, ["doc"]))
+    big = rows.where("big").groupBy("doc").agg(F.count("*").alias("bigs"))
+    others = pairs.join(kinds.where("not big").select("bucket"), "bucket").withColumnRenamed("root", "other")
+    met = spread_join(rows.where("not big"), others, ["bucket"], hot, ["doc"]).where(F.col("root") != F.col("other"))
+    met = met.groupBy("doc", "other").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.count("*").alias("times"))
+    met = met.join(big, "doc", "left").where(F.col("times") + F.coalesce("bigs", F.lit(0)) >= need)
+    met = staged(met.select(F.least("root", "other").alias("low"), F.greatest("root", "other").alias("high"), "doc", "root", "n"))
+    both = met.groupBy("low", "high").agg((F.min("root") < F.max("root")).alias("both"), F.count("*").alias("members")).where("both")
+    both = staged(both)
+    apart = spread_join(met, both.select("low", "high"), ["low", "high"], hot_keys(both, "low", "members"), ["doc"]).select(F.xxhash64("low", "high").alias("bucket"), "doc", "root", "n")
+    still = rows.where("big").join(big, "doc").where(F.col("bigs") >= need).select("bucket", "doc", "root", "n")
+    return apart.unionByName(still)
 
 
 def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, text: str, need: Column | None = None, join: Callable = block_links) -> DataFrame:
     """node and root of every document that is connected with a smaller one.
 
     banded(bucket, doc, n) are the buckets of documents, one for each class of equal
-    sets, so that similar ones meet in `need` of them at least. With a column pos, the
-    bucket is a shingle and pos its place in the document's order, which all documents
-    share. join: finds the links of a block, as block_links does."""
+    sets. With `need`, similar ones meet in so many of them at least, and bucket is a
+    shingle and pos its place in the document's order, which all documents share. join:
+    finds the links of a block, as block_links does."""
     sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     hot = hot_keys(sizes, "bucket", "m")
-    members = cut(met_enough(spread_join(banded, sizes, ["bucket"], hot, ["doc"]), need))
-    if need is not None:  # those left meet fewer
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-        members = cut(met_enough(spread_join(members.drop("m"), sizes, ["bucket"], hot, ["doc"]), need))
+    members = (cut if need is None else staged)(spread_join(banded, sizes, ["bucket"], hot, ["doc"]))
     met = members.groupBy("doc").agg(F.sum("m").alias("met"))
     own = ["doc", "n", "pos"] if "pos" in banded.columns else ["doc", "n"]
     pivots = members.join(met, "doc").groupBy("bucket").agg(F.max_by(F.struct(*own), F.struct("met", "doc")).alias("p"))
@@ -285,11 +303,11 @@ def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, t
 
     # Buckets that still hold several components; in one of two rows the pivot was compared.
     rooted = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    rooted = cut(rooted.where("m > 2").select("bucket", "doc", "root", "n"))
+    rooted = (cut if need is None else staged)(rooted.where("m > 2").select("bucket", "doc", "root", "n"))
     several = F.min("root") < F.max("root")
-    if need is not None:  # similar documents of two components share so many buckets, all of them open
-        spread = rooted.groupBy("bucket").agg(several.alias("open")).where("open").drop("open")
-        rooted = cut(met_enough(spread_join(rooted, spread, ["bucket"], hot, ["doc"]), need))
+    if need is not None:
+        rooted = staged(meeting(rooted, need, hot))
+        hot = hot_keys(rooted.groupBy("bucket").agg(F.count("*").alias("m")), "bucket", "m")
     open_ = rooted.groupBy("bucket").agg(
         several.alias("open"), F.count("*").alias("m"), (F.sum("n") * 8).alias("held"),
         F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.col("doc").cast("decimal(38,0)")).alias("s"),

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import cut, slices, small_side
+from gridframe.llm.common import cut, hot_keys, slices, small_side, spread_join, staged
 from gridframe.llm.near_dups import linked_documents, rooted_classes, shingle_sets
 
 COUNTER_BITS = 18
@@ -209,10 +209,13 @@ def least_shared(percent: int) -> Column:
 def linked_by_shingles(docs: DataFrame, percent: int) -> DataFrame:
     """doc, n and root of each row of docs(__id, __text), where an id has one row."""
     level = levels(occurrences(docs))
-    drawn = cut(sketches(docs, percent, level))
+    drawn = staged(sketches(docs, percent, level))
     classes = cut(drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
-    reps = drawn.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    entries = cut(live_entries(reps, percent))
+    several = classes.where("copies > 1")
+    copies = spread_join(drawn.select("f1", "f2", "doc"), several, ["f1", "f2"], hot_keys(several, "f1", "copies"), ["doc"]).where("doc <> rep").select("doc")
+    copies = staged(copies)
+    reps = drawn.where("n > 0 and doc is not null").join(small_side(copies, copies.count()), "doc", "left_anti")
+    entries = staged(live_entries(reps, percent))
     wanted = cut(entries.select("doc").distinct())
     texts = cut(docs.join(small_side(wanted, wanted.count()), F.col("__id") == F.col("doc"), "left_semi"))
     return rooted_classes(texts, drawn.drop("first", "cool"), classes, entries, percent, need=least_shared(percent), join=skip_links)
