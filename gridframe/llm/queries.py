@@ -136,8 +136,9 @@ moments AS (
   SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(f) AS DOUBLE) AS f, count(*) AS h, CAST(sum(CAST(CAST(f * f AS DOUBLE) / n AS DECIMAL(30, 9))) AS DOUBLE) AS q, CAST(sum(n * n) AS DOUBLE) AS s FROM hosts),
 rates AS (SELECT *, CASE WHEN f > 0 AND f < n THEN f / n ELSE (f + 0.5) / (n + 1) END AS p FROM moments),
 spread AS (SELECT *, CASE WHEN h > 1 AND n - s / n > 0 THEN (q - f * f / n - (h - 1) * (f - q) / greatest(1, n - h)) / (n - s / n) ELSE 0 END AS extra FROM rates),
-prior AS (SELECT p, CASE WHEN extra > 0 THEN least(1e4, greatest(1, p * (1 - p) / extra - 1)) ELSE 1e4 END AS weight FROM spread),
-verdicts AS (SELECT source, (f + p * weight) / (n + weight) > 0.5 AS strict FROM hosts, prior)
+prior AS (SELECT p, CASE WHEN extra > 0 THEN least(100, greatest(1, p * (1 - p) / extra - 1)) ELSE 100 END AS weight FROM spread),
+shrunk AS (SELECT source, n, p, weight, (f + p * weight) / (n + weight) AS rate FROM hosts, prior),
+verdicts AS (SELECT source, rate - 1.645 * sqrt(rate * (1 - rate) / (n + weight + 1)) > 2 * p / (1 + p) AS strict FROM shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (strict AND failed) AS kept
 FROM ruled JOIN verdicts ON ruled.source IS NOT DISTINCT FROM verdicts.source
 """

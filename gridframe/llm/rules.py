@@ -4,10 +4,11 @@ Every document is counted once (words, symbols, repeated lines, repeated
 three-word windows) and held against the rules below. Failures are summed by
 host; a host's rate is shrunk towards the rate of all hosts with a beta prior
 fitted to the hosts by the method of moments, so that a host of two pages isn't
-judged by them alone. Documents of a host whose shrunk rate is above
-`strict_rate` must pass every rule; elsewhere only the base rules count. The
-verdict is joined back to the documents, so a document that fails nothing is
-kept whatever its host.
+judged by them alone. A host is strict when it is worse than all hosts together: when
+its posterior rate, less Z of its standard deviations, is above the rate of ODDS times
+the odds of all. Documents of a strict host must pass every rule; elsewhere only the
+base rules count. The verdict is joined back to the documents, so a document that
+fails nothing is kept whatever its host.
 
 Scale: one narrow Python pass in Arrow batches; the host sums are aggregated
 before they are shuffled; the verdicts are broadcast when their counted rows are
@@ -34,6 +35,11 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SALTS = 64
+#: How much worse than all a strict host is, as a ratio of odds, and how surely: in
+#: standard deviations of its posterior, 95% on one side.
+ODDS, Z = 2.0, 1.645
+#: Documents that the prior counts for, at most.
+MOST_WEIGHT = 100.0
 
 
 def repeated_words(words: list[str], starts: np.ndarray) -> np.ndarray:
@@ -126,7 +132,7 @@ def rule_failed() -> Column:
     )
 
 
-def host_verdicts(judged: DataFrame, host: str, strict_rate: float) -> DataFrame:
+def host_verdicts(judged: DataFrame, host: str) -> DataFrame:
     """host, n_docs, n_failed, host_rate (shrunk) and strict, a row for each host."""
     by_host = cut(judged.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed")))
     # Moments of the hosts' rates, each weighted by its documents; exact sums, so that reruns agree.
@@ -137,7 +143,9 @@ def host_verdicts(judged: DataFrame, host: str, strict_rate: float) -> DataFrame
     ).first()
     alpha, beta = beta_prior(n or 0, f or 0, h, float(q or 0), float(s or 0))
     shrunk = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    return by_host.withColumn("host_rate", shrunk).withColumn("strict", F.col("host_rate") > strict_rate)
+    rate, p = F.col("host_rate"), alpha / (alpha + beta)
+    surely = rate - F.lit(Z) * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + F.lit(alpha + beta + 1)))
+    return by_host.withColumn("host_rate", shrunk).withColumn("strict", surely > F.lit(ODDS * p / (1 + (ODDS - 1) * p)))
 
 
 def beta_prior(n: int, failed: int, hosts: int, squares: float, sizes: float) -> tuple[float, float]:
@@ -145,7 +153,8 @@ def beta_prior(n: int, failed: int, hosts: int, squares: float, sizes: float) ->
     them failing, the sum of failed^2/n over hosts and of n^2.
 
     The rates' variance above what chance alone gives (the one-way random-effects
-    estimate) sets the prior's weight, between 1 and 10,000 documents."""
+    estimate) sets the prior's weight, between 1 and MOST_WEIGHT documents: also where
+    hosts differ no more than by chance, one of many documents is judged by these."""
     if not n:
         return 0.5, 0.5
     p = failed / n
@@ -155,14 +164,14 @@ def beta_prior(n: int, failed: int, hosts: int, squares: float, sizes: float) ->
     scale = n - sizes / n
     noise = (failed - squares) / max(1, n - hosts)
     extra = (between - (hosts - 1) * noise) / scale if hosts > 1 and scale > 0 else 0.0
-    weight = min(1e4, max(1.0, p * (1 - p) / extra - 1)) if extra > 0 else 1e4
+    weight = min(MOST_WEIGHT, max(1.0, p * (1 - p) / extra - 1)) if extra > 0 else MOST_WEIGHT
     return p * weight, (1 - p) * weight
 
 
-def host_rules(docs: DataFrame, host: Column, id_col: str = "doc_id", text: str = "text", strict_rate: float = 0.5) -> DataFrame:
+def host_rules(docs: DataFrame, host: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, host, COUNTS, base_failed, rule_failed, host_rate, strict and kept of each row."""
     judged = cut(counted(docs, {id_col: F.col(id_col), "host": host}, text).withColumns({"base_failed": base_failed(), "rule_failed": rule_failed()}))
-    verdicts = host_verdicts(judged, "host", strict_rate).select(F.col("host").alias("__host"), "host_rate", "strict")
+    verdicts = host_verdicts(judged, "host").select(F.col("host").alias("__host"), "host_rate", "strict")
     if verdicts.count() <= BROADCAST_ROWS:
         verdicts, same = F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("__host"))
     else:
@@ -174,18 +183,18 @@ def host_rules(docs: DataFrame, host: Column, id_col: str = "doc_id", text: str
     return joined.withColumn("kept", kept).drop("__host", "__salt", "__salted")
 
 
-def kept_documents(docs: DataFrame, host: str, text: str = "text", strict_rate: float = 0.5) -> DataFrame:
+def kept_documents(docs: DataFrame, host: str, text: str = "text") -> DataFrame:
     """The rows of docs that their rules and their host's verdict keep, as they are.
 
     The texts are counted twice, for the hosts and then for each row, which moves
     no text between machines."""
     judged = counted(docs, {"__host": F.col(host)}, text).withColumn("rule_failed", rule_failed())
-    verdicts = host_verdicts(judged, "__host", strict_rate).where("strict").select("__host")
+    verdicts = host_verdicts(judged, "__host").where("strict").select("__host")
     rows = docs.withColumn("__counts", count_column(text)).select(*docs.columns, "__counts.*") if not {*COUNTS} & {*docs.columns} else None
     if rows is None:  # columns of the counts' own names
         plain = docs.toDF(*[f"__own_{i}" for i in range(len(docs.columns))])
         at = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-        return kept_documents(plain, at[host], at[text], strict_rate).toDF(*docs.columns)
+        return kept_documents(plain, at[host], at[text]).toDF(*docs.columns)
     rows = rows.withColumns({"__base": base_failed(), "__any": rule_failed()}).drop(*COUNTS).where(~F.col("__base"))
     strict = verdicts.count()
     if strict:
