@@ -2,10 +2,10 @@
 
 Documents are cut at every full window; what remains of each is a piece of a
 length below the window. All planning happens on the histogram of those lengths,
-of fewer bins than a window has tokens, whatever the row count: shallow
-combinations of lengths that fill a window exactly are enumerated, repeat counts
-that best explain the histogram are solved under non-negativity, rounded down to
-what the histogram has, and the few pieces left over are packed largest first.
+of fewer bins than a window has tokens, whatever the row count: combinations of
+lengths that fill a window exactly are enumerated, repeat counts that best explain
+the histogram are solved under non-negativity and rounded, what is left is solved
+again, and the few pieces then left over are packed largest first.
 Each piece then reads its sequence and offset from the plan by its number among
 the pieces of its length.
 
@@ -36,8 +36,10 @@ from gridframe.llm.tokens import encoder
 
 ROWS_A_RANGE = 100_000
 KEPT_PIECES = 400_000
-PER_LENGTH = 6
-SWEEPS = 40
+#: A pair fills the rest where both its lengths are as plentiful as this share of the
+#: commonest length that fits.
+PLENTIFUL = 0.25
+SWEEPS, PASSES = 200, 30
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,41 +61,51 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
     return named.mapInArrow(run, "__id long, __start long, __length long, __crc long, __tokens long")
 
 
-def combinations(histogram: dict[int, int], window: int, depth: int = 5) -> list[tuple[int, ...]]:
-    """Up to PER_LENGTH combinations of each depth for every length, filling the
-    window exactly, of the lengths with most pieces to spare."""
-    present = np.array(sorted(histogram), np.int64)
-    have = np.zeros(window + 1)
-    have[present] = [histogram[int(x)] for x in present]
-    found: set[tuple[int, ...]] = set()
-    frequent = present[np.argsort(-have[present], kind="stable")]
-
-    def fill(fixed: tuple[int, ...]) -> None:
-        rest = window - sum(fixed)
-        b = present[present <= rest // 2]
-        b = b[have[rest - b] > 0]
-        if len(b):
-            best = b[np.argsort(-np.minimum(have[b], have[rest - b]), kind="stable")[:PER_LENGTH]]
-            found.update(tuple(sorted((*fixed, int(x), rest - int(x)), reverse=True)) for x in best)
-
-    for a in present.tolist():
-        if a < window and have[window - a]:
-            found.add(tuple(sorted((a, window - a), reverse=True)))
-        fill((a,))
-        fixed = (a,)
-        for _ in range(depth - 3):
-            room = window - sum(fixed)
-            more = frequent[frequent < room]
-            if not len(more):
+def combinations(histogram: dict[int, int], window: int) -> list[tuple[int, ...]]:
+    """Combinations of lengths that fill the window exactly.
+
+    From the longest length on, each gets a combination with what is most plentiful then:
+    pieces of the commonest lengths, until one length or a pair of them fills the rest.
+    A combination counts as used until one of its lengths is spent, so there are no more
+    of them than lengths, whatever the number of pieces that a window needs."""
+    left = np.zeros(window + 1)
+    for k, n in histogram.items():
+        left[k] = n
+    found = []
+    for a in sorted((k for k in histogram if k <= window), reverse=True):
+        while left[a] > 1e-9:
+            own, rest = Counter([a]), window - a
+            spare = left.copy()
+            spare[a] -= 1e-9 if left[a] <= 1 else 1
+            while rest:
+                if spare[rest] > 1e-9:
+                    own[rest] += 1
+                    break
+                most = int(np.argmax(spare[: rest + 1]))
+                if spare[most] <= 1e-9:
+                    own = None
+                    break
+                b = np.arange(1, rest // 2 + 1)
+                both = np.minimum(spare[b], spare[rest - b])
+                at = int(np.argmax(both)) if len(b) else 0
+                if len(b) and both[at] > 1e-9 and both[at] >= PLENTIFUL * spare[most]:
+                    own.update((int(b[at]), rest - int(b[at])))
+                    break
+                own[most] += 1
+                rest -= most
+                spare[most] /= 2  # so that a combination holds several lengths
+            if own is None:
                 break
-            fixed = (*fixed, int(more[0] if len(fixed) == 1 else more[min(len(fixed), len(more) - 1)]))
-            fill(fixed)
-    return sorted(found, reverse=True)
+            n = min(left[k] / m for k, m in own.items())
+            for k, m in own.items():
+                left[k] = max(0.0, left[k] - m * n)
+            found.append(tuple(sorted(own.elements(), reverse=True)))
+    return found
 
 
 def solve(histogram: dict[int, int], columns: list[tuple[int, ...]]) -> list[float]:
-    """x >= 0 that minimises |A x - h|, by cyclic coordinate descent; A's columns
-    count the lengths of a combination."""
+    """x >= 0 that minimises |A x - h|, by cyclic coordinate descent; A's columns count
+    the lengths of a combination."""
     left = {k: float(v) for k, v in histogram.items()}
     made = [tuple(Counter(c).items()) for c in columns]
     weight = [sum(m * m for _, m in c) for c in made]
@@ -107,24 +119,40 @@ def solve(histogram: dict[int, int], columns: list[tuple[int, ...]]) -> list[flo
                 moved += abs(step)
                 for k, m in c:
                     left[k] -= m * step
-        if moved <= 1e-3 * sum(x):
+        if moved <= 1e-6 * sum(x):
             break
     return x
 
 
+def solved(histogram: dict[int, int], window: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """(lengths, repeats) of the solved combinations, and what they leave of the histogram.
+
+    Repeats are rounded so that their running sum stays next to that of the solution, as
+    far as there are pieces. What is left is solved again, as long as that places some."""
+    left, out = {k: v for k, v in histogram.items() if v}, []
+    for _ in range(PASSES):
+        columns = combinations(left, window)
+        sum_, taken, placed_ = 0.0, 0, 0
+        for x, c in zip(solve(left, columns), columns):
+            need = Counter(c)
+            sum_ += x
+            n = min(round(sum_) - taken, *(left[k] // m for k, m in need.items()))
+            if n > 0:
+                taken += n
+                placed_ += n
+                out.append((c, n))
+                for k, m in need.items():
+                    left[k] -= m * n
+        left = {k: v for k, v in left.items() if v}
+        if not placed_:
+            break
+    return out, left
+
+
 def plan(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) that use up the histogram, each within the window."""
-    left = {k: v for k, v in histogram.items() if v and k < window}
-    out = [((window,), histogram[window])] if histogram.get(window) else []
-    columns = combinations(left, window) if left else []
-    for x, c in sorted(zip(solve(left, columns), columns), reverse=True):
-        need = Counter(c)
-        n = min(int(x + 1e-9), *(left[k] // m for k, m in need.items()))
-        if n > 0:
-            out.append((c, n))
-            for k, m in need.items():
-                left[k] -= m * n
-    lengths = sorted((k for k, v in left.items() if v), reverse=True)
+    out, left = solved(histogram, window)
+    lengths = sorted(left, reverse=True)
     while lengths:  # largest first, each time as often as its lengths last
         room, need = window, Counter()
         for k in lengths:
