@@ -20,8 +20,9 @@ Scale: fitting sees a bounded sample (`limit` labelled documents), reduced on th
 executors: string counts by aggregation, sentences to their landmark
 similarities. Scoring is one pass over whole texts in Arrow batches; each worker
 keeps the values of windows that it has seen. The model is a few kilobytes; a
-worker folds its weights into tables of strings (some megabytes), in which a
-word's value is a sum over its own subsequences.
+worker folds its weights into a trie of the landmarks' strings (some megabytes at any
+alphabet, as there are few landmarks), in which a word's value is a sum over its own
+subsequences.
 
 Cases: null and empty texts have no window and get the model's lowest score;
 without labels of both kinds every score is the prior; repeated rows score
@@ -54,7 +55,7 @@ STOP = re.compile(r"(?<=[.!?])\s")
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 28, 4
 GRAMS = (5, 6, 7)
 KEPT_WINDOWS = 600_000
-MOST_LETTERS, UNIT = 64, 2.0**-20
+UNIT = 2.0**-20
 
 
 def codes(strings: list[str]) -> np.ndarray:
@@ -105,25 +106,36 @@ class Folded:
     def __init__(self, landmarks: list[str], weights: np.ndarray):
         self.landmarks, self.weights = landmarks, weights.astype(np.float64)
         letters = sorted({ord(c) for m in landmarks for c in m})
-        self.base = len(letters) + 1  # 0: no landmark has it
+        self.letters = len(letters) + 1  # 0: no landmark has it
         self.code = np.zeros(max(letters, default=0) + 2, np.int32)
-        self.code[letters] = np.arange(1, self.base)
-        if self.base > MOST_LETTERS:
-            return
-        self.tables = {order: np.zeros(self.base**order) for order in (3, 4)}
+        self.code[letters] = np.arange(1, self.letters)
+        # The landmarks' strings as a trie: pairs, threes and fours have numbers from 1 on,
+        # and a table leads from a number and a letter to the next number, 0 where no
+        # landmark goes on so. The last table leads to weights.
+        sums: dict[tuple[int, ...], float] = {}
         for m, weight in zip(landmarks, self.weights.tolist()):
-            x = self.code[codes([m])[0]].astype(np.int64)
-            for order, (places, decays) in zip((3, 4), places_of(len(m))[1:]):
-                at = np.zeros(len(decays), np.int64)
-                for column in places:
-                    at = at * self.base + x[column]
-                np.add.at(self.tables[order], at, weight * decays[:, 0])
-        self.tables = {order: np.round(t / UNIT) * UNIT for order, t in self.tables.items()}
+            x = self.code[codes([m])[0]]
+            for places, decays in places_of(len(m))[1:]:
+                for string, decay in zip(x[places].T.tolist(), decays[:, 0].tolist()):
+                    sums[tuple(string)] = sums.get(tuple(string), 0.0) + weight * decay
+        pairs = {p: n for n, p in enumerate(sorted({s[:2] for s in sums}), 1)}
+        threes = {t: n for n, t in enumerate(sorted({s[:3] for s in sums}), 1)}
+        self.pairs = np.zeros(self.letters**2, np.int32)
+        self.threes = np.zeros((len(pairs) + 1) * self.letters, np.int32)
+        self.weight3, self.weight4 = np.zeros(len(threes) + 1), np.zeros((len(threes) + 1) * self.letters)
+        for (a, b), n in pairs.items():
+            self.pairs[a * self.letters + b] = n
+        for t, n in threes.items():
+            self.threes[pairs[t[:2]] * self.letters + t[2]] = n
+        for string, total in sums.items():
+            total = round(total / UNIT) * UNIT
+            if len(string) == 3:
+                self.weight3[threes[string]] = total
+            else:
+                self.weight4[threes[string[:3]] * self.letters + string[3]] = total
 
     def values(self, strings: list[str]) -> np.ndarray:
         """The weighted sum of each string's kernel values."""
-        if self.base > MOST_LETTERS:  # landmarks of so many scripts that tables would be large
-            return np.array([float((kernel([s], self.landmarks)[0] * self.weights).sum()) for s in strings])
         out = np.zeros(len(strings))
         by_length: dict[int, list[int]] = {}
         for i, s in enumerate(strings):
@@ -137,11 +149,12 @@ class Folded:
             for start in range(0, len(rows), at_once):
                 some = rows[start : start + at_once]
                 x = self.code[np.minimum(codes([strings[i] for i in some]).T, len(self.code) - 1)]
-                two = x[pairs[0]] * np.int32(self.base) + x[pairs[1]]
-                three = two[first_two] * np.int32(self.base) + x[threes[2]]
-                total = (self.tables[3][three] * decay3).sum(axis=0)
+                letters = np.int32(self.letters)
+                two = self.pairs[x[pairs[0]] * letters + x[pairs[1]]]
+                three = self.threes[two[first_two] * letters + x[threes[2]]]
+                total = (self.weight3[three] * decay3).sum(axis=0)
                 if n > 3:
-                    total += (self.tables[4][three[first_three] * np.int32(self.base) + x[fours[3]]] * decay4).sum(axis=0)
+                    total += (self.weight4[three[first_three] * letters + x[fours[3]]] * decay4).sum(axis=0)
                 out[some] = total
         return out
 
