@@ -59,7 +59,7 @@ BOILERPLATE = re.compile(
     r"(?:ads?|adverts?|advertisements?|adsense|adslot|adbox|sponsor(?:ed)?|promo(?:tions?)?|banner|cookies?|consent|gdpr|notices?|notification|alert|newsletter|subscri(?:be|ption)|signup|login|"
     r"sidebar|nav|navbar|navigation|menus?|breadcrumbs?|footer|masthead|topbar|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|recommendations|trending|popular|"
     r"popup|modal|overlay|widgets?|pagination|pager|toolbar|skip-?link|legal|copyright|disclaimer|search)"
-    r"(?:[-_]?(?:\d+|box|bar|block|area|list|section|container|wrapper|wrap|links?|menu|top|bottom|left|right|inner|outer|unit|slot|banner|form|thread|items?|message|notice|panel|content|text|row|s))*",
+    r"(?:[-_]?(?:\d|box|bar|block|area|list|section|container|wrapper|wrap|link|menu|top|bottom|left|right|inner|outer|unit|slot|banner|form|thread|item|message|notice|panel|content|text|row|s))*",
     re.I,
 )
 HEADER = re.compile(r"(?:(?:site|page|global|main|top|blog)[-_]?)?header(?:[-_]?(?:bar|inner|wrap|wrapper|container|top))*", re.I)
@@ -128,7 +128,7 @@ def marks(attributes: str, in_article: bool) -> tuple[bool, bool]:
         name = (m[1] or m[5]).lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            marked = marked or any(BOILERPLATE.fullmatch(v) or (not in_article and HEADER.fullmatch(v)) for v in value.split() if len(v) <= 64)
+            marked = marked or any(BOILERPLATE.fullmatch(v) or (not in_article and HEADER.fullmatch(v)) for v in value.split())
         elif name == "role":
             marked = marked or value.lower() in ROLES
         else:

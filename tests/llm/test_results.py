@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridframe.llm import queries, store
+from gridframe.llm import packing, queries, rules, store
 from gridframe.llm.common import WORD
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +25,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tabl
 
 @pytest.fixture(scope="module")
 def tables():
-    names = ("documents", "embeddings", "pages", "labels")
+    names = ("documents", "embeddings", "pages", "labels", "conversations")
     return {t: duckdb.sql(f"select * from read_parquet('{SF}/{t}.parquet') order by 1").df() for t in names}
 
 
@@ -47,8 +47,9 @@ def test_sql(run, tables, name):
 
 def test_mix_meets_targets(run):
     out = run("op1_fair_mix")
-    for _, own in out.assign(target=out["target"].round(6)).groupby(["source_size", "target"]):
-        pass
+    for (_, target), own in out.groupby(["source_size", "target"]):
+        sources = own["size"].sum() / own["source_size"].iloc[0]  # sources of one size share a row here
+        assert abs(own["taken"].sum() - sources * target) <= 3 * own["size"].max()
     assert abs(out["taken"].sum() - out["size"].sum()) <= 3 * out["size"].max()
     assert (out["taken"] <= 3 * out["size"]).all() and (out["taken"] % out["size"].clip(lower=1) == 0).all()
 
@@ -191,7 +192,7 @@ def test_rules(run, tables):
 
 @pytest.mark.parametrize(
     ("name", "label", "folds", "held", "cut", "area", "precision", "recall"),
-    [("op8_boosted_quality", "quality", 3, 1, 0.5, 0.97, 0.9, 0.9), ("op2_toxicity", "toxic", 4, 2, 0.3, 0.85, 0.75, 0.75)],
+    [("op8_boosted_quality", "quality", 3, 1, 0.5, 0.97, 0.9, 0.9), ("op2_toxicity", "toxic", 4, 2, 0.3, 0.9, 0.85, 0.85)],
 )
 def test_classifiers(spark, name, label, folds, held, cut, area, precision, recall):
     sf = SF.replace("0.001", "0.01")
@@ -380,6 +381,89 @@ def test_packing(run, tables):
     assert padded.sum() / used.sum() < 1.05
 
 
+def exact_nnls(a, h):
+    """By trying every set of positive columns."""
+    best = h @ h
+    for k in range(1, min(a.shape) + 1):
+        for own in itertools.combinations(range(a.shape[1]), k):
+            x, *_ = np.linalg.lstsq(a[:, own], h, rcond=None)
+            if (x >= -1e-9).all():
+                best = min(best, ((a[:, own] @ x - h) ** 2).sum())
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_solution_is_that_of_least_squares(seed):
+    rng = np.random.default_rng(seed)
+    lengths = sorted(rng.choice(np.arange(1, 16), 6, replace=False).tolist())
+    histogram = {k: int(rng.integers(1, 9)) for k in lengths}
+    columns = [tuple(rng.choice(lengths, rng.integers(1, 4)).tolist()) for _ in range(8)]
+    a = np.array([[c.count(k) for c in columns] for k in lengths], float)
+    x, h = np.array(packing.solve(histogram, columns)), np.array([histogram[k] for k in lengths], float)
+    assert (x >= 0).all()
+    assert ((a @ x - h) ** 2).sum() <= exact_nnls(a, h) + 1e-3
+
+
+@pytest.mark.parametrize("kind", ["short", "mixed", "sparse"])
+def test_solved_combinations_place_most_tokens(kind):
+    rng, window = np.random.default_rng(7), 512
+    lengths = {"short": rng.integers(5, 90, 4000), "mixed": rng.geometric(1 / 120, 4000).clip(1, 512), "sparse": rng.choice([100, 130, 256, 57, 12], 600)}[kind]
+    histogram = {int(k): int(n) for k, n in Counter(lengths.tolist()).items()}
+    columns = packing.combinations(histogram, window)
+    assert columns and all(sum(c) == window for c in columns)
+    left = {k: float(v) for k, v in histogram.items()}
+    for x, c in zip(packing.solve(histogram, columns), columns):
+        for k in c:
+            left[k] -= x
+    if kind != "sparse":
+        assert sum(v * v for v in left.values()) <= 0.01 * sum(v * v for v in histogram.values())
+    made, rest = packing.solved(histogram, window)
+    placed = sum(sum(c) * n for c, n in made)
+    total = sum(k * n for k, n in histogram.items())
+    assert placed + sum(k * n for k, n in rest.items()) == total and (kind == "sparse" or placed >= 0.95 * total)
+    used = Counter()
+    for c, n in packing.plan(histogram, window):
+        assert sum(c) <= window
+        for k in c:
+            used[k] += n
+    assert used == Counter(histogram)
+
+
+def test_a_bad_host_rejects_what_fails_a_rule(spark):
+    words = [f"word{i}" for i in range(300)]
+    clean = lambda i: " ".join(words[i % 200 : i % 200 + 80])
+    failing = lambda i: clean(i) + " #$%&" * 30  # noqa: E731  a base rule of none, but many symbols
+    rows = [(i, failing(i) if (i % 10 < 6 if i < 100 else i % 10 < 1) else clean(i), "bad" if i < 100 else f"h{i % 4}" if i % 7 else None) for i in range(700)]
+    rows += [(700 + i, failing(i), f"small{i}") for i in range(3)]  # hosts of one document aren't judged by it
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in rules.host_rules(docs, F.col("source")).collect()}
+    assert {r["host"] for r in out.values() if r["strict"]} == {"bad"}
+    rejected = {i for i, r in out.items() if not r["kept"]}
+    assert rejected == {i for i, t, h in rows if h == "bad" and "#" in t} and len(rejected) == 60
+    assert {r["doc_id"] for r in rules.kept_documents(docs, "source").collect()} == set(out) - rejected
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0] for r in con.sql(f"SELECT doc_id FROM ({queries.OP7_SQL}) WHERE NOT kept").fetchall()} == rejected
+
+
+def test_landmarks_of_many_scripts():
+    from gridframe.llm.toxicity import Folded, kernel
+
+    landmarks = ["".join(chr(a + 7 * i + k) for k in range(6)) for i, a in enumerate([0x61, 0x400, 0x3B1, 0x5D0, 0x905, 0x4E00, 0xAC00, 0x10D0, 0x531, 0x621, 0xE01, 0x3041, 0x30A1])]
+    assert len({c for m in landmarks for c in m}) > 70
+    weights = np.linspace(-1, 1, len(landmarks)).round(2)
+    strings = [*landmarks, landmarks[1][:4] + "x" + landmarks[1][4:], landmarks[5][::-1], "abc", "a"]
+    np.testing.assert_allclose(Folded(landmarks, weights).values(strings), kernel(strings, landmarks) @ weights, rtol=1e-5, atol=1e-5)
+
+
+def test_class_names_of_any_length():
+    from gridframe.llm.html_text import marks
+
+    assert marks('class="sidebar' + "-links" * 40 + '"', True) == (False, True)
+    assert marks('class="sidebar' + "-links" * 5000 + '!"', True) == (False, False)
+    assert marks('id="advert' + "1" * 5000 + 'x"', True) == (False, False)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piecewise_encoding_is_exact(name):
     from hypothesis import given, settings
@@ -420,6 +504,6 @@ def test_pipeline(spark, tables):
     sets = {i: shingles(t) for i, t in zip(tables["documents"]["doc_id"], tables["documents"]["text"]) if i in kept["near_dedup"]}
     for a, b in itertools.combinations(sets, 2):
         both = len(sets[a] & sets[b])
-        assert 100 * both < 85 * (len(sets[a]) + len(sets[b]) - both)
+        assert 100 * both < 80 * (len(sets[a]) + len(sets[b]) - both)
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out["doc_id"]) <= kept["near_dedup"] and (out.groupby("sequence_id")["length"].sum() <= 4096).all()
