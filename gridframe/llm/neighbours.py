@@ -69,18 +69,22 @@ def valid_vectors(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist()):
-                if i is None or not v or None in v:
-                    continue
-                x = np.array(v, np.float64) + 0.0  # no negative zeros
-                if np.isfinite(x).all() and x.any():
-                    raw = x.tobytes()
-                    f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(raw), "<i8").tolist()
-                    out.append((i, f1, f2, len(x), float(lengths(x[None])[0]), raw))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["id", "f1", "f2", "dims", "norm", "x"])
+            v, known = batch.column("v"), batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+            flat = v.values.cast(pa.float64())
+            x = flat.to_numpy(zero_copy_only=False) + 0.0  # nulls are NaN; no negative zeros
+            starts, ends = v.offsets.to_numpy()[:-1], v.offsets.to_numpy()[1:]
+            spoilt, filled = (np.r_[0, np.cumsum(c)] for c in (~np.isfinite(x), x != 0))
+            some = np.flatnonzero(known & v.is_valid().to_numpy(zero_copy_only=False) & (spoilt[ends] == spoilt[starts]) & (filled[ends] > filled[starts]))
+            if not len(some):
+                continue
+            dims, norms = (ends - starts)[some], np.zeros(len(some))
+            for n in np.unique(dims):
+                own = np.flatnonzero(dims == n)
+                norms[own] = lengths(x[starts[some[own]][:, None] + np.arange(n)])
+            raw = [x[a:b].tobytes() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+            prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<i8").reshape(-1, 2)
+            columns = [batch.column("id").take(pa.array(some)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(dims, pa.int32()), pa.array(norms), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "f1", "f2", "dims", "norm", "x"])
 
     named = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
     return named.mapInArrow(run, "id long, f1 long, f2 long, dims int, norm double, x binary")
@@ -268,15 +272,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             x = asked(vectors_of(raw, dims))
             for t in range(tables):
                 visits = (hashing.visits(x, t)[:, :, None] * RANGES + np.array(present)).reshape(len(x), -1)
-                where = group_of(visits, groups)
-                for g in range(groups):
-                    mine = where == g
-                    some = np.flatnonzero(mine.any(axis=1))
-                    if not len(some):
-                        continue
-                    lists = pa.array([visits[i][mine[i]] for i in some], pa.list_(pa.int64()))
+                row, where = np.repeat(np.arange(len(x)), visits.shape[1]), group_of(visits, groups).ravel()
+                order = np.lexsort((row, where))
+                row, where, codes = row[order], where[order], visits.ravel()[order]
+                starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (where[1:] != where[:-1])])
+                ends = np.r_[starts[1:], len(row)]
+                for at in range(0, len(starts), 4096):  # a row for each query and group
+                    own, to = starts[at : at + 4096], ends[at : at + 4096]
+                    offsets = np.r_[own, to[-1]] - own[0]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes[own[0] : to[-1]]))
                     for s in range(salts):
-                        yield deal_batch(t, np.full(len(some), g * salts + s), 1, ids[some], lists, raw.take(pa.array(some)))
+                        yield deal_batch(t, where[own] * salts + s, 1, ids[row[own]], lists, raw.take(pa.array(row[own])))
 
     kinds = "t long, g long, role int, id long, codes array<long>, x binary"
     dealt = base.mapInArrow(deal_base, kinds).union(query_vectors.mapInArrow(deal_queries, kinds))

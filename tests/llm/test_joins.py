@@ -225,3 +225,28 @@ def test_skipping_loses_no_link(seed):
         root[find(roots[i])] = find(roots[j])
     got = [find(r) for r in roots]
     assert len({*zip(got, want)}) == len({*got}) == len({*want})
+
+
+def test_search_over_many_groups(spark, monkeypatch):
+    from gridframe.llm import neighbours
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 12)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600 + i, x[7].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    full = np.concatenate([x, np.repeat(x[7:8], 60, axis=0)]).astype(float)
+    hits = {}
+    for block in (32, 4096):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        out = neighbours.search(df, F.col("vec_id") % 20 == 0, k=10).toPandas()
+        assert (out.groupby("query_id").size() == 10).all()
+        found = 0
+        for q, own in out.groupby("query_id"):
+            score = full @ full[q]
+            score[q] = -np.inf
+            np.testing.assert_allclose(own["score"], score[own["vec_id"]], rtol=1e-12)
+            found += len({*own["vec_id"]} & {*np.lexsort((np.arange(len(score)), -score))[:10].tolist()})
+        hits[block] = out
+        assert found >= 0.9 * len(out)
+    key = ["query_id", "rank"]
+    assert hits[32].sort_values(key)["vec_id"].tolist() == hits[4096].sort_values(key)["vec_id"].tolist()
