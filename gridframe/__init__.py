@@ -17,6 +17,7 @@ _HOME = {
     "operators.stencil": "StencilOperator",
     "operators.tiles": "TileFrame tiled_layout",
     "plans.layout": "GridLayout chunk_bounds process_grid weighted_cuts",
+    "profiling": "Profile",
     "sources.create": "arange array asarray empty empty_like from_local from_sums from_table fromfunction fromfunction_numpy full full_like linspace ones ones_like reshaped zeros zeros_like",
     "sources.hdf5": "load_hdf5 save_hdf5",
     "sources.npy": "load save",

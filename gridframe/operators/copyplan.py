@@ -1,4 +1,4 @@
-"""Boxes copied between grids: filters and shifts, laid over the targets.
+"""Boxes copied between grids: filters and shifts, in place of what the targets have there.
 
 All sources are read before any target is written; where target boxes overlap,
 the last copy holds. Target boxes may reach into ghost cells beyond walls of a
@@ -11,11 +11,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridframe.functions import dtypes
 from gridframe.grid import GridFrame
-from gridframe.operators.halo import BlockFrame
+from gridframe.operators.halo import BlockFrame, ghost_column, numbered_block, with_parts
+from gridframe.plans.layout import overlap
 
 Box = tuple[tuple[int, int], ...]
 
@@ -69,30 +71,45 @@ class CopyPlan:
         return [self._written(k, sources, t) for k, t in enumerate(targets)]
 
     def _written(self, k: int, sources: Sequence[GridFrame], target):
-        incoming = None
+        """Boxes are dense, so a cell of the target either lies in one and is what the last
+        copy brings, or stays: both follow from its index, and nothing is joined."""
+        own = [(n, c) for n, c in enumerate(self.copies) if c.target == k and all(a < b for a, b in c.target_box)]
+        if not own:
+            return target
         names = [f"i{n}" for n in range(target.layout.ndim)]
-        for number, c in enumerate(self.copies):
-            if c.target != k:
-                continue
-            source, inside = sources[c.source], F.lit(True)
-            for i, (a, b) in zip(names, c.source_box):
-                inside = inside & F.col(i).between(a, b - 1)
+        incoming = None
+        for number, c in own:
+            rows = sources[c.source].base.where(in_box(names, c.source_box))
             shifted = [(F.col(i) + F.lit(e - a)).alias(i) for i, (a, _), (e, _) in zip(names, c.source_box, c.target_box)]
-            rows = source.base.where(inside).select(*shifted, dtypes.cast(source.value, source.dtype, target.dtype).alias("__new"), F.lit(number).alias("__n"))
+            rows = rows.select(*shifted, dtypes.cast(sources[c.source].value, sources[c.source].dtype, target.dtype).alias("v"))
+            for later, other in own:
+                if later > number and overlap(c.target_box, other.target_box):
+                    rows = rows.where(~in_box(names, other.target_box))
             incoming = rows if incoming is None else incoming.unionByName(rows)
-        if incoming is None:
-            return target
-        incoming = incoming.groupBy(*names).agg(F.max_by("__new", "__n").alias("__new"), F.lit(True).alias("__has"))
-        if isinstance(target, BlockFrame):
-            # Ghosts between blocks stay; own cells and those beyond walls are written.
-            beyond = F.lit(False)
-            for i, n in zip(names, target.layout.shape):
-                beyond = beyond | ~F.col(i).between(0, n - 1)
-            rows = target.rows.join(incoming, names, "left")
-            write = F.col("__has") & (~F.col("ghost") | beyond)
-            return target.with_rows(rows.select("block", *names, "ghost", F.when(write, F.col("__new")).otherwise(F.col("v")).alias("v")))
-        base = target.base.select(*names, target.value.alias("__old")).join(incoming, names, "left")
-        return target.like(F.when(F.col("__has"), F.col("__new")).otherwise(F.col("__old")), base=base)
+        written = F.lit(False)
+        for _, c in own:
+            written = written | in_box(names, c.target_box)
+        if not isinstance(target, BlockFrame):
+            rows = target.df.where(~written).unionByName(incoming)
+            return target.like(F.col("v"), base=rows)
+        # Ghosts between blocks stay; own cells and those beyond walls are written.
+        beyond = F.lit(False)
+        for i, n in zip(names, target.layout.shape):
+            beyond = beyond | ~F.col(i).between(0, n - 1)
+        for n in range(target.layout.ndim):
+            incoming = with_parts(incoming, target.layout, n)
+        incoming = incoming.select(numbered_block(target.layout), *names, "v").withColumn("ghost", ghost_column(target.layout))
+        takes = ~F.col("ghost") | beyond
+        rows = target.rows.where(~(written & takes)).select("block", *names, "ghost", "v")
+        return target.with_rows(rows.unionByName(incoming.where(takes)))
+
+
+def in_box(names: Sequence[str], box: Box) -> Column:
+    """Whether an index lies in a box."""
+    inside = F.lit(True)
+    for i, (a, b) in zip(names, box):
+        inside = inside & F.col(i).between(a, b - 1)
+    return inside
 
 
 def copy_boxes(sources: Sequence[GridFrame], targets: Sequence[GridFrame | BlockFrame], copies: Sequence[Copy | tuple]) -> list[GridFrame | BlockFrame]:

@@ -14,6 +14,7 @@ from gridframe.functions.units import UnitError, planned
 from gridframe.grid import Aligned, GridFrame, elementwise
 from gridframe.plans.index import cells, ravel
 from gridframe.plans.layout import GridLayout
+from gridframe.profiling import watched
 
 
 def normalised_axes(axis, ndim: int) -> tuple[int, ...]:
@@ -44,7 +45,7 @@ def reduced(a: GridFrame, axis, aggregate: Column, dtype, keepdims: bool = False
     gone = normalised_axes(axis, a.ndim)
     dtype = np.dtype(dtype)
     if axis is None and not keepdims:
-        v = a.base.agg(aggregate.alias("v")).first()["v"]
+        v = watched(a.base, "reduce").agg(aggregate.alias("v")).first()["v"]
         return scalar(v, dtype, after, a)
     kept = [k for k in range(a.ndim) if k not in gone]
     keys = [F.col(f"i{k}") for k in kept]
@@ -52,7 +53,7 @@ def reduced(a: GridFrame, axis, aggregate: Column, dtype, keepdims: bool = False
         names = cells(a.spark, [a.shape[k] for k in kept]).select(*[F.col(f"i{n}").alias(f"i{k}") for n, k in enumerate(kept)])
         rows = names.crossJoin(a.base.limit(0).agg(aggregate.alias("v")))
     else:
-        rows = a.base.groupBy(*keys).agg(aggregate.alias("v"))
+        rows = watched(a.base, "reduce").groupBy(*keys).agg(aggregate.alias("v"))
     return grouped(a, rows, gone, dtype, keepdims, unit, after)
 
 

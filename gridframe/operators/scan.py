@@ -21,6 +21,7 @@ from gridframe.functions import dtypes
 from gridframe.functions.units import UnitError
 from gridframe.grid import GridFrame
 from gridframe.operators.reduce import combined, sum_type
+from gridframe.profiling import watched
 
 SPAN = 65_536
 
@@ -79,7 +80,7 @@ def scanned(a: GridFrame, axis: int | None, dtype, ufunc: np.ufunc) -> GridFrame
     axis %= a.ndim
     dtype = np.dtype(dtype or sum_type(a.dtype))
     along, others = f"i{axis}", [f"i{k}" for k in range(a.ndim) if k != axis]
-    rows = a.base.select(*a.index, F.lit(False).alias("__carry"), dtypes.cast(a.value, a.dtype, dtype).alias("v"))
+    rows = watched(a.base, "scan").select(*a.index, F.lit(False).alias("__carry"), dtypes.cast(a.value, a.dtype, dtype).alias("v"))
     if a.shape[axis] <= SPAN:
         dealt = rows.repartition(*others) if others else rows.repartition(1)
         out = accumulated(dealt.sortWithinPartitions(*others, along), others, a.index, ufunc, dtype)

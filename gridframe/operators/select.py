@@ -14,6 +14,7 @@ from gridframe.functions.units import DIMENSIONLESS
 from gridframe.grid import GridFrame, hinted
 from gridframe.plans.index import ravel
 from gridframe.plans.layout import GridLayout
+from gridframe.profiling import watched
 
 Basic = list[int | range]
 
@@ -68,7 +69,7 @@ def take(a: GridFrame, key):
         if p != range(n):
             condition = condition & within(F.col(i), p)
     kept = [(k, p) for k, p in enumerate(basic) if not isinstance(p, int)]
-    rows = a.base.where(condition).select(*[place_in(F.col(f"i{k}"), p).alias(f"i{n}") for n, (k, p) in enumerate(kept)], a.value.alias("v"))
+    rows = watched(a.base.where(condition), "select").select(*[place_in(F.col(f"i{k}"), p).alias(f"i{n}") for n, (k, p) in enumerate(kept)], a.value.alias("v"))
     shape = tuple(len(p) for _, p in kept)
     return GridFrame(rows, F.col("v"), selected_layout(a.layout, kept, shape), a.dtype, tuple(a.dims[k] for k, _ in kept) if a.dims else None, a.unit)
 

@@ -24,6 +24,7 @@ from gridframe.operators.placement import numbering_column
 from gridframe.operators.tiles import TileFrame, fill_walls, tiled_layout
 from gridframe.plans.index import axes
 from gridframe.plans.layout import GridLayout
+from gridframe.profiling import watched
 
 Offset = tuple[int, ...]
 
@@ -177,7 +178,7 @@ class StencilOperator:
 
     def _imaged(self, u: GridFrame, value, boundary: Any) -> DataFrame:
         """u's cells as i0... and w. Beyond named walls a cell also stands for its images."""
-        rows = u.base.select(*u.index, value.alias("w"))
+        rows = watched(u.base, "stencil").select(*u.index, value.alias("w"))
         for k, (n, h) in enumerate(zip(self.layout.shape, self.reach())):
             rows = rows if self.layout.periodic[k] else with_images(rows, k, n, h, False, boundary)
         return rows

@@ -181,6 +181,38 @@ class TileFrame:
         made = cells.repartition("tile").sortWithinPartitions("tile").mapInArrow(build, "tile long, v binary")
         return cls(made, F.col("v"), layout, dtype, a.dims, a.unit)
 
+    @classmethod
+    def adopted(cls, blocks: DataFrame, layout: GridLayout, dtype, tile: str = "tile", storage: str = "v", with_halos: bool = True, dims=None, unit=None) -> TileFrame:
+        """A frame of ready blocks: their numbers, and their cells as bytes, row-major, with
+        ghosts or without. One aggregate checks that every block is there once, of its
+        size; what doesn't fit the layout raises."""
+        dtype, rows = np.dtype(dtype), blocks.select(F.col(tile).cast("long").alias("tile"), F.col(storage).alias("v"))
+        bytes_, left = F.lit(dtype.itemsize).cast("long"), F.col("tile")
+        for k in range(layout.ndim - 1, -1, -1):
+            p, h = layout.grid[k], layout.halo[k] if with_halos else 0
+            part = left % F.lit(p) if k else left
+            left = F.call_function("div", left, F.lit(p)) if p > 1 else left
+            bytes_ = bytes_ * pick(part, [b - a + 2 * h for a, b in zip(layout.bounds[k], layout.bounds[k][1:])])
+        known = F.coalesce(F.col("tile").between(0, layout.n_blocks - 1), F.lit(False))
+        fits = F.coalesce(F.when(known, F.length("v") == bytes_), F.lit(False))
+        n, different, strange, misfits = rows.agg(F.count("*"), F.count_distinct("tile"), F.count(F.when(~known, 1)), F.count(F.when(known & ~fits, 1))).first()
+        if strange:
+            raise ValueError(f"{strange} blocks are none of the layout's {layout.n_blocks}")
+        if n != layout.n_blocks or different != n:
+            raise ValueError(f"{different} of {layout.n_blocks} blocks are there, in {n} rows")
+        if misfits:
+            raise ValueError(f"{misfits} blocks have another size than the layout's in {dtype}")
+        if with_halos:
+            return cls(rows, F.col("v"), layout, dtype, dims, unit)
+        bare = layout.without_halo()
+
+        def widened(t: int, x: np.ndarray) -> np.ndarray:
+            out = np.zeros(layout.storage_shape(t), dtype)
+            out[layout.interior] = x
+            return out
+
+        return cls(rows, tile_function([bare], [dtype], widened)(F.col("tile"), F.col("v")), layout, dtype, dims, unit)
+
     def _cells(self, ghosts: bool) -> DataFrame:
         """tile, i0..., v of the blocks' own cells, or of all stored ones."""
         from gridframe.sources.create import value_array

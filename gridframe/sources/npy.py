@@ -1,9 +1,9 @@
 """The .npy format: a partitioned reader and a writer, as a Spark data source.
 
 Reading: the driver reads the header, and each task maps its own range of cells.
-Writing: every task writes its cells at their place in the file, which has its
-full length from the start, so tasks may be retried. Paths must be ones that the
-driver and the executors share.
+Writing: every task writes its cells at their place in a file that has its full
+length from the start, and the driver commits or removes it. Paths must be ones that
+the driver and the executors have mounted, named plainly or as file: URIs.
 """
 
 from __future__ import annotations
@@ -11,23 +11,30 @@ from __future__ import annotations
 import ast
 import math
 import os
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from gridframe.functions import dtypes
 from gridframe.grid import GridFrame
-from gridframe.plans.index import axes, ravel
+from gridframe.plans.index import axes
 
 MAGIC = b"\x93NUMPY"
 CELLS_PER_TASK = 4_000_000
 
 
+def mounted(path: str) -> str:
+    """The path of a file: URI."""
+    return re.sub("^file:(//)?(?=/)", "", path)
+
+
 def read_header(path: str) -> tuple[np.dtype, tuple[int, ...], bool, int]:
     """dtype, shape, whether in Fortran order, and where the data begin."""
     with open(path, "rb") as f:
@@ -88,11 +95,15 @@ class NpySource(DataSource):
         return "npy"
 
     def schema(self) -> str:
-        dtype, shape, _, _ = read_header(self.options["path"])
+        dtype, shape, _, _ = read_header(mounted(self.options["path"]))
         return ", ".join([*(f"{i} bigint" for i in axes(len(shape))), f"v {dtypes.spark_type(dtype)}"])
 
+    def writer(self, schema, overwrite: bool) -> NpyWriter:
+        shape = tuple(int(n) for n in self.options["shape"].split(",") if n)
+        return NpyWriter(mounted(self.options["path"]), np.dtype(self.options["dtype"]), shape)
+
     def reader(self, schema) -> NpyReader:
-        return NpyReader(self.options["path"], int(self.options.get("cells_per_task", CELLS_PER_TASK)))
+        return NpyReader(mounted(self.options["path"]), int(self.options.get("cells_per_task", CELLS_PER_TASK)))
 
 
 def load(spark: SparkSession, path: str, dims=None, unit=None, **options) -> GridFrame:
@@ -100,43 +111,61 @@ def load(spark: SparkSession, path: str, dims=None, unit=None, **options) -> Gri
     from gridframe.sources.create import layout_for
 
     spark.dataSource.register(NpySource)
-    dtype, shape, _, _ = read_header(path)
+    dtype, shape, _, _ = read_header(mounted(path))
     return GridFrame(spark.read.format("npy").load(path), F.col("v"), layout_for(shape, **options), dtype.newbyteorder("="), dims, unit)
 
 
-def save(a: GridFrame, path: str) -> None:
-    """Write a grid as a .npy file in C order, ghosts left out."""
-    dtype, head = a.dtype, header(a.dtype, a.shape)
-    temporary = f"{path}.partial"
-    with open(temporary, "wb") as f:
-        f.write(head)
-        f.truncate(len(head) + a.size * dtype.itemsize)
+class NpyCount(WriterCommitMessage):
+    def __init__(self, cells: int):
+        self.cells = cells
+
+
+class NpyWriter(DataSourceArrowWriter):
+    """Tasks write their cells at their places in a file of full length beside the path.
+    A retried or speculative task writes the same bytes at the same places. The file
+    takes its name when all tasks are done and every cell was written; a job that fails
+    leaves none."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str, dtype: np.dtype, shape: tuple[int, ...]):
+        self.path, self.dtype, self.shape = path, dtype, shape
+        self.temporary, self.head = f"{path}.{uuid.uuid4().hex}.partial", header(dtype, shape)
+        with open(self.temporary, "wb") as f:
+            f.write(self.head)
+            f.truncate(len(self.head) + math.prod(shape) * dtype.itemsize)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> NpyCount:
         n = 0
-        with open(temporary, "r+b") as f:
-            for batch in batches:
-                at, v = batch.column("at").to_numpy(), batch.column("v")
-                if dtype.kind == "c":
-                    values = (v.field("re").to_numpy() + 1j * v.field("im").to_numpy()).astype(dtype)
-                elif dtype == np.uint64:
-                    values = np.array([int(x) for x in v.to_pylist()], np.uint64)
-                else:
-                    values = v.to_numpy(zero_copy_only=False).astype(dtype)
+        with open(self.temporary, "r+b") as f:
+            for batch in iterator:
+                at = np.zeros(batch.num_rows, np.int64)
+                for i, length in zip(axes(len(self.shape)), self.shape):
+                    at = at * length + batch.column(i).to_numpy()
                 order = np.argsort(at)
-                at, values = at[order], values[order]
+                at, values = at[order], dtypes.from_arrow(batch.column("v"), self.dtype)[order]
                 runs = np.flatnonzero(np.r_[True, np.diff(at) != 1])
                 for x, y in zip(runs.tolist(), np.r_[runs[1:], len(at)].tolist()):
-                    f.seek(len(head) + int(at[x]) * dtype.itemsize)
-                    f.write(values[x:y].tobytes())
+                    if x < y:
+                        f.seek(len(self.head) + int(at[x]) * self.dtype.itemsize)
+                        f.write(values[x:y].tobytes())
                 n += len(at)
-        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
-
-    flat = ravel([F.col(i) for i in a.index], a.shape)
-    rows = a.df.select(flat.alias("at"), "v")
-    if a.ndim:
-        rows = rows.repartitionByRange(max(1, -(-a.size // CELLS_PER_TASK)), "at")
-    written = rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
-    if written != a.size:
-        raise ValueError(f"{written} of {a.size} cells were written")
-    os.replace(temporary, path)
+            f.flush()
+            os.fsync(f.fileno())
+        return NpyCount(n)
+
+    def commit(self, messages: list[NpyCount | None]) -> None:
+        written = sum(m.cells for m in messages if m)
+        if written != math.prod(self.shape):
+            raise ValueError(f"{written} of {math.prod(self.shape)} cells were written")
+        os.replace(self.temporary, self.path)
+
+    def abort(self, messages: list[NpyCount | None]) -> None:
+        if os.path.exists(self.temporary):
+            os.remove(self.temporary)
+
+
+def save(a: GridFrame, path: str) -> None:
+    """Write a grid as a .npy file in C order, ghosts left out."""
+    a.spark.dataSource.register(NpySource)
+    rows = a.df.repartitionByRange(max(1, -(-a.size // CELLS_PER_TASK)), *a.index) if a.ndim else a.df
+    descr = np.lib.format.dtype_to_descr(a.dtype)
+    rows.write.format("npy").mode("append").option("dtype", descr).option("shape", ",".join(map(str, a.shape))).save(path)

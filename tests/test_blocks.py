@@ -210,3 +210,15 @@ def test_varying_coefficients_join_once(spark, boundary):
     np.testing.assert_allclose(out.to_numpy(), want, rtol=1e-12)
     plan = g.StencilOperator(a.layout, terms).apply(a, boundary).df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_copies_join_nothing(spark):
+    x = np.arange(100).reshape(10, 10)
+    a, b = g.array(spark, x, n_blocks=4), g.array(spark, 1000 + x, n_blocks=4)
+    copies = [(0, ((0, 4), (0, 4)), 0, ((2, 6), (2, 6))), (0, ((5, 9), (5, 9)), 0, ((4, 8), (4, 8))), (0, ((1, 1), (0, 2)), 0, ((0, 0), (0, 2)))]
+    (out,) = g.copy_boxes([b], [a], copies)
+    want = x.copy()
+    want[2:6, 2:6], want[4:8, 4:8] = 1000 + x[0:4, 0:4], 1000 + x[5:9, 5:9]
+    assert np.array_equal(out.to_numpy(), want)
+    plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

@@ -5,6 +5,7 @@ import pytest
 
 import gridframe as g
 from gridframe.operators import scan
+from pyspark.sql import functions as F
 
 X = np.arange(189.0).reshape(9, 7, 3)
 I = np.arange(24).reshape(6, 4) - 7  # noqa: E741
@@ -329,3 +330,38 @@ def test_numbering_in_levels(spark, monkeypatch):
     assert np.array_equal(a[np.mod(a, 7) < 3].to_numpy(), x[x % 7 < 3])
     b = a.assign(np.mod(a, 5) == 0, np.arange(60) * 10).to_numpy()
     assert np.array_equal(b[::5], np.arange(60) * 10)
+
+
+@pytest.mark.parametrize("x", [np.arange(60).reshape(5, 12), np.array(3.5), np.zeros((0, 3)), np.arange(6).reshape(2, 3) * (1 - 2j), np.arange(5, dtype=np.uint64), np.array([True, False])], ids=lambda x: f"{x.dtype}{x.shape}")
+def test_npy_by_file_uri(spark, tmp_path, x):
+    path = f"file://{tmp_path}/a.npy"
+    g.save(g.array(spark, x), path)
+    assert np.array_equal(np.load(tmp_path / "a.npy"), x) and np.load(tmp_path / "a.npy").dtype == x.dtype
+    assert np.array_equal(g.load(spark, path).to_numpy(), x)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a.npy"]
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    a = g.array(spark, np.arange(100), n_blocks=2)
+    fails = a.like(F.when(F.col("i0") == 77, F.raise_error(F.lit("no such value")).cast("long")).otherwise(a.value))
+    short = a.like(a.value, base=a.base.where("i0 <> 5"))
+    for bad, said in ((fails, "no such value"), (short, "99 of 100")):
+        with pytest.raises(Exception, match=said):
+            g.save(bad, str(tmp_path / "b.npy"))
+        assert not [p for p in tmp_path.iterdir() if p.name.startswith("b.npy")]
+
+
+def test_profiles(spark):
+    x = np.arange(600).reshape(20, 30)
+    a = g.array(spark, x)
+    with g.Profile(spark) as p:
+        with p.region("energy"):
+            assert (a * a).sum() == (x * x).sum()
+        rows = a[5:].sum(axis=0).cumsum()
+        assert p.rows() == {"reduce": 600} and p.jobs("energy") >= 1
+        with p.region("lines"):
+            assert np.array_equal(rows.to_numpy(), x[5:].sum(axis=0).cumsum())
+    assert p.rows() == {"reduce": 600 + 450, "select": 450, "scan": 30} and p.jobs("lines") >= 1
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    plan = a.sum(axis=0).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CollectMetrics" not in plan
