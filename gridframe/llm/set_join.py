@@ -12,12 +12,15 @@ place i of one set and j of another still allows them to have in common follows
 the sizes, so a block of entries is passed over as a whole where that isn't enough.
 
 Skipping of answers: in each index list all sets are compared with that which meets
-most others, and links give components. In lists that still hold several components, a
-set takes over what its leader, an earlier set of its component that is highly
-similar, has computed: |x and y| lies within |leader and y| plus what x has and the
-leader hasn't, and that less what the leader has and x hasn't. Mostly these bounds
-decide; else only the shingles that differ are looked up in y. Sets already connected
-aren't compared, so no link between components is lost and no list of pairs is made.
+most others, and links give components. Where lists still hold several components, it
+is counted how many of them a document shares with each other component, and only
+components whose documents share enough are looked at, as blocks. In a block, a set
+takes over what its leader, an earlier set of its component that is highly similar, has
+computed: |x and y| is at most |X and Y| of the leaders plus what x and y have more than
+these, so that mostly two whole families are passed over after one comparison. Where
+that bound doesn't decide, only the shingles in which members differ from their leaders
+are looked up. Sets already connected aren't compared, so no link between components is
+lost and no list of pairs is made.
 
 Scale: two passes over the texts, for the counters (at most 2^18 numbers a task, summed
 before the driver sees them) and for sizes, hashes and first shingles. Equal sets are
@@ -109,13 +112,6 @@ def least_common(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-class Answers:
-    """A leader: its set, and what it has in common with those it was compared with."""
-
-    def __init__(self, own: np.ndarray):
-        self.own, self.common = own, {}
-
-
 def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
@@ -128,6 +124,42 @@ def inside(few: np.ndarray, many: np.ndarray) -> int:
     return int((many[at] == few).sum())
 
 
+class Family:
+    """A leader and the sets of its component that are highly similar to it: what each has
+    more and less than the leader."""
+
+    def __init__(self, own: np.ndarray, root: int):
+        self.own, self.root = own, root
+        self.members: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # set, size, more, less
+
+    def takes(self, x: int, own: np.ndarray) -> bool:
+        both = common(self.own, own)
+        if 100 * both < HIGH * (len(self.own) + len(own) - both):
+            return False
+        self.members.append((x, len(own), np.setdiff1d(own, self.own, assume_unique=True), np.setdiff1d(self.own, own, assume_unique=True)))
+        return True
+
+
+def linked_members(f: Family, g: Family, both: int, percent: int, ordered: list[np.ndarray]) -> tuple[int, int] | None:
+    """A pair of similar members of two families whose leaders have `both` in common."""
+    n, m = (np.array([x[1] for x in own.members]) for own in (f, g))
+    more_f, more_g = (np.array([len(x[2]) for x in own.members]) for own in (f, g))
+    need = -(-percent * (n[:, None] + m[None, :]) // (100 + percent))
+    open_ = (both + more_f[:, None] + more_g[None, :] >= need) & (100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :]))
+    leader_and: dict[int, int] = {}  # a member of g -> what it has in common with f's leader
+    for i, j in zip(*np.nonzero(open_)):
+        x, _, more_x, less_x = f.members[i]
+        y, _, more_y, less_y = g.members[j]
+        if j not in leader_and:
+            leader_and[j] = both - inside(less_y, f.own) + inside(more_y, f.own)
+        theirs = leader_and[j]
+        if theirs + len(more_x) < need[i, j]:
+            continue
+        if theirs - len(less_x) >= need[i, j] or theirs - inside(less_x, ordered[y]) + inside(more_x, ordered[y]) >= need[i, j]:
+            return x, y
+    return None
+
+
 def skip_links(sets: list[np.ndarray], docs: list[int], roots: list[int], percent: int) -> list[tuple[int, int]]:
     """Links that connect the block's components: sorted sets, their documents, and the
     components they belong to."""
@@ -139,54 +171,50 @@ def skip_links(sets: list[np.ndarray], docs: list[int], roots: list[int], percen
             x = root[x]
         return x
 
-    sizes = [len(s) for s in sets]
+    sizes = np.array([len(s) for s in sets])
     _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    starts = np.cumsum([0, *sizes])
-    ordered = [np.sort(rank[code[a:b]]) for a, b in zip(starts, starts[1:])]
-    alone = np.sort(count, kind="stable") < 2
-    index: dict[int, dict[tuple[int, int], list[int]]] = {}  # shingle -> (size, place) -> sets
-    leaders: dict[int, list[Answers]] = {}  # component as given -> its leaders
-    links = []
+    code = rank[code]  # rare shingles first
+    starts = np.cumsum([0, *sizes.tolist()])
+    ordered = [np.sort(code[a:b]) for a, b in zip(starts, starts[1:])]
+    # Shingles of one component alone lead to no link.
+    number = np.unique(roots, return_inverse=True)[1]
+    least, most = np.full(len(count), len(sets)), np.full(len(count), -1)
+    np.minimum.at(least, code, np.repeat(number, sizes))
+    np.maximum.at(most, code, np.repeat(number, sizes))
+    across = least < most
+    index: dict[int, dict[tuple[int, int], set[int]]] = {}  # shingle -> (size, place) -> families
+    families: list[Family] = []
+    of_root: dict[int, list[int]] = {}
+    met: dict[tuple[int, int], None] = {}
     for x in sorted(range(len(sets)), key=lambda i: (sizes[i], docs[i])):
-        own, n = ordered[x], sizes[x]
+        own, n = ordered[x], int(sizes[x])
+        mine = next((f for f in of_root.get(roots[x], ()) if families[f].takes(x, own)), None)
+        if mine is None:
+            mine = len(families)
+            families.append(Family(own, roots[x]))
+            families[mine].takes(x, own)
+            of_root.setdefault(roots[x], []).append(mine)
         first = own[: n - -(-percent * n // 100) + 1]
-        met: dict[int, None] = {}
-        for i, shingle in enumerate(first.tolist()):
-            if alone[shingle]:
-                continue
-            for (m, j), block in index.get(shingle, {}).items():
+        places = np.flatnonzero(across[first])
+        for i, shingle in zip(places.tolist(), first[places].tolist()):
+            blocks = index.setdefault(shingle, {})
+            for (m, j), block in blocks.items():
                 if 100 * m >= percent * n and min(i, j) + 1 + min(n - i, m - j) - 1 >= least_common(n, m, percent):
-                    met.update(dict.fromkeys(block))
-            index.setdefault(shingle, {}).setdefault((n, i), []).append(x)
-        leader, more, less = None, own[:0], own[:0]
-        for known in leaders.get(roots[x], ()):
-            both = common(known.own, own)
-            if 100 * both >= HIGH * (len(known.own) + n - both):
-                leader, more, less = known, np.setdiff1d(own, known.own, assume_unique=True), np.setdiff1d(known.own, own, assume_unique=True)
-                break
-        answers = leader or Answers(own)
-        if leader is None:
-            leaders.setdefault(roots[x], []).append(answers)
-        for y in met:
-            if find(roots[x]) == find(roots[y]):
-                continue
-            need = least_common(n, sizes[y], percent)
-            if leader is None:
-                both = answers.common[y] = common(own, ordered[y])
-            else:
-                if y not in leader.common:
-                    leader.common[y] = common(leader.own, ordered[y])
-                theirs = leader.common[y]
-                if theirs + len(more) < need:
-                    continue
-                both = theirs - len(less)
-                if both < need:
-                    both = theirs - inside(less, ordered[y]) + inside(more, ordered[y])
-            if both >= need:
-                links.append((docs[x], docs[y]))
-                root[find(roots[x])] = find(roots[y])
+                    for other in block:
+                        if families[other].root != roots[x]:
+                            met[min(mine, other), max(mine, other)] = None
+            blocks.setdefault((n, i), set()).add(mine)
+    links = []
+    for a, b in met:
+        f, g = families[a], families[b]
+        if find(f.root) == find(g.root):
+            continue
+        pair = linked_members(f, g, common(f.own, g.own), percent, ordered)
+        if pair:
+            links.append((docs[pair[0]], docs[pair[1]]))
+            root[find(f.root)] = find(g.root)
     return links
 
 
