@@ -517,9 +517,54 @@ def cumprod_axis(spark, d):
     return (np.mod(months(spark, d), 3) + 1).cumprod(axis=0).df
 
 
+@query("""SELECT i0, i1, sum(re) OVER w AS re, sum(im) OVER w AS im FROM (SELECT i0, i1, CAST(v % 1000 AS DOUBLE) AS re, CAST(2 * (v % 7) AS DOUBLE) AS im FROM q)
+  WINDOW w AS (PARTITION BY i1 ORDER BY i0 ROWS UNBOUNDED PRECEDING)""")
+def cumsum_complex(spark, d):
+    a = quantities(spark, d)
+    out = (np.mod(a, 1000) + np.mod(a, 7) * 2j).cumsum(axis=0)
+    return out.df.select("i0", "i1", "v.re", "v.im")
+
+
+@query("""SELECT i2 AS i0, CAST(CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END AS BIGINT) AS v
+  FROM (SELECT i2, list_reduce(list(CAST(v % 97 + 2 AS HUGEINT)), lambda a, b: (a * b) % 18446744073709551616) AS p FROM m GROUP BY i2)""")
+def prod_wraps(spark, d):
+    """Products of 84 factors wrap around in 64 bits, as NumPy's do."""
+    return (np.mod(months(spark, d), 97) + 2).prod(axis=(0, 1)).df
+
+
+@query("""SELECT i0, CAST(CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END AS BIGINT) AS v
+  FROM (SELECT i0, list_reduce(list(CAST(v % 5 + 1 AS HUGEINT)) OVER (ORDER BY i0 ROWS UNBOUNDED PRECEDING), lambda a, b: (a * b) % 18446744073709551616) AS p FROM z WHERE i0 < 100)""")
+def cumprod_wraps(spark, d):
+    return (np.mod(sizes(spark, d)[:100], 5) + 1).cumprod().df
+
+
+@query("SELECT i1 AS i0, CAST(0 AS BIGINT) AS s, true AS a, CAST(1 AS BIGINT) AS p FROM q WHERE i0 = 0")
+def empty_axis(spark, d):
+    """Reductions along an axis without cells give what no cells give."""
+    none = quantities(spark, d)[3:3]
+    s, a, p = (getattr(none, f)(axis=0).df.withColumnRenamed("v", f[0]) for f in ("sum", "all", "prod"))
+    return s.join(a, "i0").join(p, "i0")
+
+
 # Selection and assignment
 
 
+@query("SELECT i0, CAST(CASE WHEN i0 % 2 = 0 THEN v ELSE 3 * v END AS BIGINT) AS v FROM z")
+def assign_units(spark, d):
+    """Hundreds of centimetres written into whole metres, without loss."""
+    a = sizes(spark, d).set_units("m")
+    new = (sizes(spark, d)[1::2] * 300).set_units("cm")
+    return a.assign(np.s_[1::2], new).df
+
+
+@query("""SELECT i0, i1, CAST(CASE WHEN i1 < 5 THEN 314159 ELSE -314159 END AS BIGINT) AS v FROM q""")
+def angle_of_zeros(spark, d):
+    """Zeros of either sign over negative numbers."""
+    a = quantities(spark, d)
+    zero = create.fromfunction(spark, lambda i, j: F.lit(0.0) * (F.lit(4.5) - j), a.shape, layout=a.layout)
+    return np.round(np.arctan2(zero, -1.0 - abs(a)) * 100_000).astype("int64").df
+
+
 @query("SELECT i0 - 10 AS i0, v FROM o WHERE i0 >= 10 AND i0 < 1000")
 def slice_basic(spark, d):
     return orders(spark, d)[10:1000].df
@@ -635,6 +680,16 @@ def weighted_cuts(spark, d):
     return spark.createDataFrame([(k, c) for k, c in enumerate(cuts) if 0 < k < 4], "k long, cut long")
 
 
+@query("""SELECT CAST(k AS BIGINT) AS k, (SELECT i FROM (SELECT i0 + 1 AS i, sum(s) OVER (ORDER BY i0) AS x, sum(s) OVER () AS t FROM (SELECT i0, CAST(sum(CASE WHEN i0 % 4 = 1 THEN v ELSE 0 END) AS DOUBLE) AS s FROM q GROUP BY i0))
+          WHERE i < 50 ORDER BY abs(x - t * k / 4.0), CASE WHEN x < t * k / 4.0 THEN -i ELSE 100 + i END LIMIT 1) AS cut FROM range(1, 4) t(k)""")
+def weighted_cuts_between_zeros(spark, d):
+    """Three of four rows weigh nothing: cuts lie next to the cells that reach a share."""
+    a = quantities(spark, d, n_blocks=4, split=0)
+    rows = create.fromfunction(spark, lambda i, j: F.when(i % 4 == 1, 1).otherwise(0), a.shape, "int64", layout=a.layout)
+    cuts = a.rebalance(a * rows).layout.bounds[0]
+    return spark.createDataFrame([(k, c) for k, c in enumerate(cuts) if 0 < k < 4], "k long, cut long")
+
+
 @query("SELECT CAST(user_id % 5 AS INT) AS dest, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
 def migrate_counts(spark, d):
     e = tables.table(spark, d, "events")
