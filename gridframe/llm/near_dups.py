@@ -249,39 +249,42 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Data
 MOST_ROOTS = 64
 
 
-def meeting(rooted: DataFrame, need: Column, hot: list) -> DataFrame:
+def meeting(rooted: DataFrame, percent: int, need: Callable[[Column, Column], Column], hot: list) -> DataFrame:
     """Buckets, doc, root and n of the documents that may still be similar to one of
-    another component, of rooted(bucket, doc, root, n), where similar documents meet in
-    `need` buckets at least.
-
-    Buckets of few components tell how often a document meets each other component; in
-    one of many it may have met any. Where that is enough from both sides, the two
-    components' documents are a bucket of their own. Documents for which buckets of many
-    components are enough stay in these."""
-    pairs = rooted.select("bucket", "root").distinct()
+    another component, of rooted(bucket, doc, root, n), where similar documents of n and
+    m shingles meet in need(n, m) buckets at least.
+
+    Buckets of few components tell how often a document meets each other component, and
+    of what sizes; in one of many it may have met any. Where that is enough from both
+    sides, the two components' documents are a bucket of their own. Documents for which
+    buckets of many components are enough stay in these."""
+    n, at_least, at_most = F.col("n"), F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / F.lit(percent))
+    pairs = rooted.groupBy("bucket", "root").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
     kinds = pairs.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     kinds = staged(kinds.withColumn("big", F.col("k") > MOST_ROOTS).drop("k"))
     rows = staged(spread_join(rooted, kinds, ["bucket"], hot, ["doc"]))
     big = rows.where("big").groupBy("doc").agg(F.count("*").alias("bigs"))
     others = pairs.join(kinds.where("not big").select("bucket"), "bucket").withColumnRenamed("root", "other")
     met = spread_join(rows.where("not big"), others, ["bucket"], hot, ["doc"]).where(F.col("root") != F.col("other"))
-    met = met.groupBy("doc", "other").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.count("*").alias("times"))
-    met = met.join(big, "doc", "left").where(F.col("times") + F.coalesce("bigs", F.lit(0)) >= need)
+    met = met.where((F.col("high_n") >= at_least) & (F.col("low_n") <= at_most))
+    met = met.groupBy("doc", "other").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.count("*").alias("times"), F.min("low_n").alias("low_n"), F.max("high_n").alias("high_n"))
+    low_n, high_n = F.greatest("low_n", at_least), F.least("high_n", at_most)
+    met = met.join(big, "doc", "left").where(F.col("times") + F.coalesce("bigs", F.lit(0)) >= F.least(need(n, low_n), need(n, high_n)))
     met = staged(met.select(F.least("root", "other").alias("low"), F.greatest("root", "other").alias("high"), "doc", "root", "n"))
     both = met.groupBy("low", "high").agg((F.min("root") < F.max("root")).alias("both"), F.count("*").alias("members")).where("both")
     both = staged(both)
     apart = spread_join(met, both.select("low", "high"), ["low", "high"], hot_keys(both, "low", "members"), ["doc"]).select(F.xxhash64("low", "high").alias("bucket"), "doc", "root", "n")
-    still = rows.where("big").join(big, "doc").where(F.col("bigs") >= need).select("bucket", "doc", "root", "n")
+    still = rows.where("big").join(big, "doc").where(F.col("bigs") >= F.least(need(n, at_least), need(n, at_most))).select("bucket", "doc", "root", "n")
     return apart.unionByName(still)
 
 
-def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, text: str, need: Column | None = None, join: Callable = block_links) -> DataFrame:
+def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, text: str, need: Callable[[Column, Column], Column] | None = None, join: Callable = block_links) -> DataFrame:
     """node and root of every document that is connected with a smaller one.
 
     banded(bucket, doc, n) are the buckets of documents, one for each class of equal
-    sets. With `need`, similar ones meet in so many of them at least, and bucket is a
-    shingle and pos its place in the document's order, which all documents share. join:
-    finds the links of a block, as block_links does."""
+    sets. With `need`, bucket is a shingle and pos its place in the document's order, which
+    all documents share, and similar ones of n and m shingles meet in need(n, m) of them
+    at least. join: finds the links of a block, as block_links does."""
     sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     hot = hot_keys(sizes, "bucket", "m")
     members = (cut if need is None else staged)(spread_join(banded, sizes, ["bucket"], hot, ["doc"]))
@@ -306,7 +309,7 @@ def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, t
     rooted = (cut if need is None else staged)(rooted.where("m > 2").select("bucket", "doc", "root", "n"))
     several = F.min("root") < F.max("root")
     if need is not None:
-        rooted = staged(meeting(rooted, need, hot))
+        rooted = staged(meeting(rooted, percent, need, hot))
         hot = hot_keys(rooted.groupBy("bucket").agg(F.count("*").alias("m")), "bucket", "m")
     open_ = rooted.groupBy("bucket").agg(
         several.alias("open"), F.count("*").alias("m"), (F.sum("n") * 8).alias("held"),

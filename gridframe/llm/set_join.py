@@ -234,6 +234,14 @@ def least_shared(percent: int) -> Column:
     return 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) / LONGER)
 
 
+def shared_of(n: Column, m: Column, percent: int) -> Column:
+    """How many entries similar sets of n and m shingles share. Of those in common, all
+    but n less what is indexed can lie beyond one's indexed part, and likewise for m."""
+    in_common = F.ceil(percent * (n + m) / F.lit(100 + percent))
+    beyond = [F.ceil(k * percent / 100) - 1 - F.floor(k / LONGER) for k in (n, m)]
+    return in_common - F.greatest(*beyond)
+
+
 def linked_by_shingles(docs: DataFrame, percent: int) -> DataFrame:
     """doc, n and root of each row of docs(__id, __text), where an id has one row."""
     level = levels(occurrences(docs))
@@ -246,7 +254,7 @@ def linked_by_shingles(docs: DataFrame, percent: int) -> DataFrame:
     entries = staged(live_entries(reps, percent))
     wanted = cut(entries.select("doc").distinct())
     texts = cut(docs.join(small_side(wanted, wanted.count()), F.col("__id") == F.col("doc"), "left_semi"))
-    return rooted_classes(texts, drawn.drop("first", "cool"), classes, entries, percent, need=least_shared(percent), join=skip_links)
+    return rooted_classes(texts, drawn.drop("first", "cool"), classes, entries, percent, need=lambda n, m: shared_of(n, m, percent), join=skip_links)
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -237,7 +237,7 @@ def test_stages(spark, docs, labels, tmp_path, stage):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_hot_keys_change_no_result(spark, monkeypatch):

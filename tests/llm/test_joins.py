@@ -250,3 +250,19 @@ def test_search_over_many_groups(spark, monkeypatch):
         assert found >= 0.9 * len(out)
     key = ["query_id", "rank"]
     assert hits[32].sort_values(key)["vec_id"].tolist() == hits[4096].sort_values(key)["vec_id"].tolist()
+
+
+def test_entries_that_similar_sets_share(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        n = rng.choice([1, 2, 5, 9, 20, 60, 130])
+        a = sorted(rng.sample(range(5000), n))
+        b = sorted(set(rng.sample(a, n - rng.randrange(n // 8 + 1))) | set(rng.sample(range(5000), rng.randrange(n // 8 + 1))))
+        if 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b}):
+            first = [x[: len(x) - -(-80 * len(x) // 100) + set_join.shared(len(x))] for x in (a, b)]
+            rows.append((len(a), len(b), len({*first[0]} & {*first[1]})))
+    assert len(rows) > 100
+    df = spark.createDataFrame(rows, "n long, m long, k long")
+    assert df.where(F.col("k") < set_join.shared_of(F.col("n"), F.col("m"), 80)).count() == 0
+    assert df.where((F.col("k") < set_join.least_shared(80)) | (set_join.shared_of(F.col("n"), F.col("m"), 80) < set_join.least_shared(80))).count() == 0
