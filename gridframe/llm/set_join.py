@@ -55,6 +55,8 @@ LONGER = 10
 HOT = 6
 #: Percent of similarity from which a set takes over a leader's answers.
 HIGH = 90
+#: Leaders of its component that a set is held against.
+TRIED = 8
 
 
 def occurrences(docs: DataFrame) -> np.ndarray:
@@ -112,10 +114,6 @@ def least_common(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    return len(np.intersect1d(a, b, assume_unique=True))
-
-
 def inside(few: np.ndarray, many: np.ndarray) -> int:
     """How many of few are in the sorted many."""
     if not len(few) or not len(many):
@@ -126,17 +124,30 @@ def inside(few: np.ndarray, many: np.ndarray) -> int:
 
 class Family:
     """A leader and the sets of its component that are highly similar to it: what each has
-    more and less than the leader."""
+    more and less than the leader. codes: how many shingles the block has."""
 
-    def __init__(self, own: np.ndarray, root: int):
+    def __init__(self, own: np.ndarray, root: int, codes: int):
         self.own, self.root = own, root
+        has = np.zeros(codes, bool)
+        has[own] = True
+        self.bits = np.packbits(has, bitorder="little")
         self.members: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # set, size, more, less
+        self.most_more, self.least = 0, len(own)
+
+    def has(self, own: np.ndarray) -> np.ndarray:
+        return (self.bits[own >> 3] >> (own & 7)) & 1 > 0
+
+    def common(self, own: np.ndarray) -> int:
+        return int(np.count_nonzero(self.has(own)))
 
     def takes(self, x: int, own: np.ndarray) -> bool:
-        both = common(self.own, own)
+        there = self.has(own)
+        both = int(np.count_nonzero(there))
         if 100 * both < HIGH * (len(self.own) + len(own) - both):
             return False
-        self.members.append((x, len(own), np.setdiff1d(own, self.own, assume_unique=True), np.setdiff1d(self.own, own, assume_unique=True)))
+        more = own[~there]
+        self.members.append((x, len(own), more, np.setdiff1d(self.own, own, assume_unique=True)))
+        self.most_more, self.least = max(self.most_more, len(more)), min(self.least, len(own))
         return True
 
 
@@ -151,7 +162,7 @@ def linked_members(f: Family, g: Family, both: int, percent: int, ordered: list[
         x, _, more_x, less_x = f.members[i]
         y, _, more_y, less_y = g.members[j]
         if j not in leader_and:
-            leader_and[j] = both - inside(less_y, f.own) + inside(more_y, f.own)
+            leader_and[j] = both - f.common(less_y) + f.common(more_y)
         theirs = leader_and[j]
         if theirs + len(more_x) < need[i, j]:
             continue
@@ -190,10 +201,11 @@ def skip_links(sets: list[np.ndarray], docs: list[int], roots: list[int], percen
     met: dict[tuple[int, int], None] = {}
     for x in sorted(range(len(sets)), key=lambda i: (sizes[i], docs[i])):
         own, n = ordered[x], int(sizes[x])
-        mine = next((f for f in of_root.get(roots[x], ()) if families[f].takes(x, own)), None)
+        # A set that none of the last few leaders takes leads a family of its own.
+        mine = next((f for f in of_root.get(roots[x], [])[: -TRIED - 1 : -1] if families[f].takes(x, own)), None)
         if mine is None:
             mine = len(families)
-            families.append(Family(own, roots[x]))
+            families.append(Family(own, roots[x], len(count)))
             families[mine].takes(x, own)
             of_root.setdefault(roots[x], []).append(mine)
         first = own[: n - -(-percent * n // 100) + 1]
@@ -211,7 +223,10 @@ def skip_links(sets: list[np.ndarray], docs: list[int], roots: list[int], percen
         f, g = families[a], families[b]
         if find(f.root) == find(g.root):
             continue
-        pair = linked_members(f, g, common(f.own, g.own), percent, ordered)
+        both = f.common(g.own)
+        if both + f.most_more + g.most_more < least_common(f.least, g.least, percent):
+            continue
+        pair = linked_members(f, g, both, percent, ordered)
         if pair:
             links.append((docs[pair[0]], docs[pair[1]]))
             root[find(f.root)] = find(g.root)
