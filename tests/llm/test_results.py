@@ -505,5 +505,22 @@ def test_pipeline(spark, tables):
     for a, b in itertools.combinations(sets, 2):
         both = len(sets[a] & sets[b])
         assert 100 * both < 80 * (len(sets[a]) + len(sets[b]) - both)
+    # The mix takes each document as often as op1's SQL on what is kept, and packing
+    # places every id of every copy once.
+    rest = docs.toPandas()
+    con = duckdb.connect()
+    con.register("documents", rest)
+    taken = con.sql(queries.OP1_SQL).df()
+    copies = {r.doc_id: r.taken // r.size for r in taken.itertuples(index=False) if r.taken} if len(taken) else {}
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and Counter(mixed.toPandas()["doc_id"]) == Counter(copies)
     out = corpus_pipeline.run(spark, SF).toPandas()
-    assert set(out["doc_id"]) <= kept["near_dedup"] and (out.groupby("sequence_id")["length"].sum() <= 4096).all()
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    pieces = Counter()
+    for i, text in zip(rest["doc_id"], rest["text"]):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        for at in range(0, len(ids), 4096):
+            pieces[i, at, zlib.crc32(ids[at : at + 4096].tobytes())] += copies.get(i, 0)
+    assert Counter(zip(out["doc_id"], out["start"], out["ids_crc32"])) == +pieces
+    for _, own in out.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == (own["length"].cumsum() - own["length"]).tolist() and own["length"].sum() <= 4096
