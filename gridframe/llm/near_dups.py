@@ -278,13 +278,14 @@ def meeting(rooted: DataFrame, percent: int, need: Callable[[Column, Column], Co
     return apart.unionByName(still)
 
 
-def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, text: str, need: Callable[[Column, Column], Column] | None = None, join: Callable = block_links) -> DataFrame:
+def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, text: str, need: Callable[[Column, Column], Column] | None = None, join: Callable = block_links, sift: Callable = lambda rows: rows) -> DataFrame:
     """node and root of every document that is connected with a smaller one.
 
     banded(bucket, doc, n) are the buckets of documents, one for each class of equal
     sets. With `need`, bucket is a shingle and pos its place in the document's order, which
     all documents share, and similar ones of n and m shingles meet in need(n, m) of them
-    at least. join: finds the links of a block, as block_links does."""
+    at least. join: finds the links of a block, as block_links does. sift: leaves out rows
+    of (bucket, doc, root, n) whose documents can't be similar to others of their bucket."""
     sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     hot = hot_keys(sizes, "bucket", "m")
     members = (cut if need is None else staged)(spread_join(banded, sizes, ["bucket"], hot, ["doc"]))
@@ -309,7 +310,7 @@ def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, t
     rooted = (cut if need is None else staged)(rooted.where("m > 2").select("bucket", "doc", "root", "n"))
     several = F.min("root") < F.max("root")
     if need is not None:
-        rooted = staged(meeting(rooted, percent, need, hot))
+        rooted = staged(sift(staged(meeting(rooted, percent, need, hot))))
         hot = hot_keys(rooted.groupBy("bucket").agg(F.count("*").alias("m")), "bucket", "m")
     open_ = rooted.groupBy("bucket").agg(
         several.alias("open"), F.count("*").alias("m"), (F.sum("n") * 8).alias("held"),

@@ -14,7 +14,8 @@ the sizes, so a block of entries is passed over as a whole where that isn't enou
 Skipping of answers: in each index list all sets are compared with that which meets
 most others, and links give components. Where lists still hold several components, it
 is counted how many of them a document shares with each other component, and only
-components whose documents share enough are looked at, as blocks. In a block, a set
+components whose documents share enough are looked at, as blocks, and of these only
+sets whose counts by last byte allow them enough in common. In a block, a set
 takes over what its leader, an earlier set of its component that is highly similar, has
 computed: |x and y| is at most |X and Y| of the leaders plus what x and y have more than
 these, so that mostly two whole families are passed over after one comparison. Where
@@ -55,6 +56,8 @@ LONGER = 10
 HOT = 6
 #: Percent of similarity from which a set takes over a leader's answers.
 HIGH = 90
+#: Comparisons of a set and a component by their counts, in one bucket at most.
+SIFTED = 2_000_000
 #: Leaders of its component that a set is held against.
 TRIED = 8
 
@@ -88,15 +91,16 @@ def shared(n: int) -> int:
 
 def sketches(docs: DataFrame, percent: int, level: np.ndarray) -> DataFrame:
     """doc, n, f1 and f2 (128 bits of the set), first (the shingles to be indexed, in the
-    common order) and cool (how many of these come before those of hot counters) of each
-    row."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("cool", pa.int32()), ("first", pa.list_(pa.int64()))])
+    common order), cool (how many of these come before those of hot counters) and bins
+    (how many of the set end in each byte, up to 255) of each row."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("cool", pa.int32()), ("bins", pa.binary()), ("first", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, ["__id", "__text"], 1_000_000, "__text"):
             sets, _ = shingle_sets(part["__text"])
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             first, cool = [], []
+            bins = [np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for s in sets]
             for s in sets:
                 n, own = len(s), level[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 order = np.argsort(own, kind="stable")[: n - -(-percent * n // 100) + shared(n) if n else 0]
@@ -104,9 +108,9 @@ def sketches(docs: DataFrame, percent: int, level: np.ndarray) -> DataFrame:
                 cool.append(int((own[order] < HOT).sum()))
             offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first)))
-            yield pa.RecordBatch.from_arrays([pa.array(part["__id"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(cool, pa.int32()), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(part["__id"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(cool, pa.int32()), pa.array(bins, pa.binary()), lists], schema=schema)
 
-    return docs.mapInArrow(run, "doc long, n long, f1 long, f2 long, cool int, first array<long>")
+    return docs.mapInArrow(run, "doc long, n long, f1 long, f2 long, cool int, bins binary, first array<long>")
 
 
 def least_common(a: int, b: int, percent: int) -> int:
@@ -257,6 +261,50 @@ def shared_of(n: Column, m: Column, percent: int) -> Column:
     return in_common - F.greatest(*beyond)
 
 
+def may_be_similar(rows: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """rows(bucket, doc, root, n) whose document may be similar to one of another root in
+    its bucket, by bins(doc, bins): two sets have no more in common than the sum of their
+    lesser counts, and a set and a component no more than that with the component's
+    greatest counts. Buckets beyond SIFTED comparisons are handed on whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            docs, roots, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+            names, at = np.unique(roots, return_inverse=True)
+            keep = np.ones(len(docs), bool)
+            if len(docs) * len(names) <= SIFTED:
+                counts = np.frombuffer(b"".join(b for h in held for b in h[3]), np.uint8).reshape(len(docs), 256).astype(np.int32)
+                keep = (counts == 255).any(axis=1)
+                most, least = np.zeros((len(names), 256), np.int32), np.full(len(names), np.iinfo(np.int64).max)
+                np.maximum.at(most, at, counts)
+                np.minimum.at(least, at, n)
+                for r in range(len(names)):
+                    need = least_common(n, np.maximum(least[r], -(-percent * n // 100)), percent)
+                    keep |= (at != r) & ((np.minimum(counts, most[r]).sum(axis=1) >= need) | (most[r] == 255).any())
+            if len(np.unique(at[keep])) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), bucket)), pa.array(docs[keep]), pa.array(roots[keep]), pa.array(n[keep])], names=["bucket", "doc", "root", "n"])
+
+        for batch in batches:
+            buckets, docs, roots, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "doc", "root", "n"))
+            vectors = batch.column("bins").to_pylist()
+            cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                if held and bucket != buckets[start]:
+                    yield from done()
+                    held = []
+                bucket = int(buckets[start])
+                held.append((docs[start:end], roots[start:end], n[start:end], vectors[start:end]))
+        if held:
+            yield from done()
+
+    dealt = rows.join(bins, "doc").select("bucket", "doc", "root", F.col("n").cast("long").alias("n"), "bins")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, doc long, root long, n long")
+
+
 def linked_by_shingles(docs: DataFrame, percent: int) -> DataFrame:
     """doc, n and root of each row of docs(__id, __text), where an id has one row."""
     level = levels(occurrences(docs))
@@ -269,7 +317,9 @@ def linked_by_shingles(docs: DataFrame, percent: int) -> DataFrame:
     entries = staged(live_entries(reps, percent))
     wanted = cut(entries.select("doc").distinct())
     texts = cut(docs.join(small_side(wanted, wanted.count()), F.col("__id") == F.col("doc"), "left_semi"))
-    return rooted_classes(texts, drawn.drop("first", "cool"), classes, entries, percent, need=lambda n, m: shared_of(n, m, percent), join=skip_links)
+    bins = drawn.where("doc is not null").join(wanted, "doc", "left_semi").select("doc", "bins")
+    how = {"need": lambda n, m: shared_of(n, m, percent), "join": skip_links, "sift": lambda rows: may_be_similar(rows, bins, percent)}
+    return rooted_classes(texts, drawn.drop("first", "cool", "bins"), classes, entries, percent, **how)
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
