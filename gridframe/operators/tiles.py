@@ -110,8 +110,8 @@ class TileFrame:
     __array_priority__ = 1000
     __hash__ = None
 
-    def __init__(self, base: DataFrame, value: Column, layout: GridLayout, dtype, dims=None, unit=None):
-        self.base, self.value, self.layout, self.dtype = base, value, layout, np.dtype(dtype)
+    def __init__(self, base: DataFrame, value: Column, layout: GridLayout, dtype, dims=None, unit=None, buckets: int | None = None):
+        self.base, self.value, self.layout, self.dtype, self.buckets = base, value, layout, np.dtype(dtype), buckets
         self.dims, self.unit = None if dims is None else tuple(dims), physical.unit(unit)
 
     @property
@@ -134,7 +134,7 @@ class TileFrame:
         return f"TileFrame(shape={self.shape}, dtype={self.dtype}, grid={self.layout.grid}, halo={self.layout.halo})"
 
     def like(self, value: Column, dtype=None, base: DataFrame | None = None, layout: GridLayout | None = None, unit="same") -> TileFrame:
-        return TileFrame(base if base is not None else self.base, value, layout or self.layout, dtype or self.dtype, self.dims, self.unit if isinstance(unit, str) and unit == "same" else unit)
+        return TileFrame(base if base is not None else self.base, value, layout or self.layout, dtype or self.dtype, self.dims, self.unit if isinstance(unit, str) and unit == "same" else unit, self.buckets)
 
     # From cells and back
 
@@ -179,7 +179,7 @@ class TileFrame:
                 yield done()
 
         made = cells.repartition("tile").sortWithinPartitions("tile").mapInArrow(build, "tile long, v binary")
-        return cls(made, F.col("v"), layout, dtype, a.dims, a.unit)
+        return cls(*named(made), layout, dtype, a.dims, a.unit)
 
     @classmethod
     def adopted(cls, blocks: DataFrame, layout: GridLayout, dtype, tile: str = "tile", storage: str = "v", with_halos: bool = True, dims=None, unit=None) -> TileFrame:
@@ -202,8 +202,9 @@ class TileFrame:
             raise ValueError(f"{different} of {layout.n_blocks} blocks are there, in {n} rows")
         if misfits:
             raise ValueError(f"{misfits} blocks have another size than the layout's in {dtype}")
+        rows, value = named(rows)
         if with_halos:
-            return cls(rows, F.col("v"), layout, dtype, dims, unit)
+            return cls(rows, value, layout, dtype, dims, unit)
         bare = layout.without_halo()
 
         def widened(t: int, x: np.ndarray) -> np.ndarray:
@@ -211,7 +212,7 @@ class TileFrame:
             out[layout.interior] = x
             return out
 
-        return cls(rows, tile_function([bare], [dtype], widened)(F.col("tile"), F.col("v")), layout, dtype, dims, unit)
+        return cls(rows, tile_function([bare], [dtype], widened)(F.col("tile"), value), layout, dtype, dims, unit)
 
     def _cells(self, ghosts: bool) -> DataFrame:
         """tile, i0..., v of the blocks' own cells, or of all stored ones."""
@@ -255,9 +256,9 @@ class TileFrame:
         spark = self.base.sparkSession
         n = max(1, min(self.layout.n_blocks, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))))
         name = f"gridframe_{uuid.uuid4().hex}"
-        rows = self.rows.repartition(n, "tile")
-        rows.write.bucketBy(n, "tile").sortBy("tile").option("path", shared_path(spark, name)).saveAsTable(name)
-        return self.like(F.col("v"), base=spark.table(name))
+        rows, value = named(self.rows)
+        rows.repartition(n, "tile").write.bucketBy(n, "tile").sortBy("tile").option("path", shared_path(spark, name)).saveAsTable(name)
+        return TileFrame(spark.table(name), value, self.layout, self.dtype, self.dims, self.unit, n)
 
     # Elementwise
 
@@ -346,9 +347,12 @@ class TileFrame:
             return pa.array(out, pa.binary())
 
         sent = self.rows.mapInArrow(send, "tile long, side int, face binary")
+        if self.buckets:  # as the tiles lie, else Spark may deal both anew
+            sent = sent.repartition(self.buckets, "tile")
         faces = sent.groupBy("tile").agg(F.collect_list(F.struct("side", "face")).alias("faces"))  # at most 3^ndim - 1 each
-        both = self.rows.join(faces.hint("merge"), "tile", "left")
-        return self.like(F.arrow_udf(place, T.BinaryType())(F.col("tile"), F.col("v"), F.col("faces")), base=both)
+        faces, met = named(faces, "faces")
+        both = self.base.join(faces.hint("merge"), "tile", "left")
+        return self.like(F.arrow_udf(place, T.BinaryType())(F.col("tile"), self.value, met), base=both)
 
     def clear_halos(self) -> TileFrame:
         return on_interior(self, lambda x: x, self.dtype)
@@ -371,26 +375,27 @@ def on_interior(a: TileFrame, function: Callable[[np.ndarray], np.ndarray], dtyp
     return a.like(tile_function([layout], [a.dtype], run)(F.col("tile"), a.value), dtype)
 
 
+def named(rows: DataFrame, column: str = "v") -> tuple[DataFrame, Column]:
+    """rows(tile, column) under a name of its own, which no other frame has, and that
+    column: so frames are joined before anything is computed of them, which would hide
+    from Spark how they are partitioned."""
+    name = f"{column}_{uuid.uuid4().hex[:12]}"
+    return rows.select("tile", F.col(column).alias(name)), F.col(name)
+
+
 def together(frames: Sequence[TileFrame]) -> tuple[DataFrame, list[Column]]:
-    """One frame that has the storages of all, and their columns: the same frame where
-    they share it, else a join on the tile."""
-    first = frames[0]
-    if any(f.layout != first.layout for f in frames):
+    """One frame that has the storages of all, and their columns: joins on the tile of
+    what isn't there yet."""
+    if any(f.layout != frames[0].layout for f in frames):
         raise ValueError("Layouts must match")
-    if all(f.base is first.base for f in frames):
-        return first.base, [f.value for f in frames]
-    groups: list[tuple[DataFrame, list[int]]] = []
-    for n, f in enumerate(frames):
-        own = next((g for b, g in groups if b is f.base), None)
-        if own is None:
-            groups.append((f.base, [n]))
-        else:
-            own.append(n)
-    base = None
-    for b, own in groups:
-        rows = b.select("tile", *[frames[n].value.alias(f"__{n}") for n in own])
-        base = rows if base is None else base.join(rows.hint("merge"), "tile")
-    return base, [F.col(f"__{n}") for n in range(len(frames))]
+    base = frames[0].base
+    for f in frames[1:]:
+        more = [c for c in f.base.columns if c not in base.columns]
+        if set(base.columns) <= set(f.base.columns):
+            base = f.base
+        elif more:
+            base = base.join(f.base.select("tile", *more).hint("merge"), "tile")
+    return base, [f.value for f in frames]
 
 
 def elementwise(ufunc: np.ufunc, *operands, where=True, out: TileFrame | None = None):
@@ -436,10 +441,10 @@ def elementwise(ufunc: np.ufunc, *operands, where=True, out: TileFrame | None =
     out_kind = None if out is None else out.dtype
     value = tile_function([layout] * len(frames), [f.dtype for f in frames], run, len(kinds) if several else 0)(F.col("tile"), *columns)
     if out is not None:
-        return TileFrame(base, value, layout, out.dtype, out.dims, unit)
+        return TileFrame(base, value, layout, out.dtype, out.dims, unit, first.buckets)
     if several:
-        return tuple(TileFrame(base, value[n], layout, k, first.dims, unit) for n, k in enumerate(kinds))
-    return TileFrame(base, value, layout, kinds[0], first.dims, unit)
+        return tuple(TileFrame(base, value[n], layout, k, first.dims, unit, first.buckets) for n, k in enumerate(kinds))
+    return TileFrame(base, value, layout, kinds[0], first.dims, unit, first.buckets)
 
 
 OPERATORS = {
