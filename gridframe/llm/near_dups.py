@@ -247,17 +247,42 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Data
 
 #: Buckets of at most so many components tell which components meet in them.
 MOST_ROOTS = 64
-
-
-def meeting(rooted: DataFrame, percent: int, need: Callable[[Column, Column], Column], hot: list) -> DataFrame:
+#: Rounds in which buckets of much the same documents are joined.
+MERGES = 3
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """rows(bucket, doc, root, n) with buckets of much the same documents joined, so that
+    documents which meet in many buckets are compared once. In each round, buckets whose
+    documents have the same least hash become one where that has no more pairs than they
+    have apart. All documents of a bucket stay together."""
+    if rows.isEmpty():
+        return rows
+    for turn in range(MERGES):
+        sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.xxhash64("doc", F.lit(turn))).alias("least")))
+        hot = hot_keys(sizes, "bucket", "m")
+        named = staged(spread_join(rows, sizes.select("bucket", "least"), ["bucket"], hot, ["doc"]))
+        apart = sizes.groupBy("least").agg(F.count("*").alias("buckets"), F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs")).where("buckets > 1")
+        docs = named.groupBy("least", "doc").agg(F.lit(1).alias("one")).groupBy("least").agg(F.count("*").cast("double").alias("d"))
+        joined = cut(apart.join(docs, "least").where("d * d <= pairs").select("least", F.lit(True).alias("joined")))
+        if joined.isEmpty():
+            continue
+        large = hot_keys(sizes.groupBy("least").agg(F.sum("m").alias("m")), "least", "m")
+        rows = spread_join(named, joined, ["least"], large, ["doc"], "left")
+        rows = staged(rows.select(F.when(F.col("joined"), F.xxhash64("least", F.lit(turn))).otherwise(F.col("bucket")).alias("bucket"), "doc", "root", "n").distinct())
+    return rows
+
+
+def meeting(rooted: DataFrame, percent: int, need: Callable[[Column, Column, Column], Column], hot: list) -> DataFrame:
     """Buckets, doc, root and n of the documents that may still be similar to one of
-    another component, of rooted(bucket, doc, root, n), where similar documents of n and
-    m shingles meet in need(n, m) buckets at least.
+    another component, of rooted(bucket, doc, root, n), where a document of n shingles
+    meets similar ones of low to high shingles in need(n, low, high) buckets at least.
 
     Buckets of few components tell how often a document meets each other component, and
     of what sizes; in one of many it may have met any. Where that is enough from both
     sides, the two components' documents are a bucket of their own. Documents for which
-    buckets of many components are enough stay in these."""
+    buckets of many components are enough stay in these, of which those of much the same
+    documents are joined."""
     n, at_least, at_most = F.col("n"), F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / F.lit(percent))
     pairs = rooted.groupBy("bucket", "root").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
     kinds = pairs.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
@@ -269,22 +294,22 @@ def meeting(rooted: DataFrame, percent: int, need: Callable[[Column, Column], Co
     met = met.where((F.col("high_n") >= at_least) & (F.col("low_n") <= at_most))
     met = met.groupBy("doc", "other").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.count("*").alias("times"), F.min("low_n").alias("low_n"), F.max("high_n").alias("high_n"))
     low_n, high_n = F.greatest("low_n", at_least), F.least("high_n", at_most)
-    met = met.join(big, "doc", "left").where(F.col("times") + F.coalesce("bigs", F.lit(0)) >= F.least(need(n, low_n), need(n, high_n)))
+    met = met.join(big, "doc", "left").where(F.col("times") + F.coalesce("bigs", F.lit(0)) >= need(n, low_n, high_n))
     met = staged(met.select(F.least("root", "other").alias("low"), F.greatest("root", "other").alias("high"), "doc", "root", "n"))
     both = met.groupBy("low", "high").agg((F.min("root") < F.max("root")).alias("both"), F.count("*").alias("members")).where("both")
     both = staged(both)
     apart = spread_join(met, both.select("low", "high"), ["low", "high"], hot_keys(both, "low", "members"), ["doc"]).select(F.xxhash64("low", "high").alias("bucket"), "doc", "root", "n")
-    still = rows.where("big").join(big, "doc").where(F.col("bigs") >= F.least(need(n, at_least), need(n, at_most))).select("bucket", "doc", "root", "n")
-    return apart.unionByName(still)
+    still = rows.where("big").join(big, "doc").where(F.col("bigs") >= need(n, at_least, at_most)).select("bucket", "doc", "root", "n")
+    return apart.unionByName(merged(staged(still)))
 
 
-def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, text: str, need: Callable[[Column, Column], Column] | None = None, join: Callable = block_links, sift: Callable = lambda rows: rows) -> DataFrame:
+def class_links(docs: DataFrame, banded: DataFrame, percent: int, id_col: str, text: str, need: Callable[[Column, Column, Column], Column] | None = None, join: Callable = block_links, sift: Callable = lambda rows: rows) -> DataFrame:
     """node and root of every document that is connected with a smaller one.
 
     banded(bucket, doc, n) are the buckets of documents, one for each class of equal
     sets. With `need`, bucket is a shingle and pos its place in the document's order, which
-    all documents share, and similar ones of n and m shingles meet in need(n, m) of them
-    at least. join: finds the links of a block, as block_links does. sift: leaves out rows
+    all documents share, and one of n shingles meets similar ones of low to high shingles
+    in need(n, low, high) of them at least. join: finds the links of a block, as block_links does. sift: leaves out rows
     of (bucket, doc, root, n) whose documents can't be similar to others of their bucket."""
     sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     hot = hot_keys(sizes, "bucket", "m")

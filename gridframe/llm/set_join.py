@@ -15,7 +15,8 @@ Skipping of answers: in each index list all sets are compared with that which me
 most others, and links give components. Where lists still hold several components, it
 is counted how many of them a document shares with each other component, and only
 components whose documents share enough are looked at, as blocks, and of these only
-sets whose counts by last byte allow them enough in common. In a block, a set
+sets whose counts by last byte allow them enough in common. Lists of more components
+than can be counted so are joined where they hold much the same sets. In a block, a set
 takes over what its leader, an earlier set of its component that is highly similar, has
 computed: |x and y| is at most |X and Y| of the leaders plus what x and y have more than
 these, so that mostly two whole families are passed over after one comparison. Where
@@ -261,6 +262,14 @@ def shared_of(n: Column, m: Column, percent: int) -> Column:
     return in_common - F.greatest(*beyond)
 
 
+def shared_in_range(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """The least of shared_of(n, m) for m from low to high. Without its rounding, by which
+    a single m may undercut both ends, it is concave in m, so least at an end."""
+    unrounded = [percent * (n + m) / F.lit(100 + percent) - F.greatest(n, m) * (percent / 100 - 1 / LONGER) - (LONGER - 1) / LONGER for m in (low, high)]
+    bound = F.ceil(F.least(*unrounded) - 1e-6)
+    return F.when(low == high, shared_of(n, low, percent)).otherwise(F.greatest(bound, F.lit(1)))
+
+
 def may_be_similar(rows: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
     """rows(bucket, doc, root, n) whose document may be similar to one of another root in
     its bucket, by bins(doc, bins): two sets have no more in common than the sum of their
@@ -318,7 +327,7 @@ def linked_by_shingles(docs: DataFrame, percent: int) -> DataFrame:
     wanted = cut(entries.select("doc").distinct())
     texts = cut(docs.join(small_side(wanted, wanted.count()), F.col("__id") == F.col("doc"), "left_semi"))
     bins = drawn.where("doc is not null").join(wanted, "doc", "left_semi").select("doc", "bins")
-    how = {"need": lambda n, m: shared_of(n, m, percent), "join": skip_links, "sift": lambda rows: may_be_similar(rows, bins, percent)}
+    how = {"need": lambda n, low, high: shared_in_range(n, low, high, percent), "join": skip_links, "sift": lambda rows: may_be_similar(rows, bins, percent)}
     return rooted_classes(texts, drawn.drop("first", "cool", "bins"), classes, entries, percent, **how)
 
 

@@ -266,3 +266,51 @@ def test_entries_that_similar_sets_share(spark):
     df = spark.createDataFrame(rows, "n long, m long, k long")
     assert df.where(F.col("k") < set_join.shared_of(F.col("n"), F.col("m"), 80)).count() == 0
     assert df.where((F.col("k") < set_join.least_shared(80)) | (set_join.shared_of(F.col("n"), F.col("m"), 80) < set_join.least_shared(80))).count() == 0
+
+
+def test_lists_of_much_the_same_sets_are_joined(spark):
+    rng = random.Random(2)
+    near = {f"a{k}": rng.sample(range(90), 80) for k in range(30)}  # 90 components that meet in 30 lists
+    apart = {f"b{k}": range(1000 + 70 * k, 1070 + 70 * k) for k in range(3)}
+    chain = {f"c{k}": range(2000 + 69 * k, 2070 + 69 * k) for k in range(3)}  # joined, they had more pairs
+    rows = [(zlib.crc32(b.encode()), doc, doc, 100) for b, docs in (near | apart | chain).items() for doc in docs]
+    df = spark.createDataFrame(rows, "bucket long, doc long, root long, n long")
+    out = [tuple(r) for r in near_dups.meeting(df, 80, lambda n, low, high: F.lit(1), []).collect()]
+    assert len(out) == len({*out})
+
+    def lists(rows):
+        found = {}
+        for bucket, doc, *_ in rows:
+            found.setdefault(bucket, set()).add(doc)
+        return sorted(map(sorted, found.values()))
+
+    got, want = lists(out), lists(rows)
+    assert all(any({*w} <= {*g} for g in got) for w in want)
+    assert sum(len(g) ** 2 for g in got) <= sum(len(w) ** 2 for w in want)
+    assert len([g for g in got if g[0] < 1000]) <= 3 and [g for g in got if g[0] >= 1000] == [w for w in want if w[0] >= 1000]
+
+
+def test_entries_shared_with_sets_of_a_range_of_sizes(spark):
+    def shared_by(n, m):
+        return -(-80 * (n + m) // 180) - max(-(-80 * k // 100) - 1 - k // 10 for k in (n, m))
+
+    rows = []
+    for n in range(1, 130):
+        sizes = range(-(-80 * n // 100), 100 * n // 80 + 1)
+        rows += [(n, low, high, min(shared_by(n, m) for m in range(low, high + 1))) for low in sizes for high in sizes if low <= high and (low + high + n) % 3 == 0]
+    df = spark.createDataFrame(rows, "n long, low long, high long, least long")
+    how = set_join.shared_in_range(F.col("n"), F.col("low"), F.col("high"), 80)
+    assert df.where(how > F.col("least")).count() == 0
+    assert df.where(how < F.col("least") - 2).count() == 0
+    # 80 shingles and 99 may share 10 entries, 80 and 90 share 14, 80 and 100 share 11.
+    rows = [(k, doc, root, n) for k in range(10) for doc, root, n in [(1, 1, 80), (2, 2, 99)]] + [(0, 3, 2, 90), (0, 4, 2, 100)]
+    df = spark.createDataFrame(rows, "bucket long, doc long, root long, n long")
+    out = near_dups.meeting(df, 80, lambda n, low, high: set_join.shared_in_range(n, low, high, 80), [])
+    assert {1, 2} <= {r["doc"] for r in out.collect()}
+
+
+def test_set_join_of_joined_lists_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "MOST_ROOTS", 1)
+    rows = corpus(7)
+    got = set_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 80)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == linked(rows, 80)
