@@ -151,6 +151,7 @@ def unique_chunks(staged: DataFrame, width: int) -> DataFrame:
                 yield chunk_batch(names, bodies)
 
     rows = staged.select("chunks", "sizes", "ids").mapInArrow(spread, "hi long, lo long, ids binary")
+    rows = rows.repartition("hi", "lo")  # a task has sent each chunk once: nothing to aggregate, and sort, before
     return rows.groupBy("hi", "lo").agg(F.first("ids").alias("ids"), F.count("*").alias("holders"))
 
 

@@ -17,6 +17,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,22 +31,29 @@ _PIECE = rf"(?:[{LETTERS}]++|[!-@\[-`{{-~]++[{LETTERS}]*+)(?=[\t-\r -~]|\Z)|\S+"
 #: With leading white space: it belongs to the tokens of a byte-level vocabulary.
 BYTE_PIECES = re.compile(rf"\s*+(?:{_PIECE})|\s+")
 WORD_PIECES = re.compile(_PIECE)
+#: The same of a text of white space and printable ASCII.
+PLAIN = re.compile(r"[\t-\r -~]*+")
+PLAIN_BYTE_PIECES = re.compile(r"\s*+(?:[A-Za-z]++|[!-@\[-`{-~]++[A-Za-z]*+)|\s+")
 UNSURE = re.compile(r"[\x1c-\x1f]")
+#: One token's piece before merges in every byte-level vocabulary: a space and letters.
+SPACED_LETTERS = re.compile(rf" [{LETTERS}]++")
+#: The characters by which a byte-level vocabulary names bytes: visible ones by themselves.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: b if b in _VISIBLE else 256 + k for k, b in enumerate([*(b for b in range(256) if b not in _VISIBLE), *_VISIBLE])}
 KEPT_PIECES = 900_000
 LONG_PIECE = 48
 AT_ONCE = 64
+LINES_AT_ONCE = 64
 
 
 class Pieces(dict):
-    """Ids of pieces. A new piece gets a place, that is filled later."""
+    """Ids of pieces. A new piece gets a place at once, that is filled later."""
 
     def __init__(self) -> None:
         self.new: dict[str, bytearray] = {}
 
     def __missing__(self, piece: str) -> bytearray:
-        place = self.new.get(piece)
-        if place is None:
-            place = self.new[piece] = bytearray()
+        place = self[piece] = self.new[piece] = bytearray()
         return place
 
 
@@ -65,6 +73,8 @@ class PieceEncoder:
         self.pieces = self._pieces(made)
         self.lower = self.pieces is WORD_PIECES
         self.known, self.kept = Pieces(), kept
+        line_end = [] if self.lower else self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
 
     @staticmethod
     def _pieces(made: dict) -> re.Pattern | None:
@@ -90,6 +100,24 @@ class PieceEncoder:
         raw = np.array(made.ids, "<u4").tobytes()
         return [raw[a:b] for a, b in zip([0, *upto], upto)]
 
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        """Pieces of a byte-level vocabulary that aren't split before merges: the library's
+        model gets their bytes by name."""
+        merge = self.tokenizer.model.tokenize
+        named = ["\u0120" + p[1:] if p.isascii() else p.encode().decode("latin-1").translate(BYTE_NAMES) for p in pieces]
+        return [array("I", [x.id for x in merge(p)]).tobytes() for p in named]
+
+    def _encode_lines(self, pieces: list[str]) -> list[bytes]:
+        """Pieces of a byte-level vocabulary that are joinable, a line each: before the
+        space of the next piece a line's end is a token of its own, and no piece has one."""
+        lines = ["\n".join(pieces[k : k + AT_ONCE]) + "\n" for k in range(0, len(pieces), AT_ONCE)]
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(pieces):
+            return self._encode(pieces)
+        raw, ends = ids.tobytes(), 4 * ends
+        return [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
+
     def _joinable(self, piece: str) -> bool:
         return self.lower or (piece[0] == " " and len(piece) > 1 and not piece[1].isspace())
 
@@ -99,24 +127,38 @@ class PieceEncoder:
     def _split(self, text: str) -> list[str] | None:
         if self._whole(text):
             return None
+        if self.pieces is BYTE_PIECES and text.isascii() and PLAIN.fullmatch(text):
+            return PLAIN_BYTE_PIECES.findall(text)
         return self.pieces.findall(text.encode().lower().decode() if self.lower else text)  # bytes: ASCII letters only
 
     def _fill(self) -> None:
         """Encode the new pieces."""
         new, self.known.new = self.known.new, {}
-        joined = [p for p in new if len(p) <= LONG_PIECE and self._joinable(p)]
-        rest = [*new] if len(joined) < len(new) else []
-        for start in range(0, len(joined), AT_ONCE):
-            part = joined[start : start + AT_ONCE]
-            made = self._encode_joined(part)
-            for piece, i in zip(part, made):
-                new[piece] += i
-            self.known.update(zip(part, made))
-        rest = [p for p in rest if p not in self.known]
+        letters, joined, rest = [], [], []
+        by_lines = self.line_end is not None
+        for piece in new:
+            if len(piece) > LONG_PIECE or not self._joinable(piece):
+                rest.append(piece)
+            elif by_lines and SPACED_LETTERS.fullmatch(piece):
+                letters.append(piece)
+            else:
+                joined.append(piece)
+        step, encode = (AT_ONCE * LINES_AT_ONCE, self._encode_lines) if by_lines else (AT_ONCE, self._encode_joined)
+        for start in range(0, len(joined), step):
+            part = joined[start : start + step]
+            self._keep(new, part, encode(part))
+        self._keep(new, letters, self._merge(letters))
         for piece, i in zip(rest, self._encode(rest)):
             new[piece] += i
             if len(piece) <= LONG_PIECE:
                 self.known[piece] = i
+            else:
+                del self.known[piece]
+
+    def _keep(self, new: dict[str, bytearray], pieces: list[str], made: list[bytes]) -> None:
+        for piece, i in zip(pieces, made):
+            new[piece] += i
+        self.known.update(zip(pieces, made))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         was_on = gc.isenabled()

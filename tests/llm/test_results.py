@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -492,6 +493,24 @@ def test_piecewise_encoding_is_exact(name):
         assert made.ids([text]) == made._encode([text])
 
 
+def test_new_pieces_of_letters_are_merged_by_the_model_alone():
+    from gridframe.llm.tokens import LETTERS, PieceEncoder, Pieces
+
+    made = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), 1000)
+    letters = [c for c in map(chr, range(256)) if re.fullmatch(f"[{LETTERS}]", c)]
+    rng = random.Random(4)
+    pieces = [" " + "".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(3000)] + [" " + c for c in letters] + [" the", " naïve"]
+    assert made._merge(pieces) == made._encode(pieces)
+    signs = [" " + "".join(rng.choices([*letters, *"'1.,-²文"], k=rng.randrange(1, 30))) for _ in range(3000)]
+    assert made._encode_lines(signs) == made._encode(signs)
+    whole = []
+    made._encode_lines = made._encode_joined = lambda part: whole.extend(part)
+    made.ids(["the quick naïve fox"])
+    assert not whole
+    known = Pieces()
+    assert known["new"] is known["new"] and "new" in known  # asked for once
+
+
 def test_pipeline(spark, tables):
     kept = {}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
