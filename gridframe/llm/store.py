@@ -83,11 +83,12 @@ def cuts(ids: np.ndarray) -> list[int]:
     gear = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
     gear ^= gear >> np.uint32(15)
     gear *= np.uint32(0x85EBCA77)
-    rolling = gear.copy()
-    for k in range(1, min(REACH, len(gear))):
-        rolling[k:] += gear[:-k] << np.uint32(2 * k)
+    rolling, k = gear, 1
+    while k < min(REACH, len(gear)):  # sums of 1, 2, 4 ... ids; REACH is a power of two
+        rolling[k:] += rolling[:-k] << np.uint32(2 * k)
+        k *= 2
     ends, last = [], 0
-    for at in (np.flatnonzero((rolling >> np.uint32(16)) & np.uint32(MASK) == 0) + 1).tolist():
+    for at in (np.flatnonzero(rolling & np.uint32(MASK << 16) == 0) + 1).tolist():
         while at - last > MAX_IDS:
             last += MAX_IDS
             ends.append(last)
